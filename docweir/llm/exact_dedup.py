@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, partitions, pick, stored
 
-_SCHEMA = "doc_id bigint, text_sha256 binary, keep_id bigint, group_size bigint, part int, run bigint, edge_text string"
+_SCHEMA = "doc_id bigint, text_sha256 binary, keep_id bigint, group_size bigint, part int, run bigint, edge_text string, first boolean"
 _ARROW = pa.schema([
     ("doc_id", pa.int64()), ("text_sha256", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()),
-    ("part", pa.int32()), ("run", pa.int64()), ("edge_text", pa.string()),
+    ("part", pa.int32()), ("run", pa.int64()), ("edge_text", pa.string()), ("first", pa.bool_()),
 ])
 
 
@@ -39,7 +39,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = (hashlib.sha256(words.encode()).digest(), None if edge else min(known, default=None),
                    None if edge else len(ids))
             for i, x in enumerate(ids):
-                for to, v in zip(out, (x, *row, part, number, words if edge and i == 0 else None), strict=True):
+                for to, v in zip(out, (x, *row, part, number, words if edge and i == 0 else None, i == 0 or ids[i - 1] != x), strict=True):
                     to.append(v)
             number += 1
         held.clear()
@@ -79,9 +79,9 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is sorted externally by the whole text and neighbours are compared in full. Runs at the ends of a range are joined by
     their texts; there are few per partition, so that table is bounded by the number of partitions (and by hash collisions).
 
-    Null text counts as empty. Rows with equal ids are rows of their own; of a group, the smallest non-null id stays, and
-    every row with that id is kept; a group with null ids only has a null keep_id and all its rows are kept. Rows with a
-    null id in other groups are not kept. An empty table gives no rows; other columns are ignored.
+    Null text counts as empty. Rows with equal ids are rows of their own; of a group the smallest non-null id stays, and of
+    rows that repeat it one is kept; a group with null ids only has a null keep_id and keeps one row. An empty table gives no
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
     norm = F.regexp_replace(F.coalesce("t", F.lit("")), SPACES, " ")
@@ -98,5 +98,5 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = runs.join(joined, ["part", "run"], "left")
     keep, size = F.coalesce("keep_id", "low"), F.coalesce("group_size", "n")
     return out.select(
-        "doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        "doc_id", keep.alias("keep_id"), size.alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & F.col("first")).alias("kept"),
         F.lower(F.hex("text_sha256")).alias("text_sha256"))

@@ -95,11 +95,13 @@ class Mixture:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str]]:
         """The main language of each text, its share, and the set with its shares."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts)), [""] * len(texts)
         split = [(t or "").lower().split() for t in texts]
         numbers = self._numbers([w for words in split for w in words])
         doc = np.repeat(np.arange(len(texts)), [len(w) for w in split])[numbers >= 0]
         out, score, sets = ["und"] * len(texts), np.zeros(len(texts)), [""] * len(texts)
-        if not self.langs or not len(doc):
+        if not len(doc):
             return out, score, sets
         like = self.table[numbers[numbers >= 0]].astype(np.float32)
         docs, starts, sizes = np.unique(doc, return_index=True, return_counts=True)
@@ -127,7 +129,7 @@ def mixture_language(docs: DataFrame, train: Column | None = None, id_col: str =
                      lang_col: str = "lang", keep: bool = False) -> DataFrame:
     """One row per document: doc_id, lang_pred, score, lang_mix.
 
-    Learns byte-trigram counts of every language over all rows with a language for which `train` (a condition on the id column)
+    Learns byte-trigram counts of every language over all rows with a language for which `train` (a condition on doc_id)
     holds; they are added up in the workers and then by Spark, and take 65,536 buckets a language at most. Each text is a
     mixture of languages: EM over its words finds the shares, for the best one, two and three languages, and each language added
     must raise the log-likelihood by a penalty. The one with the greatest share is the prediction, the share its score, and lang_mix

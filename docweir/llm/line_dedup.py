@@ -35,9 +35,9 @@ def _digest(key: str) -> bytes:
     return hashlib.blake2b(key.encode(), digest_size=16).digest()
 
 
-def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The block of each hash and its SET places there."""
-    block = (hashes >> np.uint64(40)) % np.uint64(FILTER_BITS // BLOCK_BITS)
+    block = (hashes >> np.uint64(40)) % np.uint64(bits // BLOCK_BITS)
     places = np.stack([(hashes >> np.uint64(16 * i)) % np.uint64(BLOCK_BITS) for i in range(SET)], 1)
     return block.astype(np.int64), places.astype(np.int64)
 
@@ -45,13 +45,13 @@ def _bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class TwoFilters:
     """Hashes seen once, and hashes seen (perhaps) twice."""
 
-    def __init__(self) -> None:
-        self.once = np.zeros(FILTER_BITS // 8, np.uint8)
-        self.twice = np.zeros(FILTER_BITS // 8, np.uint8)
+    def __init__(self, bits: int, twice: np.ndarray | None = None) -> None:
+        self.bits = bits
+        self.once = np.zeros(bits // 8, np.uint8) if twice is None else twice
+        self.twice = np.zeros(bits // 8, np.uint8) if twice is None else twice
 
-    @staticmethod
-    def _at(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        block, places = _bits(hashes)
+    def _at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block, places = _bits(hashes, self.bits)
         bit = block[:, None] * BLOCK_BITS + places
         return bit >> 3, (1 << (bit & 7)).astype(np.uint8)
 
@@ -72,7 +72,7 @@ def _keys_of(text: str | None, least: int) -> list[str]:
     return [k for k in dict.fromkeys(map(line_key, (text or "").split("\n"))) if len(k) >= least]
 
 
-def suspected_repeats(rows: DataFrame, least: int) -> np.ndarray:
+def suspected_repeats(rows: DataFrame, least: int, bits: int) -> np.ndarray:
     """The twice-seen filter over the keys of all rows (text), each counted once per row.
 
     Every task fills two filters and sends their blocks that hold anything; merging adds to `twice` what both sides have seen once,
@@ -83,7 +83,7 @@ def suspected_repeats(rows: DataFrame, least: int) -> np.ndarray:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        filters = TwoFilters()
+        filters = TwoFilters(bits)
         for (texts,) in text_slices(batches, 0):
             filters.add(_hashes([k for t in texts for k in _keys_of(t, least)]))
         once, twice = (x.reshape(-1, BLOCK_BITS // 8) for x in (filters.once, filters.twice))
@@ -114,14 +114,14 @@ def suspected_repeats(rows: DataFrame, least: int) -> np.ndarray:
 
     parts = rows.select("text").mapInArrow(fill, "block int, once binary, twice binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, twice binary")
-    out = np.zeros((FILTER_BITS // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
     for r in merged.toLocalIterator():
         out[r.block] = np.frombuffer(r.twice, np.uint8)
     return out.ravel()
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, id_col: str = "doc_id",
-                   text_col: str = "text", keep: bool = False, sent: int = SENT) -> DataFrame:
+                   text_col: str = "text", keep: bool = False, sent: int = SENT, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text (the lines that stay, joined by line feeds).
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. A key of at least `min_chars` code points in
@@ -136,12 +136,11 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_
     """
     spark = docs.sparkSession
     rows = pick(docs, **{id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
-    filters = spark.sparkContext.broadcast(suspected_repeats(rows, min_chars))
+    filters = spark.sparkContext.broadcast(suspected_repeats(rows, min_chars, filter_bits))
 
     def suspects(texts: list[str | None]) -> list[list[str]]:
         keys = [_keys_of(t, min_chars) for t in texts]
-        flags = TwoFilters.__new__(TwoFilters)
-        flags.twice = filters.value
+        flags = TwoFilters(filter_bits, filters.value)
         hit = flags.has_twice(_hashes([k for ks in keys for k in ks])).tolist() if any(keys) else []
         out, at = [], 0
         for ks in keys:

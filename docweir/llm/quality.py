@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import pick, text_slices
 
-#: Labelled rows and unlabelled rows (smallest hashes of their ids) that the classifiers are fitted on; hashed byte trigrams of the
+#: Labelled rows and unlabelled rows (about so many, with the smallest hashes of their ids) that the classifiers are fitted on; hashed byte trigrams of the
 #: text view; one-hot places for source and language in the metadata view.
 LABELLED, POOL, GRAMS, SOURCES, LANGS = 3000, 3000, 2048, 64, 32
 
@@ -133,7 +133,7 @@ def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     """One row per document: doc_id, score (probability of good quality), text_score, meta_score, kept (score >= threshold).
 
     Two logistic classifiers, over the text's trigrams and over source, language, size and layout, are fitted on LABELLED rows and
-    exchange confident labels on POOL rows over rounds; both samples are the smallest hashes of ids, so their sizes are bounded
+    exchange confident labels on POOL rows over rounds; both samples are the smallest hashes of ids, about so many, so their sizes are bounded
     whatever the input. Calibrated on rows held back, their log-odds add up (less the prior once), and all whole texts are
     scored in one pass; the model is 9 KB.
 
@@ -147,12 +147,17 @@ def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     rows = pick(docs, **kinds)
     known = pick(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min((F.col("quality") > 0).cast("int")).alias("y"))
-    lot = F.xxhash64("doc_id", F.lit(5))
     here = rows.select("doc_id").where("doc_id is not null")
-    chosen = known.join(here, "doc_id", "left_semi").orderBy(lot, "doc_id").limit(LABELLED)
-    others = here.distinct().orderBy(lot, "doc_id").limit(LABELLED + POOL)
-    y_of = {r.doc_id: r.y for r in chosen.collect()}
-    ids = [*y_of, *[r.doc_id for r in others.collect() if r.doc_id not in y_of][:POOL]]
+
+    def lot(ids: DataFrame, most: int) -> DataFrame:
+        """About `most` of the ids, those with the smallest hashes: a filter, not a sort, so no task sees more than its share."""
+        share = min(1.0, most / max(1, ids.count()))
+        return ids.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
+
+    chosen = lot(known.join(here, "doc_id", "left_semi"), LABELLED)
+    others = lot(here.distinct(), LABELLED + POOL)
+    y_of = {r.doc_id: r.y for r in sorted(chosen.collect())}
+    ids = [*y_of, *[r.doc_id for r in sorted(others.collect()) if r.doc_id not in y_of][:POOL]]
     wanted = spark.createDataFrame([(i,) for i in ids] or [(None,)], "doc_id bigint")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
