@@ -65,8 +65,8 @@ def parse_state(states: DataFrame, text: str = "state") -> DataFrame:
     rows = states.withColumns({"_s": parsed, "_v": shape})
     r = F.col("_s.records")
     filled = lambda c: F.coalesce(c != "", F.lit(False))
-    one = lambda x: (filled(x.id) & filled(x.name) & filled(x.uri) & F.coalesce(x.kind.isin(*KINDS), F.lit(False))
-                     & F.coalesce(x.bytes >= 0, F.lit(False)) & F.coalesce(x.createdAt >= 0, F.lit(False)))
+    one = lambda x: (filled(x["id"]) & filled(x["name"]) & filled(x["uri"]) & F.coalesce(x["kind"].isin(*KINDS), F.lit(False))
+                     & F.coalesce(x["bytes"] >= 0, F.lit(False)) & F.coalesce(x["createdAt"] >= 0, F.lit(False)))
     bad = F.col("_s.keepHistory").isNull() | r.isNull() | ~F.coalesce(F.forall(r, one), F.lit(False)) | (
         F.size(F.array_distinct(F.transform(r, lambda x: x.id))) != F.size(r))
     is_object = F.coalesce(F.schema_of_variant(F.col("_v")).startswith("OBJECT"), F.lit(False))

@@ -149,7 +149,7 @@ SELECT doc_id, x, len(regexp_extract_all(x, '[^\s\x0B\x{A0}\p{Co}\p{Cc}\x{FFFD}]
 SELECT doc_id, CAST(good AS INT) AS good, CAST(garbage AS INT) AS garbage, round(CASE WHEN good + garbage > 0 THEN good / (good + garbage) ELSE 0 END, 9) AS ratio,
 length(x) < 10 OR CASE WHEN good + garbage > 0 THEN good / (good + garbage) ELSE 0 END < 0.4 AS ocr FROM c""")
 def quality_ratio(spark, sf_dir):
-    x = F.replace("text", F.lit("q"), F.lit(""))
+    x = F.replace("text", F.lit("q"), F.lit("\ue001"))
     return _read(spark, sf_dir, "documents").select("doc_id", text.good_chars(x).alias("good"), text.garbage_chars(x).alias("garbage"),
                                                     F.round(text.quality_ratio(x), 9).alias("ratio"), text.needs_ocr(x).alias("ocr"))
 
@@ -188,7 +188,7 @@ def ocr_arbitration(spark, sf_dir):
 c AS (SELECT doc_id, len(regexp_extract_all(x, '\x{FFFD}')) AS bad, len(regexp_extract_all(x, '[^\x00-\x7F]')) AS other FROM t)
 SELECT doc_id, CAST(bad AS INT) AS bad, CAST(other AS INT) AS other, bad >= 3 AND other > 0 AND bad * 4 >= other AS gate FROM c""")
 def fffd_gate(spark, sf_dir):
-    x = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("th"), F.lit("�"))).otherwise(F.col("text"))
+    x = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("th"), F.lit("\ufffd"))).otherwise(F.col("text"))
     return _read(spark, sf_dir, "documents").select("doc_id", text.fffd_count(x).alias("bad"), text.non_ascii_units(x).alias("other"), text.worth_gb18030(x).alias("gate"))
 
 
@@ -233,8 +233,8 @@ SELECT event_id, CASE WHEN mi < 1 THEN 'just now' WHEN mi < 60 THEN CAST(mi AS B
 WHEN floor(floor(mi / 60) / 24) < 7 THEN CAST(floor(floor(mi / 60) / 24) AS BIGINT) || ' d ago' ELSE strftime(make_timestamp(t * 1000), '%Y-%m-%d') END AS said FROM m""")
 def relative_times(spark, sf_dir):
     e = _read(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    now = e.agg(F.max("t").alias("now"))
-    return e.crossJoin(F.broadcast(now)).select("event_id", numbers.relative_time(F.col("t"), F.col("now")).alias("said"))
+    now = e.agg(F.max("t")).first()[0]
+    return e.select("event_id", numbers.relative_time(F.col("t"), F.lit(now)).alias("said"))
 
 
 @query()
@@ -456,6 +456,72 @@ def external_open(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", got.alias("g")).select("doc_id", "g.error", F.length("g.text").alias("n"), "g.truncated")
 
 
+_REFUSED = {"mz": "UNSUPPORTED_TYPE", "zip": "UNSUPPORTED_ZIP", "pptx": "UNSUPPORTED_PPTX", "empty": "EMPTY_FILE", "ole2": "UNSUPPORTED_OLE2_UNKNOWN", "word97": "UNSUPPORTED_OLE2_WORD",
+            "docx": "DAMAGED_ARCHIVE", "xlsx": "Unreadable: damaged, or not an Office document", **dict.fromkeys(("gif", "bmp", "png", "jpeg", "tiff", "webp"), "OCR_UNAVAILABLE"), "pdf": "NO_CATALOG"}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_sql_text(_REFUSED.get(n))}, {n not in _REFUSED})" for n, *_ in _MAGIC) + ") v(name, error, has_text)")
+def refused_files(spark, sf_dir):
+    rows = spark.createDataFrame([(n, n, bytearray(b)) for n, b, *_ in _MAGIC], "doc_id string, name string, content binary")
+    return convert(rows).select("name", "error", (F.col("markdown") != "").alias("has_text"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'd' || doc_id || '.zip' ELSE 'd' || doc_id || '.md' END AS name, doc_id % 2 = 0 AS is_zip, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS failed,
+CASE WHEN doc_id % 2 = 0 THEN NULL ELSE md5(text || ' ![i](' || CASE WHEN doc_id % 5 = 0 THEN 'assets/i (1).png' ELSE 'data:image/png;base64,eHl6' END || ')') END AS digest FROM documents""")
+def package_files(spark, sf_dir):
+    content = F.when(F.col("doc_id") % 5 != 0, F.lit(bytearray(b"xyz")))
+    name = F.when(F.col("doc_id") % 5 == 0, "assets/i (1).png").otherwise("assets/i.png")
+    asset = F.struct(name.alias("name"), content.alias("content"), F.when(F.col("doc_id") % 2 == 0, 30_000_000).otherwise(3).cast("bigint").alias("size"), F.lit("image/png").alias("type"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id", F.lit(".docx")).alias("name"), F.concat("text", F.lit(" ![i]("), name, F.lit(")")).alias("markdown"), F.array(asset).alias("assets"))
+    out = export.package(docs)
+    is_zip = F.col("name").endswith(".zip")
+    return out.select("doc_id", "name", is_zip.alias("is_zip"), F.size("failed").alias("failed"), F.when(~is_zip, F.md5("content")).alias("digest"))
+
+
+_STATES = [("ok", '{"schemaVersion":1,"keepHistory":true,"records":[{"id":"a","name":"n","uri":"u","bytes":0,"kind":"md","createdAt":1}]}', None), ("json", "{nope", "corrupt"), ("array", "[]", "corrupt"),
+           ("version", '{"schemaVersion":2,"keepHistory":true,"records":[]}', "schema"), ("flag", '{"schemaVersion":1,"keepHistory":"false","records":[]}', "corrupt"), ("none", None, "corrupt"),
+           ("missing", '{"schemaVersion":1,"records":[]}', "corrupt"), ("list", '{"schemaVersion":1,"keepHistory":true}', "corrupt"), ("empty", '{"schemaVersion":1,"keepHistory":false,"records":[]}', None),
+           ("twice", '{"schemaVersion":1,"keepHistory":true,"records":[' + ",".join(['{"id":"a","name":"n","uri":"u","bytes":3,"kind":"md","createdAt":1}'] * 2) + "]}", "corrupt"),
+           ("kind", '{"schemaVersion":1,"keepHistory":true,"records":[{"id":"a","name":"n","uri":"u","bytes":0,"kind":"pdf","createdAt":1}]}', "corrupt")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {_sql_text(e)})" for n, _, e in _STATES) + ") v(name, error)")
+def history_states(spark, sf_dir):
+    rows = spark.createDataFrame([(n, s) for n, s, _ in _STATES], "name string, state string")
+    return history.parse_state(rows).select("name", "error")
+
+
+@query("""WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS ins_seq, epoch_us(o_orderdate) // 1000 AS created_at, CAST(floor(o_totalprice) AS BIGINT) AS bytes,
+CASE WHEN o_orderkey % 3 = 0 THEN 'zip' WHEN o_orderkey % 3 = 1 THEN 'md' ELSE 'pdf' END AS kind, o_custkey % 2 AS fresh FROM orders)
+SELECT id, bytes, CASE WHEN kind = 'zip' THEN 'application/zip' ELSE 'text/markdown' END AS mime FROM r WHERE kind <> 'pdf' ORDER BY created_at DESC, ins_seq DESC LIMIT 200""")
+def history_append(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    o = _read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("id"), F.lit("n").alias("name"), F.lit("u").alias("uri"), F.col("o_totalprice").alias("bytes"), F.lit("").alias("mime"),
+        F.when(k == 0, "zip").when(k == 1, "md").otherwise("pdf").alias("kind"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("created_at"), F.col("o_orderkey").alias("ins_seq"), "o_custkey")
+    old = history.normalized(o.where("o_custkey % 2 = 0")).where("kind <> 'pdf'").drop("o_custkey")
+    return history.append(old, o.where("o_custkey % 2 = 1").drop("o_custkey")).select("id", "bytes", "mime")
+
+
+@query("SELECT * FROM (VALUES (0, NULL, false), (14, NULL, true), (22, NULL, true), (23, NULL, false), (57, NULL, true), (164, '0.00', false), (165, '[Red]0', false), (166, '[h]:mm', true), (167, 'yyyy\\-mm', true), (168, '[open ymd', false)) v(id, code, is_date)")
+def date_formats(spark, sf_dir):
+    rows = [(0, None), (14, None), (22, None), (23, None), (57, None), (164, "0.00"), (165, "[Red]0"), (166, "[h]:mm"), (167, "yyyy\\-mm"), (168, "[open ymd")]
+    df = spark.createDataFrame(rows, "id int, code string")
+    return df.select("id", "code", numbers.is_date_format(F.col("id"), F.col("code")).alias("is_date"))
+
+
+@query()
+def preview_html(spark, sf_dir):
+    """The first segment of every page, as safe HTML."""
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+    from docweir.operators.preview import render_preview
+
+    shown = F.udf(lambda md: render_preview(md or ""), StructType([StructField("html", StringType()), StructField("notes", ArrayType(StringType()))]), useArrow=True)
+    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("page.html").alias("name"), F.encode("html", "UTF-8").alias("content"))
+    return convert(pages).select("doc_id", shown("markdown").alias("p")).select("doc_id", "p.html", "p.notes")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and pages converted, and what came of each type and backend."""
     return convert(corpus_files(spark, sf_dir)).groupBy("type", "backend").agg(

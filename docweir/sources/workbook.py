@@ -261,7 +261,7 @@ def placed(cells: Iterable[tuple[str, str]]) -> list[str]:
 def _strict(book: Archive, max_sheets: int, max_rows: int) -> Workbook:
     targets, late = sheet_targets(book)
     dates = date_styles(book.text("xl/styles.xml"))
-    sheets = []
+    read: list[tuple[str, list[list[Cell]]]] = []
     for name, part in targets[:max_sheets]:
         chunks = book.chunks(part)
         if chunks is None:
@@ -271,7 +271,10 @@ def _strict(book: Archive, max_sheets: int, max_rows: int) -> Workbook:
             rows.append(cells_of(body))
             if len(rows) > max_rows:
                 break
-        strings = _shared(book, max((_index(c) for r in rows for c in r if c.kind == "s"), default=-1))
+        read.append((name, rows))
+    strings = _shared(book, max((_index(c) for _, rows in read for r in rows for c in r if c.kind == "s"), default=-1))
+    sheets = []
+    for name, rows in read:
         texts = [placed((c.ref, shown(c, strings, dates, late)) for c in r) for r in rows]
         sheets.append(Sheet(name, texts[:max_rows], len(texts), len(texts) > max_rows))
     return Workbook(sheets, len(targets), "xlsx-stream", [], book.unpacked)
