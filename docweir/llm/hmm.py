@@ -6,6 +6,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from .common import pick, remainder, stored, text_slices
 
 #: Hidden states; words with an emission of their own; classes of all other words, by their ending; words whose counts every worker has.
 STATES, SYMBOLS, CLASSES, COUNTED = 6, 20_000, 512, 150_000
-#: Documents (smallest hashes of ids) that set the start of training; passes of Baum-Welch over all training documents; tokens of a
+#: Documents (about so many, with the smallest hashes of ids) that set the start of training; passes of Baum-Welch over all training documents; tokens of a
 #: training window.
 FIRST, PASSES, WINDOW = 1500, 2, 512
 _FLUSH = 300_000
@@ -32,27 +33,37 @@ def word_class(word: bytes) -> int:
 
 
 class Alphabet:
-    """Symbols: frequent words, then the end, then the classes of other words; and the counts of the words that are sent along."""
+    """Symbols: frequent words, then the end, then the classes of other words; with the counts of the words that are sent along."""
 
     def __init__(self, counted: list[tuple[str, int]]):
         """counted: words by falling count."""
-        self.counts = {w.encode(): c for w, c in counted}
+        words = [w.encode() for w, _ in counted]
+        self.index = {w: i for i, w in enumerate(words)}
+        self.counts = np.array([c for _, c in counted], np.int64)
         self.n_own = min(SYMBOLS, len(counted))
-        self.number = {w.encode(): i for i, (w, _) in enumerate(counted[:SYMBOLS])}
-        self.end = self.n_own
-        self.size = self.n_own + 1 + CLASSES
-        self._symbols: dict[bytes, int] = dict(self.number)
-
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of the words and of the end."""
-        known = self._symbols
-        if len(known) > _FLUSH:
-            self._symbols = known = dict(self.number)
-        base = self.n_own + 1
-        for w in words:
-            if w not in known:
-                known[w] = base + word_class(w)
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        self.end, self.size = self.n_own, self.n_own + 1 + CLASSES
+        self.classes = np.array([word_class(w) for w in words], np.int32)
+        own = np.arange(len(words)) < self.n_own
+        # The last place is for words that are not among these; their class is put in where they stand.
+        self.symbol = np.append(np.where(own, np.arange(len(words)), self.n_own + 1 + self.classes), 0).astype(np.int32)
+
+    def look_up(self, words: list[bytes]) -> np.ndarray:
+        """Places among the counted words, -1 for others."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+
+    def symbols(self, texts: list[list[bytes]], flat: list[bytes], at: np.ndarray) -> list[np.ndarray]:
+        """The symbols of each text, with the end; `flat` holds the words of all texts, `at` their places."""
+        out = self.symbol[at]
+        other = np.nonzero(at < 0)[0]
+        out[other] = [self.n_own + 1 + word_class(flat[i]) for i in other.tolist()]
+        ends = np.cumsum([len(t) for t in texts])
+        return np.split(np.insert(out, ends, self.end), ends[:-1] + np.arange(1, len(ends)))
+
+    def read(self, texts: list[str | None]) -> tuple[list[list[bytes]], list[bytes], np.ndarray]:
+        """Words by text, on end, and their places."""
+        split = [words_of(t) for t in texts]
+        flat = list(chain.from_iterable(split))
+        return split, flat, self.look_up(flat)
 
 
 class Hmm:
@@ -148,14 +159,15 @@ def first_model(sequences: list[np.ndarray], size: int, k: int, steps: int = 25)
 def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
-    Words and one end per document are tokens. Word counts come from all rows for which `train` holds. The base is their
+    Words and one end per document are tokens. Word counts come from all rows for which `train`, a condition on doc_id, holds. The base is their
     smoothed unigram. The model is a hidden Markov chain whose states emit frequent words, the end, or a class of other words
     (by the ending), which yields a word by its smoothed share in the class: a distribution over all known words and one unknown
     a class. Baum-Welch runs over all training documents, PASSES times, in windows; expected counts are added up in the workers and
     then by Spark. Scoring runs the scaled forward recursion over each whole text.
 
     Counts of the COUNTED most frequent words go to the workers by broadcast, a fixed bound; counts of all others are joined to the
-    documents' words by a shuffle, as is their share of the scores. Only the start of training comes from a sample, FIRST documents.
+    documents' words by a shuffle, as is their share of the scores. Only the start of training comes from a sample, about FIRST documents (those with the
+    smallest hashes of their ids).
 
     Null or empty text: only the end. Null ids train unless the condition is false for them, and with repeated ids are rows of
     their own. Without training rows, counts are 0 and the base score is 0. An empty table gives no rows; other columns are ignored.
@@ -175,8 +187,7 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
             return out
 
         for _, texts in text_slices(batches):
-            for t in texts:
-                seen.update(words_of(t))
+            seen.update(chain.from_iterable(map(words_of, texts)))
             n_docs += len(texts)
             if len(seen) > _FLUSH:
                 yield flush()
@@ -188,7 +199,15 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
     n_all, ends = total or 0, ends or 0
     v_all = distinct + (ends > 0)
     known = counts.where("word is not null")
-    top = [(r.word, r.c) for r in known.orderBy(F.desc("c"), "word").limit(COUNTED).collect()]
+    # How common a word must be to be among the most frequent COUNTED: by a histogram of the counts' logarithms, a few thousand rows.
+    bin_of = F.floor(F.log2("c") * 64).cast("int")
+    room_left, least = COUNTED, None
+    for r in sorted(known.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin):
+        room_left -= r.n
+        if room_left < 0:
+            break
+        least = r.bin
+    top = [] if least is None else sorted(((r.word, r.c) for r in known.where(bin_of >= least).collect()), key=lambda x: (-x[1], x[0].encode()))
     alphabet = Alphabet(top)
 
     # What the classes hold: all words without an emission of their own.
@@ -197,21 +216,22 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
     classed = known.withColumn("class", (F.crc32(ending) % CLASSES).cast("int"))
     if last:
         classed = classed.where((F.col("c") < last[1]) | (F.col("c") == last[1]) & (F.col("word") > last[0]))
-        held = {r["class"]: (r.n, r.v) for r in classed.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    else:
-        held = {}
+    elif least is not None:
+        classed = classed.where(bin_of < least)
+    held = {r["class"]: (r.n, r.v) for r in classed.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     room = np.array([0.1 * (held.get(i, (0, 0))[1] + 1) + held.get(i, (0, 0))[0] for i in range(CLASSES)])
 
-    first = learn.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", F.xxhash64("text")).limit(FIRST)
+    share = min(1.0, FIRST / max(1, ends))
+    lot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)), F.lit(1_000_000_000)) < int(share * 1_000_000_000)
     shared = spark.sparkContext.broadcast(alphabet)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = shared.value
         for _, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(book.symbols(words_of(t)), book.end).astype(np.int32).tobytes() for t in texts])], ["s"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in book.symbols(*book.read(texts))])], ["s"])
 
-    start = [np.frombuffer(r.s, np.int32) for r in first.mapInArrow(encode, "s binary").collect()]
-    model = first_model(start, alphabet.size, STATES)
+    start = sorted(r.s for r in learn.where(lot).mapInArrow(encode, "s binary").collect())
+    model = first_model([np.frombuffer(s, np.int32) for s in start], alphabet.size, STATES)
 
     for _ in range(PASSES):
         now = spark.sparkContext.broadcast(model)
@@ -220,7 +240,7 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
             book, hmm = shared.value, now.value
             sums: np.ndarray | int = 0
             for _, texts in text_slices(batches):
-                windows = [w for t in texts for w in windows_of(np.append(book.symbols(words_of(t)), book.end))]
+                windows = [w for x in book.symbols(*book.read(texts)) for w in windows_of(x)]
                 for i in range(0, len(windows), 1500):
                     sums = sums + hmm.expected(windows[i : i + 1500])
             at = np.nonzero(sums)[0] if isinstance(sums, np.ndarray) else np.zeros(0, int)
@@ -239,25 +259,18 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
         from pyspark import TaskContext
 
         book, hmm, row = shared.value, final.value, TaskContext.get().partitionId() << 33
-        log = lambda c: math.log10((c + 0.1) / below)
-        known: dict[bytes, float] = {w: log(c) for w, c in book.counts.items()}
-        share = {w: math.log10((c + 0.1) / room[word_class(w)]) for w, c in book.counts.items() if w not in book.number}
+        logs = np.append(np.log10((book.counts + 0.1) / below), 0)
+        shares = np.append(np.where(np.arange(len(book.counts)) < book.n_own, 0, np.log10((book.counts + 0.1) / room[book.classes])), 0)
+        end = math.log10((ends + 0.1) / below)
         for ids, trains, texts in text_slices(batches, 2):
-            split = [words_of(t) for t in texts]
-            score = hmm.log10([np.append(book.symbols(w), book.end) for w in split])
-            base, own = np.full(len(texts), log(ends)), np.full(len(texts), int(ends > 0))
-            tail_row, tail_word, tail_n = [], [], []
-            for i, words in enumerate(split):
-                logs = [known.get(w) for w in words]
-                here = [x for x in logs if x is not None]
-                base[i] += sum(here)
-                own[i] += len(here)
-                score[i] += sum(share.get(w, 0.0) for w in words)
-                if len(here) < len(words):
-                    rest = Counter(w for w, x in zip(words, logs, strict=True) if x is None)
-                    tail_row += [row + i] * len(rest)
-                    tail_word += rest
-                    tail_n += rest.values()
+            split, flat, at = book.read(texts)
+            doc = np.repeat(np.arange(len(texts)), [len(w) for w in split])
+            sums = lambda x, doc=doc, n=len(texts): np.bincount(doc, x, n)
+            base, own = end + sums(logs[at]), (sums((at >= 0).astype(float)) + (ends > 0)).astype(np.int64)
+            score = hmm.log10(book.symbols(split, flat, at)) + sums(shares[at])
+            other = np.nonzero(at < 0)[0]
+            tail = Counter(zip(doc[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True))
+            tail_row, tail_word, tail_n = [row + d for d, _ in tail], [w for _, w in tail], list(tail.values())
             n, m = len(texts), len(tail_row)
             none = lambda kind: pa.nulls(m, kind)
             columns = [
