@@ -11,20 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import pick, text_slices
-from .words import WordEncoder, tokenizer_path
+from .words import WordEncoder, byte_letters, tokenizer_path
 
 #: The cuts of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = np.int64(1) << 40
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next one from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
-
-
 class Bpe:
     """A byte-level BPE vocabulary of the tokenizers library, encoded and decoded without that library."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 #: Distinct words a worker remembers. When there are more, it forgets the rarer half, so memory does not grow with the input.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -112,12 +112,14 @@ class WordEncoder:
                         or any(s in text for s in self.special)):
                     odd[i] = self.encode_text(text)
                 else:
-                    for k, line in enumerate(text.split("\n")):
-                        if k:
+                    at = 0
+                    for line in text.split("\n"):
+                        if at:
                             numbers.append(feed)
-                        words = line.split(" ")
-                        numbers.append(first[words[0]])
-                        numbers.extend(map(rest, words[1:]))
+                        numbers.append(first[words[at]])
+                        end = at + 1 + line.count(" ")
+                        numbers.extend(map(rest, words[at + 1 : end]))
+                        at = end
             upto[i + 1] = len(numbers)
         self._learn()
         of = np.array(numbers, np.int64)
@@ -133,6 +135,13 @@ class WordEncoder:
         return ids, lengths
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -151,11 +160,21 @@ def library_encoder(path: str) -> WordEncoder:
         tok.no_truncation()
         tok.no_padding()
         whole = lambda text: tok.encode(text, add_special_tokens=False).ids
-        each = lambda words: [e.ids for e in tok.encode_batch(words, add_special_tokens=False)]
         pre = spec.get("pre_tokenizer") or {}
         plain = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                  and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout"))
         special = [x["content"] for x in spec.get("added_tokens", [])]
+        letters = {b: c for c, b in byte_letters().items()}
+        tokenize, feed = tok.model.tokenize, letters[10]
+
+        def each(words: list[str]) -> list[list[int]]:
+            """A word of letters is one piece for the model; any other goes through the library's pre-tokenizer."""
+            one = [w.removeprefix(" ").isalpha() for w in words]
+            plain = "\n".join(w for w, x in zip(words, one, strict=True) if x).encode().decode("latin-1").translate(letters).split(feed)
+            mixed = iter(tok.encode_batch([w for w, x in zip(words, one, strict=True) if not x], add_special_tokens=False))
+            pieces = iter(plain)
+            return [[t.id for t in tokenize(next(pieces))] if x else next(mixed).ids for x in one]
+
         # "" is in every text: a tokenizer of another make encodes each text as a whole.
         _ENCODERS[path] = WordEncoder(each, whole, special if plain else [""])
     return _ENCODERS[path]
