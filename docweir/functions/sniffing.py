@@ -52,14 +52,17 @@ def ole2_subtype(head: Column) -> Column:
     return out
 
 
-def image_kind(content: Column) -> Column:
-    """png, jpeg, gif, bmp, tiff, webp or null. BMP goes by the two sizes of its header alone; GIF needs its last byte."""
-    total = F.octet_length(content)
+def image_kind(content: Column, total: Column | None = None, last: Column | None = None) -> Column:
+    """png, jpeg, gif, bmp, tiff, webp or null. BMP goes by the two sizes of its header alone; GIF needs its last byte.
+
+    With the length of the file and its last byte, the content may be its head only."""
+    total = F.octet_length(content) if total is None else total
+    last = F.substring(content, -1, 1) if last is None else last
     size, bits = _little(content, 2, 4), _little(content, 10, 4)
     whole = F.when(size == 0, total).otherwise(size)
     bmp = (total >= 14) & ((size == 0) | size.between(14, total)) & bits.between(F.lit(14), whole)
     gif = (_begins(content, "474946383761") | _begins(content, "474946383961")) & (total >= 10) & (_little(content, 6, 2) > 0) & (
-        _little(content, 8, 2) > 0) & (F.hex(F.substring(content, -1, 1)) == "3B")
+        _little(content, 8, 2) > 0) & (F.hex(last) == "3B")
     webp = _begins(content, "52494646") & (F.hex(F.substring(content, 9, 4)) == "57454250")
     return (F.when(_begins(content, "89504E470D0A1A0A"), "png").when(_begins(content, "FFD8FF"), "jpeg").when(gif, "gif")
             .when(bmp, "bmp").when(_begins(content, "49492A00") | _begins(content, "4D4D002A"), "tiff").when(webp, "webp"))
@@ -75,10 +78,10 @@ def control_share(content: Column) -> Column:
     return F.regexp_count(sample, F.lit(r"[\x00-\x08\x0E-\x1F]")) / F.greatest(F.length(sample), F.lit(1))
 
 
-def sniff(content: Column) -> Column:
+def sniff(content: Column, total: Column | None = None, last: Column | None = None) -> Column:
     """struct(type, detail, ole2_subtype): pdf, doc, image, docx, xlsx, pptx, zip, text or unknown (empty, binary)."""
     head = latin1_head(content)
-    image = image_kind(content)
+    image = image_kind(content, total, last)
     packed = _begins(content, "504B03") | _begins(content, "504B05") | _begins(content, "504B07")
     bom = _begins(content, "EFBBBF") | _begins(content, "FFFE") | _begins(content, "FEFF")
     none = F.lit(None).cast("string")

@@ -16,6 +16,7 @@ from docweir.plans.workbook import resolved_cells, sheet_markdown
 from docweir.sources import tables
 from docweir.sources.docx import write_docx
 from docweir.sources.files import read_files
+from docweir.sources.heads import file_types
 from docweir.sources.pdf import document_markdown, write_pdf
 from docweir.sources.workbook import read_workbook, write_workbook
 from docweir.streaming.ingest import convert_stream, history_sink, latest_by_seq, once_per_uri, read_history
@@ -139,6 +140,16 @@ def test_files(spark, tmp_path):
     assert sorted(r.markdown for r in out.collect()) == ["hello", "later", "x"]
 
 
+def test_types_by_heads(spark, tmp_path):
+    files = {"a.gif": b"GIF89a\x01\x00\x01\x00" + bytes(100_000) + b"\x3b", "b.txt": b"GIF89a is text", "c.bin": b"", "d.xlsx": write_workbook([("s", [["x"]])]), "e.pdf": write_pdf([[(1, 1, "x")]])}
+    for n, b in files.items():
+        (tmp_path / n).write_bytes(b)
+    got = {r.path.rsplit("/", 1)[1]: r for r in file_types(spark, f"file://{tmp_path}").collect()}
+    assert {n: (r.type, r.detail, r.length, r.error) for n, r in got.items()} == {
+        "a.gif": ("image", "gif", 100_011, None), "b.txt": ("text", None, 14, None), "c.bin": ("unknown", "empty", 0, "EMPTY_FILE"), "d.xlsx": ("xlsx", None, len(files["d.xlsx"]), None),
+        "e.pdf": ("pdf", None, len(files["e.pdf"]), None)}
+
+
 def test_streams_of_requests(spark, tmp_path):
     (tmp_path / "e").mkdir()
     spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "b", 1), (4, "a", 7), (2, "a", 9)], "n int, uri string, seq bigint").withColumn(
