@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain, compress, count, repeat
+from operator import not_
 
 import numpy as np
 
@@ -11,26 +13,6 @@ REMEMBERED = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _Known(dict):
-    """word -> number. An unseen word gets the next number and waits to be encoded, without the punctuation at its end."""
-
-    def __init__(self, owner: WordEncoder, lead: str):
-        super().__init__()
-        self.owner, self.lead = owner, lead
-
-    def __missing__(self, word: str) -> int:
-        own = self.owner
-        base = word.rstrip(PUNCTUATION)
-        if base and base != word and base[-1].isalnum():  # the pre-tokenizer cuts here as well
-            parts = self[base], own.first[word[len(base):]]
-            n = self[word] = own.number()
-            own.joined.append((n, *parts))
-        else:
-            n = self[word] = own.number()
-            own.new.append((n, self.lead + word))
-        return n
-
-
 class WordEncoder:
     """Ids of whole texts. `encode_words` gives the ids of each of a list of words, `encode_text` those of an unusual text.
 
@@ -38,19 +20,18 @@ class WordEncoder:
     the pre-tokenizer of byte-level BPE cuts too, and its other cuts only depend on the characters within such a piece, so
     the ids of a text are those of its pieces in turn. Any other text (runs of white space, other white space, white space at
     an end, or a special token's string) goes to `encode_text` as a whole.
+
+    Words are known by a key, in the order of their numbers: the word itself if a space goes before it, and a line feed with the word if
+    none does. The line feed itself is number 0.
     """
 
     def __init__(self, encode_words: Callable[[list[str]], Sequence[Sequence[int]]],
                  encode_text: Callable[[str], Sequence[int]], special: Sequence[str] = (), remembered: int = REMEMBERED):
         self.encode_words, self.encode_text, self.special, self.remembered = encode_words, encode_text, special, remembered
-        self.count, self.new, self.joined = 0, [], []
-        self.rest, self.first = _Known(self, " "), _Known(self, "")
+        self.known: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
-
-    def number(self) -> int:
-        self.count += 1
-        return self.count - 1
+        self._learn(["\n"])
 
     def _ids(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words on end, and where each word ends after the first 0."""
@@ -67,63 +48,88 @@ class WordEncoder:
         self.size[numbers] = sizes
         self.used = need
 
-    def _learn(self) -> None:
-        if self.count > len(self.at):
-            self.at, self.size, self.hits = (np.concatenate([x, np.zeros(self.count, np.int64)]) for x in (self.at, self.size, self.hits))
-        if self.new:
-            numbers, words = zip(*self.new, strict=True)
-            found = self.encode_words(list(words))
+    def _learn(self, keys: list[str]) -> None:
+        """Takes in new keys. A word and the punctuation at its end are looked up apart: the pre-tokenizer cuts between them as well."""
+        known = self.known
+        bases = [k.rstrip(PUNCTUATION) for k in keys]
+        cut = [len(b) < len(k) and b[-1:].isalnum() for k, b in zip(keys, bases, strict=True)]
+        tails = ["\n" + k[len(b) :] for k, b, c in zip(keys, bases, cut, strict=True) if c]
+        parts = list(compress(bases, cut))
+        whole = [k for k in dict.fromkeys([*compress(keys, map(not_, cut)), *parts, *tails]) if k not in known]
+        joined = list(compress(keys, cut))
+        first = len(known)
+        known.update(zip(chain(whole, joined), count(first)))
+        if len(known) > len(self.at):
+            self.at, self.size, self.hits = (np.concatenate([x, np.zeros(len(known), np.int64)]) for x in (self.at, self.size, self.hits))
+        if whole:
+            found = self.encode_words(["\n" if k == "\n" else k[1:] if k[0] == "\n" else " " + k for k in whole])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self._add(np.array(numbers), np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes)
-        if self.joined:
-            three = np.array(self.joined)
-            ids, ends = self._ids(three[:, 1:].ravel())
-            self._add(three[:, 0], ids, np.diff(ends[::2]))
-        self.new, self.joined = [], []
+            self._add(first + np.arange(len(whole)), np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+        if joined:
+            two = np.empty(2 * len(joined), np.int64)
+            two[::2] = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            two[1::2] = np.fromiter(map(known.__getitem__, tails), np.int64, len(tails))
+            ids, ends = self._ids(two)
+            self._add(first + len(whole) + np.arange(len(joined)), ids, np.diff(ends[::2]))
 
     def _forget(self) -> None:
-        order = np.argsort(-self.hits[: self.count], kind="stable")[: self.remembered // 2]
-        to = np.full(self.count, -1)
-        to[order] = np.arange(len(order))
+        """Keeps the half that was met most often, in the order it has."""
+        n = len(self.known)
+        keep = np.zeros(n, bool)
+        keep[np.argpartition(-self.hits[:n], self.remembered // 2)[: self.remembered // 2]] = True
+        keep[0] = True
+        order = np.nonzero(keep)[0]
         ids, ends = self._ids(order)
         hits = self.hits[order]
-        for known in (self.first, self.rest):
-            kept = [(w, to[n]) for w, n in known.items() if to[n] >= 0]
-            known.clear()
-            known.update((w, int(n)) for w, n in kept)
-        self.count, self.used, self.pool = len(order), 0, np.empty(len(ids) + 1, np.uint32)
+        self.known = dict(zip(compress(self.known, keep.tolist()), count()))
+        self.used, self.pool = 0, np.empty(2 * len(ids) + 1, np.uint32)
         self.hits[:] = 0
         self.hits[: len(order)] = hits
         self._add(np.arange(len(order)), ids, np.diff(ends))
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, as unsigned 32-bit integers, and how many each text has. Null: no ids."""
-        if self.count > self.remembered:
+        if len(self.known) > self.remembered:
             self._forget()
-        numbers: list[int] = []
+        found: list[np.ndarray] = [np.zeros(0, np.int64)]
+        new: list[str] = []
         odd: dict[int, Sequence[int]] = {}
-        upto = np.zeros(len(texts) + 1, np.int64)
-        rest, first = self.rest.__getitem__, self.first
-        feed = first["\n"]
+        sizes = np.zeros(len(texts), np.int64)
+        get, none = self.known.get, repeat(-1)
         for i, text in enumerate(texts):
-            if text:
-                words, gaps = text.split(), text.count(" ") + text.count("\n")
-                if (len(words) != gaps + 1 or len("".join(words)) != len(text) - gaps  # other white space, or runs of it
-                        or any(s in text for s in self.special)):
-                    odd[i] = self.encode_text(text)
-                else:
-                    at = 0
-                    for line in text.split("\n"):
-                        if at:
-                            numbers.append(feed)
-                        numbers.append(first[words[at]])
-                        end = at + 1 + line.count(" ")
-                        numbers.extend(map(rest, words[at + 1 : end]))
-                        at = end
-            upto[i + 1] = len(numbers)
-        self._learn()
-        of = np.array(numbers, np.int64)
-        self.hits[: self.count] += np.bincount(of, minlength=self.count)
+            if not text:
+                continue
+            words, feeds = text.split(), text.count("\n")
+            gaps = feeds + text.count(" ")
+            if (len(words) != gaps + 1 or len("".join(words)) != len(text) - gaps  # other white space, or runs of it
+                    or any(s in text for s in self.special)):
+                odd[i] = self.encode_text(text)
+                continue
+            if feeds:
+                at, keys = 0, []
+                for line in text.split("\n"):
+                    if at:
+                        keys.append("\n")
+                    end = at + 1 + line.count(" ")
+                    words[at] = "\n" + words[at]
+                    keys += words[at:end]
+                    at = end
+                words = keys
+            else:
+                words[0] = "\n" + words[0]
+            # Looked up text by text, while its words are still in the processor's cache.
+            numbers = np.fromiter(map(get, words, none), np.int64, len(words))
+            unseen = np.flatnonzero(numbers < 0)
+            if len(unseen):
+                new += map(words.__getitem__, unseen.tolist())
+            found.append(numbers)
+            sizes[i] = len(words)
+        of = np.concatenate(found)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        if new:
+            self._learn(list(dict.fromkeys(new)))
+            of[of < 0] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.hits[: len(self.known)] += np.bincount(of, minlength=len(self.known))
         ids, ends = self._ids(of)
         lengths = np.diff(ends[upto])
         if odd:
