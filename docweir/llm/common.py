@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,13 +27,17 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     ))
 
 
+_OWN: dict[str, str] = {}  # application -> its local folder, where the session names none
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a local one of its own only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, as a whole URI: `spark.checkpoint.dir`; a local one of its own only where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="docweir-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="docweir-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return re.sub("^file:/(?!/)", "file:///", uri)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
