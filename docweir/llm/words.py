@@ -9,7 +9,7 @@ from operator import not_
 import numpy as np
 
 #: Distinct words a worker remembers. When there are more, it forgets the rarer half, so memory does not grow with the input.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
