@@ -58,9 +58,12 @@ def line_text(runs: Column) -> Column:
 
 
 def text_lines(runs: DataFrame) -> DataFrame:
-    """text_lines(doc_id, page, line_no, text, is_code); a line is code if it has ASCII glyphs and all of them are from monospace fonts."""
-    mono = monospace_fonts(runs).withColumn("mono", F.lit(True))
-    marked = number_lines(runs).join(mono, ["doc_id", "font_id"], "left")
+    """text_lines(doc_id, page, line_no, text, is_code); a line is code if it has ASCII glyphs and all of them are from monospace fonts.
+
+    A reader that has whole documents gives `mono` with the runs; other runs are joined to the fonts that are."""
+    marked = number_lines(runs)
+    if "mono" not in runs.columns:
+        marked = marked.join(monospace_fonts(runs).withColumn("mono", F.lit(True)), ["doc_id", "font_id"], "left")
     other = F.max(((F.col("ascii") > 0) & ~F.coalesce(F.col("mono"), F.lit(False))).cast("int"))
     return marked.groupBy(*PAGE, "line_no").agg(
         line_text(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), "seq", "str", F.col("w").cast("double").alias("w"),

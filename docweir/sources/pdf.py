@@ -8,8 +8,9 @@ import math
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from docweir.functions.chars import PY_WS
 
@@ -39,6 +40,7 @@ _SPACE, _DELIMITER = b"\0\t\n\x0c\r ", b"()<>[]{}/%"
 _TOKEN = re.compile(rb"[^\0\t\n\x0c\r ()<>\[\]{}/%]+")
 _NUMBER = re.compile(rb"[+-]?(\d+\.?\d*|\.\d+)\Z")
 _CJK = re.compile("[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]")
+_PLAIN = re.compile(rb"([^()\\]*)\)")
 _OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b")
 
 
@@ -132,6 +134,10 @@ class Lexer:
         return out
 
     def _string(self) -> bytes:
+        plain = _PLAIN.match(self.data, self.at + 1)
+        if plain:  # without escapes and brackets
+            self.at = plain.end()
+            return plain[1]
         d, at, depth, out = self.data, self.at + 1, 1, bytearray()
         plain = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
         while at < len(d):
@@ -304,8 +310,16 @@ def _utf16(data: bytes) -> str:
     return data.decode("utf-16-be", "replace")
 
 
+class Glyph(NamedTuple):
+    text: str
+    width: float  # in thousandths of an em
+    visible: bool
+    ascii: int
+    letters: int
+
+
 class Font:
-    """Codes of a font to (text, width in thousandths of an em)."""
+    """Codes of a font to glyphs."""
 
     def __init__(self, pdf: Pdf, attrs: dict, ident: str):
         self.ident = ident
@@ -313,6 +327,7 @@ class Font:
         self.wide = get("Subtype") == "Type0"
         self.base = str(get("BaseFont") or "")
         self.unicode: dict[int, str] = {}
+        self.shown: dict[int, Glyph] = {}
         self.sizes = {1}
         cmap = get("ToUnicode")
         if isinstance(cmap, Stream):
@@ -388,15 +403,20 @@ class Font:
                             self.unicode[lo + k] = _utf16(to[:-2] + (number(to[-2:]) + k & 0xFFFF).to_bytes(2, "big"))
             args = []
 
-    def glyphs(self, s: bytes) -> Iterator[tuple[str, float]]:
-        if self.wide:
-            n = 2 if self.sizes == {1} else max(self.sizes)
-            for i in range(0, len(s) - n + 1, n):
-                code = int.from_bytes(s[i : i + n], "big")
-                yield self.unicode.get(code, "\ufffd"), self.widths.get(code, self.default)
-        else:
-            for code in s:
-                yield self.unicode.get(code) or self.plain.get(code, ""), self.widths.get(code, self.default)
+    def codes(self, s: bytes) -> Iterable[int]:
+        if not self.wide:
+            return s
+        n = 2 if self.sizes == {1} else max(self.sizes)
+        return [int.from_bytes(s[i : i + n], "big") for i in range(0, len(s) - n + 1, n)]
+
+    def glyph(self, code: int) -> Glyph:
+        """What a code shows; each is worked out once."""
+        found = self.shown.get(code)
+        if found is None:
+            text = self.unicode.get(code) or ("\ufffd" if self.wide else self.plain.get(code, ""))
+            visible = [c for c in text if "!" <= c <= "~"]
+            found = self.shown[code] = Glyph(text, float(self.widths.get(code, self.default)), bool(text.strip()), len(visible), sum(map(str.isalpha, visible)))
+        return found
 
 
 def glyph_text(name: str) -> str:
@@ -412,7 +432,7 @@ def glyph_text(name: str) -> str:
 
 @dataclass
 class Run:
-    """Text drawn at once, in user space; sy grows towards the top of the page as it is read."""
+    """Text drawn at once, in user space; sy grows towards the top of the page as it is read. Of its visible glyphs, the different widths."""
 
     page: int
     seq: int
@@ -510,19 +530,21 @@ class Interpreter:
 
     def _show(self, items: list) -> None:
         size = self.size * self.sx
+        seen: set[float] = set()
         run = Run(self.page, len(self.runs), "", self.x, self.y, -self.y if self.down else self.y, 0.0, size, self.font.ident if self.font else "")
         for item in items:
             if isinstance(item, (int, float)):
                 run.w += KERN_SIGN * item * size / 1000
             elif isinstance(item, bytes) and self.font:
-                for text, width in self.font.glyphs(item):
-                    run.str += text
-                    run.w += width * size / 1000
-                    if text.strip():
-                        run.glyph_widths.append(float(width))
-                        visible = [c for c in text if "!" <= c <= "~"]
-                        run.ascii += len(visible)
-                        run.letters += sum(c.isalpha() for c in visible)
+                glyphs = list(map(self.font.glyph, self.font.codes(item)))
+                if glyphs:
+                    texts, widths, _, ascii_, letters = zip(*glyphs, strict=True)
+                    run.str += "".join(texts)
+                    run.w += sum(widths) * size / 1000
+                    run.ascii += sum(ascii_)
+                    run.letters += sum(letters)
+                    seen.update(g.width for g in set(glyphs) if g.visible)
+        run.glyph_widths = sorted(seen)
         if run.str:
             self.runs.append(run)
         self.x += run.w

@@ -107,16 +107,18 @@ def workbook_parts(docs: DataFrame, column: str = "content", id_col: str = "doc_
 
 
 def pdf_text_runs(docs: DataFrame, column: str = "content", id_col: str = "doc_id") -> DataFrame:
-    """Positioned text of PDF pages."""
-    from .pdf import page_runs
+    """Positioned text of PDF pages; `mono` tells the fonts that are monospace over the whole document, which is at hand here."""
+    from .pdf import monospace_fonts, page_runs
 
     def rows(data: bytes) -> Iterator[tuple]:
-        for runs in page_runs(data):
+        pages = page_runs(data)
+        mono = monospace_fonts(pages)
+        for runs in pages:
             for r in runs:
-                yield (r.page, r.seq, r.str, float(r.x), float(r.y), float(r.sy), float(r.w), float(r.font_size), r.font_id, r.glyph_widths, r.ascii, r.letters)
+                yield (r.page, r.seq, r.str, float(r.x), float(r.y), float(r.sy), float(r.w), float(r.font_size), r.font_id, r.glyph_widths, r.ascii, r.letters, r.font_id in mono)
 
     return explode_documents(docs, column, rows, "page int, seq int, str string, x double, y double, sy double, w double, font_size double, font_id string, "
-                             "glyph_widths array<double>, ascii int, letters int", id_col)
+                             "glyph_widths array<double>, ascii int, letters int, mono boolean", id_col)
 
 
 def pdf_pages(docs: DataFrame, column: str = "content", id_col: str = "doc_id") -> DataFrame:

@@ -83,6 +83,8 @@ def test_pdf_tables_agree_with_one_pass(spark):
     df = spark.createDataFrame(docs, "doc_id string, content binary")
     got = {x.doc_id: (x.markdown, x.warnings) for x in convert_pdf_tables(df).collect()}
     assert got == {i: document_markdown(bytes(b))[:2] for i, b in docs}
+    runs = tables.pdf_text_runs(df)
+    assert sorted(layout.text_lines(runs).collect()) == sorted(layout.text_lines(runs.drop("mono")).collect())
 
 
 def test_workbook_parts_agree_with_reader(spark):
