@@ -84,10 +84,6 @@ def plan_sequences(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, .
         if x[i] < 1:
             break
         take(tuple(patterns[i]), int(x[i]))
-    for i in np.argsort(-(x - np.floor(x)), kind="stable"):  # round up where that many are left
-        if x[i] - np.floor(x[i]) < 0.05:
-            break
-        take(tuple(patterns[i]), 1)
     while left.any():
         spare = left.copy()
         p: list[int] = []
