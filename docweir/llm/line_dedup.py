@@ -15,7 +15,7 @@ from .common import pick, stored, text_slices
 #: Bits of each of the two filters and of the blocks it is cut into; bits set per hash.
 FILTER_BITS, BLOCK_BITS, SET = 1 << 27, 1 << 16, 2
 #: Keys to drop that every worker may get, as 16-byte digests; more are joined by a shuffle.
-SENT = 2_000_000
+SENT = 200_000
 SPACE = " \t\n\x0b\x0c\r"
 
 

@@ -11,37 +11,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, text_slices
+from .common import pick, slices, text_slices
 
 #: Labelled rows and unlabelled rows (about so many, with the smallest hashes of their ids) that the classifiers are fitted on; hashed byte trigrams of the
 #: text view; one-hot places for source and language in the metadata view.
 LABELLED, POOL, GRAMS, SOURCES, LANGS = 3000, 3000, 2048, 64, 32
 
 
-def _reduce(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Sums of consecutive stretches, of which some may be empty."""
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-    return np.diff(total[ends])
+#: Bytes of text worked on at a time.
+PIECE = 4 << 20
+
+
+def _counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the counts of its trigrams by bucket, two spaces after its end, and of line feeds, upper-case letters, digits, spaces and
+    other ASCII that is no letter. Texts are cut into pieces that see two bytes on, so a long one takes no more memory."""
+    grams, kinds = np.zeros((len(raw), GRAMS)), np.zeros((len(raw), 5), np.int64)
+    pieces = [(i, at) for i, r in enumerate(raw) for at in range(0, len(r), PIECE)]
+    sizes = [min(PIECE, len(raw[i]) - at) + 2 for i, at in pieces]
+    for lo, hi in slices(sizes, PIECE):
+        group = pieces[lo:hi]
+        buf = np.frombuffer(b"".join((raw[i][at : at + PIECE + 2] + b"  ")[:n] for (i, at), n in zip(group, sizes[lo:hi], strict=True)), np.uint8)
+        length = np.array(sizes[lo:hi])
+        ends = np.cumsum(length)
+        own = np.ones(len(buf), bool)
+        own[ends - 1] = own[ends - 2] = False  # the bytes on are for trigrams only
+        at = np.nonzero(own)[0]
+        row = np.repeat(np.arange(len(group)), length - 2)
+        wide = buf.astype(np.int64)
+        code = ((wide[at] << 16 | wide[at + 1] << 8 | wide[at + 2]) * 2_654_435_761 >> 12) % GRAMS
+        first = group[0][0]
+        doc = np.array([i - first for i, _ in group])
+        n = int(doc[-1]) + 1
+        grams[first : first + n] += np.bincount(doc[row] * GRAMS + code, minlength=n * GRAMS).reshape(n, GRAMS)
+        byte = buf[at]
+        feed, upper, lower = byte == 10, (byte >= 65) & (byte <= 90), (byte >= 97) & (byte <= 122)
+        digit, space = (byte >= 48) & (byte <= 57), (byte == 32) | (byte == 10)
+        for k, mask in enumerate((feed, upper, digit, space, (byte < 128) & ~(upper | lower | digit | space))):
+            kinds[first : first + n, k] += np.bincount(doc[row], mask, n).astype(np.int64)
+    return grams, kinds
 
 
 def views(texts: list[str | None], sources: list[str | None], langs: list[str | None], chars: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of both views: root frequencies of hashed byte trigrams; source, language, size and layout of the page."""
     raw = [(t or "").encode() for t in texts]
-    ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
-    buf = np.frombuffer(b"".join(raw) + b"  ", np.uint8).astype(np.int64)
-    n = len(raw)
-    size = np.diff(ends)
-    of = np.repeat(np.arange(n), size)
-    code = ((buf[:-2] << 16 | buf[1:-1] << 8 | buf[2:]) * 2_654_435_761 >> 12) % GRAMS
-    grams = np.bincount(of * GRAMS + code, minlength=n * GRAMS).reshape(n, GRAMS)
+    n, size = len(raw), np.array([len(r) for r in raw], np.int64)
+    grams, kinds = _counts(raw)
     text = np.sqrt(grams / np.maximum(size, 1)[:, None]).astype(np.float32)
-    byte = buf[:-2]
-    lines = _reduce(byte == 10, ends) + 1
-    share = lambda mask: _reduce(mask, ends) / np.maximum(size, 1)
-    upper, lower = (byte >= 65) & (byte <= 90), (byte >= 97) & (byte <= 122)
-    digit, space = (byte >= 48) & (byte <= 57), (byte == 32) | (byte == 10)
-    layout = [np.log1p(np.array([c or 0 for c in chars], float)) / 10, np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10,
-              *(4 * share(m) for m in (upper, digit, space, (byte < 128) & ~(upper | lower | digit | space)))]
+    lines, share = kinds[:, 0] + 1, kinds[:, 1:] / np.maximum(size, 1)[:, None]
+    layout = [np.log1p(np.array([c or 0 for c in chars], float).clip(0)) / 10, np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10, *(4 * share.T)]
     meta = np.zeros((n, SOURCES + LANGS + len(layout)), np.float32)
     for i, (s, lang) in enumerate(zip(sources, langs, strict=True)):
         meta[i, zlib.crc32((s or "").encode()) % SOURCES] = 1

@@ -35,15 +35,13 @@ def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
         words = (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at space and U+0009 to U+000D only
         if not words:
             continue
-        if len(words) < shingle:
-            grams = [b" ".join(words)]
-        else:
-            grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-        h = np.fromiter((xxh64_intdigest(g, 42) for g in grams), "<u8", len(grams))
-        ones = np.zeros(64, np.int64)
-        for lo in range(0, len(h), 8192):
-            ones += np.unpackbits(h[lo : lo + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]
+        n, ones = max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
+        for lo in range(0, n, 8192):  # a long text in stretches
+            part = words[lo : min(lo + 8192, n) + shingle - 1]
+            grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+            h = np.fromiter((xxh64_intdigest(g, 42) for g in grams), "<u8")
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
     return out
 
 

@@ -442,6 +442,17 @@ def test_quality(spark):
     assert quality.co_trained_quality(docs.where("false"), known).count() == 0
 
 
+def test_views_do_not_depend_on_neighbours(monkeypatch):
+    texts = ["a line\nof 12 WORDS!", None, "é" * 50, "x" * 4000, "", "the end"]
+    rest = lambda n: (["s"] * n, [None] * n, [3] * n)
+    text, meta = quality.views(texts, *rest(6))
+    alone = [quality.views([t], *rest(1)) for t in texts]
+    assert (text == np.concatenate([a for a, _ in alone])).all() and (meta == np.concatenate([b for _, b in alone])).all()
+    monkeypatch.setattr(quality, "PIECE", 7)
+    cut, same = quality.views(texts, *rest(6))
+    assert (cut == text).all() and (same == meta).all()
+
+
 def test_quality_with_clashing_names(clashing, spark):
     known = spark.createDataFrame([(i, i % 2, 0) for i in range(50)], "doc_id bigint, quality int, toxic int")
     assert quality.co_trained_quality(clashing, known).count() == clashing.count()
