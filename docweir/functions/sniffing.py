@@ -122,3 +122,27 @@ HTML_TAGS = r"(?i)<(!doctype|html|body|div|p|h[1-6]|table|ul|ol|section|article)
 def looks_like_html(name: Column, text: Column, pattern: str = HTML_TAGS) -> Column:
     """By the name, or by a tag among the first 2,000 characters."""
     return F.coalesce(F.lower(name).rlike(r"\.html?$"), F.lit(False)) | F.coalesce(F.substring(text, 1, 2000).rlike(pattern), F.lit(False))
+
+
+def _big(content: Column, at: int, n: int) -> Column:
+    """An unsigned big-endian integer at a 0-based place."""
+    return F.conv(F.hex(F.substring(content, at + 1, n)), 16, 10).cast("bigint")
+
+
+def image_size(content: Column) -> Column:
+    """struct(width, height) from the header of a PNG, GIF, BMP or (simple) WEBP image; null for others."""
+    kind = image_kind(content)
+    size = lambda w, h: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
+    webp = F.substring(content, 13, 4)
+    return (
+        F.when(kind == "png", size(_big(content, 16, 4), _big(content, 20, 4))).when(kind == "gif", size(_little(content, 6, 2), _little(content, 8, 2)))
+        .when(kind == "bmp", size(_little(content, 18, 4), _little(content, 22, 4)))
+        .when((kind == "webp") & (F.hex(webp) == "56503820"), size(_little(content, 26, 2) % 16_384, _little(content, 28, 2) % 16_384)))
+
+
+def ocr_size(width: Column, height: Column, long_edge: int = 1500, turned: bool = False) -> Column:
+    """struct(width, height) an image is given to a recogniser in: its long edge at most 1,500, never enlarged; turned by a quarter on request."""
+    edge = F.greatest(width, height)
+    scale = F.when(edge > long_edge, F.lit(float(long_edge)) / edge).otherwise(F.lit(1.0))
+    w, h = (F.greatest(F.lit(1), F.floor(x * scale + 0.5).cast("int")) for x in (width, height))
+    return F.struct(*(x.alias(n) for x, n in zip((h, w) if turned else (w, h), ("width", "height"), strict=True)))

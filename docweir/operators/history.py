@@ -42,6 +42,13 @@ def normalized(records: DataFrame) -> DataFrame:
                                 "mime": F.coalesce(F.nullif(F.col("mime"), F.lit("")), default)})
 
 
+def new_records(files: DataFrame, name: str = "name", uri: str = "path", size: str = "length", kind: str = "kind") -> DataFrame:
+    """Records for saved files: a random id, the time of the query, in the order of the uri. Ids and times differ from run to run."""
+    order = Window.partitionBy(F.lit(0)).orderBy(uri)
+    return files.select(F.expr("uuid()").alias("id"), F.col(name).alias("name"), F.col(uri).alias("uri"), F.col(size).cast("double").alias("bytes"), F.lit("").alias("mime"),
+                        F.col(kind).alias("kind"), F.unix_millis(F.current_timestamp()).alias("created_at"), F.row_number().over(order).cast("bigint").alias("ins_seq"))
+
+
 def append(records: DataFrame, new: DataFrame, keep: bool = True, limit: int = LIMIT) -> DataFrame:
     """The history with new records, and the oldest gone beyond the limit; unchanged if history is off."""
     if not keep:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from docweir.sources.tables import pdf_pages, pdf_text_runs
 ASSETS = ArrayType(StructType([StructField("name", StringType()), StructField("content", BinaryType()), StructField("size", LongType()), StructField("type", StringType())]))
 SCAN = StructType([StructField("bytes", LongType()), StructField("rows", LongType())])
 RESULT = StructType([StructField("markdown", StringType()), StructField("warnings", ArrayType(StringType())), StructField("error", StringType()),
-                     StructField("truncated", BooleanType()), StructField("assets", ASSETS), StructField("scan", SCAN), StructField("backend", StringType())])
+                     StructField("truncated", BooleanType()), StructField("assets", ASSETS), StructField("scan", SCAN), StructField("backend", StringType()), StructField("elapsed_ms", LongType())])
 OWN = ["doc_id", "name", "size", "type", "detail", "ole2_subtype"]
 
 
@@ -89,12 +90,14 @@ def _converter(registry: dict[str, Callable[..., dict]], recognise: Recogniser |
         if content is None:
             return None
         more = {"recognise": recognise} if route in ("pdf", "image") else {}
+        began = time.perf_counter()
         try:
             made = registry[route](name, content, **more)
         except Exception as e:  # noqa: BLE001
             said = str(e) if re.fullmatch("[A-Z_0-9]+", str(e)) else f"{type(e).__name__}: {e}"
             made = {"markdown": "", "error": said}
-        return {"warnings": [], "error": None, "truncated": False, "assets": None, "scan": None, "backend": None} | made
+        return {"warnings": [], "error": None, "truncated": False, "assets": None, "scan": None, "backend": None,
+                "elapsed_ms": round(1000 * (time.perf_counter() - began))} | made
 
     return run
 
@@ -110,7 +113,8 @@ def typed(files: DataFrame) -> DataFrame:
 
 
 def convert(files: DataFrame, registry: dict[str, Callable[..., dict]] | None = None, recognise: Recogniser | None = None) -> DataFrame:
-    """documents_md: one row per file with its type, Markdown, warnings, assets or error; error and Markdown exclude each other.
+    """documents_md: one row per file with its type, Markdown, warnings, assets or error; error and Markdown exclude each other. elapsed_ms is
+    the time a document took in Python, null for others; it differs from run to run.
 
     One pass over the files, without a shuffle. Plain UTF-8 text is cleaned by Spark itself. All else goes through one Python function,
     which gets a null instead of the content of documents it has no part in, so their bytes do not leave the JVM.
@@ -135,7 +139,7 @@ def convert(files: DataFrame, registry: dict[str, Callable[..., dict]] | None =
     return made.select(
         *OWN, F.when(failed.isNotNull(), "").when(cut, truncation_notice(md, warnings)).otherwise(md).alias("markdown"), warnings.alias("warnings"),
         failed.alias("error"), cut.alias("truncated"), F.col("_r.assets").alias("assets"), F.col("_r.scan").alias("scan"),
-        F.coalesce(F.col("_r.backend"), F.when(F.col("_route") == "plain", "text")).alias("backend"))
+        F.coalesce(F.col("_r.backend"), F.when(F.col("_route") == "plain", "text")).alias("backend"), F.col("_r.elapsed_ms").alias("elapsed_ms"))
 
 
 def convert_pdf_tables(docs: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
@@ -148,8 +152,16 @@ def convert_pdf_tables(docs: DataFrame, ocr: DataFrame | None = None) -> DataFra
     return assemble_pages(arbitrate_ocr(texts, ocr), pages.select("doc_id", "n_pages"))
 
 
+def preflight(files: DataFrame) -> DataFrame:
+    """(doc_id, unpacked, seconds): what archives hold by their directories, and how long at worst the larger ones may take."""
+    from docweir.functions.numbers import worst_case_seconds
+    from docweir.sources.tables import zip_entries
+
+    return zip_entries(files).groupBy("doc_id").agg(F.sum("size").alias("unpacked")).withColumn("seconds", worst_case_seconds(F.col("unpacked")))
+
+
 def meta_json(docs: DataFrame) -> DataFrame:
     """(doc_id, meta): the record of a conversion without its text, as JSON."""
-    return docs.select("doc_id", F.to_json(F.struct("name", "size", "type", "detail", "ole2_subtype", "backend", "truncated", "warnings", "error")).alias("meta"))
+    return docs.select("doc_id", F.to_json(F.struct("name", "size", "type", "detail", "ole2_subtype", "backend", "elapsed_ms", "truncated", "warnings", "error")).alias("meta"))
 
 

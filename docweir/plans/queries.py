@@ -12,7 +12,7 @@ from docweir.functions import numbers, sniffing, text
 from docweir.functions.chars import folded
 from docweir.functions.tables import gfm_table
 from docweir.operators import export, history, layout
-from docweir.plans.convert import convert, typed
+from docweir.plans.convert import convert, preflight, typed
 from docweir.plans.workbook import resolved_cells
 from docweir.sources import tables as exploded
 
@@ -510,6 +510,31 @@ def date_formats(spark, sf_dir):
     return df.select("id", "code", numbers.is_date_format(F.col("id"), F.col("code")).alias("is_date"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_partkey % 5000 + 1 AS INT) AS width, CAST(l_suppkey + 1 AS INT) AS height,
+CAST(CASE WHEN greatest(l_partkey % 5000 + 1, l_suppkey + 1) > 1500 THEN greatest(1, floor((l_suppkey + 1) * (1500.0 / greatest(l_partkey % 5000 + 1, l_suppkey + 1)) + 0.5)) ELSE l_suppkey + 1 END AS INT) AS turned_width FROM lineitem""")
+def image_sizes(spark, sf_dir):
+    """Headers of PNG images made from part and supplier numbers, read again, and their size for a recogniser."""
+    four = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    w, h = (F.col("l_partkey") % 5000 + 1).cast("bigint"), (F.col("l_suppkey") + 1).cast("bigint")
+    png = F.concat(F.lit(bytearray.fromhex("89504E470D0A1A0A0000000D49484452")), four(w), four(h), F.lit(bytearray(5)))
+    rows = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", sniffing.image_size(png).alias("s")).select("l_orderkey", "l_linenumber", "l_partkey", "s.*")
+    return rows.withColumn("turned_width", sniffing.ocr_size(F.col("width"), F.col("height"), turned=True)["width"])
+
+
+@query("""SELECT o_custkey AS doc_id, CAST(sum(o_orderkey * 100) AS BIGINT) AS unpacked, CAST(CASE WHEN sum(o_orderkey * 100) >= 33554432 THEN greatest(1, floor(sum(o_orderkey * 100) / 4194304.0 + 0.5)) END AS BIGINT) AS seconds FROM orders GROUP BY o_custkey""")
+def archive_preflight(spark, sf_dir):
+    """Central directories that name large members, without the members."""
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        import struct
+
+        entries = b"".join(struct.pack("<4s6H3I5H2I", b"PK\x01\x02", 20, 20, 0, 8, 0, 0, 0, 1, int(k) * 100, 1, 0, 0, 0, 0, 0, 0) + b"x" for k in pdf.o_orderkey)
+        end = struct.pack("<4s4H2IH", b"PK\x05\x06", 0, 0, len(pdf) & 0xFFFF, len(pdf) & 0xFFFF, len(entries), 0, 0)
+        return pd.DataFrame({"doc_id": [int(pdf.doc_id.iloc[0])], "content": [entries + end]})
+
+    o = _read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("bigint").alias("doc_id"), "o_orderkey")
+    return preflight(o.groupBy("doc_id").applyInPandas(build, "doc_id bigint, content binary"))
+
+
 @query()
 def preview_html(spark, sf_dir):
     """The first segment of every page, as safe HTML."""

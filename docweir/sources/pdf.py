@@ -555,7 +555,10 @@ def page_runs(data: bytes) -> list[list[Run]]:
     pdf, fonts, out = Pdf(data), {}, []
     for number, page in enumerate(pdf.pages(), 1):
         it = Interpreter(pdf, number, fonts)
-        it.run(pdf.content(page), pdf.get(page.get("Resources")) or {})
+        try:
+            it.run(pdf.content(page), pdf.get(page.get("Resources")) or {})
+        except (ValueError, TypeError, AttributeError, IndexError, KeyError):
+            pass  # a damaged page keeps what was drawn before the damage
         out.append(it.runs)
     return out
 

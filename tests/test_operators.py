@@ -218,6 +218,14 @@ def test_preview_is_safe():
     assert preview.image_html("data:image/png;base64," + "A" * (3 << 20), "x") == '<span class="md-image">[large image: x]</span>'
 
 
+def test_new_records(spark):
+    files = spark.createDataFrame([("a.md", "/x/a.md", 5, "md"), ("b.zip", "/x/b.zip", 6, "zip"), ("c.txt", "/x/c", 7, "txt")], "name string, path string, length bigint, kind string")
+    new = history.new_records(files)
+    empty = history.normalized(new.where("false"))
+    got = history.append(empty, new).orderBy("ins_seq").collect()
+    assert [(r.name, r.bytes, r.mime) for r in got] == [("a.md", 5, "text/markdown"), ("b.zip", 6, "application/zip")] and all(len(r.id) == 36 for r in got)
+
+
 def test_packaging(spark, tmp_path):
     assert export.embed("![i](assets/a%20b.png) [l](x)", [("assets/a b.png", b"xyz", "image/png"), ("gone", None, "t")]) == ("![i](data:image/png;base64,eHl6) [l](x)", ["gone"])
     data, failed = export.archive("md", "d.md", [("assets/a.png", b"1", "t"), ("no", None, "t")])

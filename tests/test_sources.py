@@ -220,6 +220,7 @@ def test_pdf_damage():
     with pytest.raises(PdfError, match="ENCRYPTED"):
         page_runs(pdf(b"").replace(b"/Root 1 0 R", b"/Root 1 0 R /Encrypt 9 0 R"))
     assert Lexer(b"<< /A [1 0 R (x] /B").next() is not None
+    assert texts(pdf(b"BT /F 10 Tf (kept) Tj [/X] Tm (x) Tj ET"))[0][0] == "kept"
 
 
 def test_best_attempt():
