@@ -106,7 +106,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     seen = None
     for _ in range(rounds):
         # An edge set is settled when every node points at one smaller node that points nowhere.
-        now = stored(star(star(now, True), False), "edges")
+        before, now = now, stored(star(star(now, True), False), "edges")
+        drop_table(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -507,3 +507,36 @@ def test_pipeline(spark, docs, rows, clashing, none, tmp_path):
         assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, clashing, str(tmp_path)).count() > 0
+
+
+# -- shared parts -----------------------------------------------------------------------------------------------------------------
+
+def test_connected_components(spark):
+    from docweir.llm.common import connected_components
+
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(2000 + r.randrange(80), 2000 + r.randrange(80)) for _ in range(60)] + [(7, 7), (3, 2)]
+    parent = {x: x for e in edges for x in e}
+    for a, b in edges:
+        x, y = find(parent, a), find(parent, b)
+        parent[max(x, y)] = min(x, y)
+    got = {(c.id, c.component) for c in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {(x, find(parent, x)) for a, b in edges if a != b for x in (a, b)}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_common_fingerprints_are_joined_apart(docs, monkeypatch):
+    want = ordered(simhash.simhash_groups(docs, 3))
+    monkeypatch.setattr(simhash, "HOT", 2)
+    assert ordered(simhash.simhash_groups(docs, 3)) == want
+
+
+def test_shared_folder_is_the_sessions(spark, monkeypatch):
+    from docweir.llm.common import drop_table, shared_dir, stored
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    table = stored(spark.range(5), "t")
+    assert table.count() == 5 and table.inputFiles()[0].startswith(spark.conf.get("spark.checkpoint.dir"))
+    drop_table(table)
+    with pytest.raises(Exception, match="(?i)not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        spark.read.parquet(table.inputFiles()[0] if table.inputFiles() else f"{shared_dir(spark)}/gone").count()
