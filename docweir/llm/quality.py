@@ -67,7 +67,7 @@ def views(texts: list[str | None], sources: list[str | None], langs: list[str |
     return text, meta
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, steps: int = 150, ridge: float = 1e-4) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, steps: int = 400, ridge: float = 1e-6) -> np.ndarray:
     """Weights and intercept of a logistic regression, by accelerated gradient steps; both classes weigh the same."""
     n, d = x.shape
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
