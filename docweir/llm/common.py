@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -40,8 +42,27 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub("^file:/(?!/)", "file:///", uri)
 
 
+_MADE: list[tuple[SparkSession, str]] = []  # folders of this driver, removed when it ends
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docweir-{uuid.uuid4().hex}/{name}"
+    """A new path in the shared folder, which is kept until the driver ends: results that are still to be computed may read it."""
+    top = f"{shared_dir(spark)}/docweir-{uuid.uuid4().hex}"
+    _MADE.append((spark, top))
+    return f"{top}/{name}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -54,10 +75,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def drop_table(df: DataFrame) -> None:
     """Removes the table behind a `stored` frame that is not needed any more."""
-    spark = df.sparkSession
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
 
 
 def partitions(spark: SparkSession) -> int:
