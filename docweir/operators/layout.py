@@ -46,14 +46,15 @@ def line_text(runs: Column) -> Column:
     def step(a: Column, r: Column) -> Column:
         gap = r.x - (a.x + a.w)
         over = (a.str == r.str) & (F.abs(r.x - a.x) < 0.5 * r.w / F.greatest(F.lit(1), F.length(r.str)))
-        cjk = a.str.rlike(f"[{CJK}]$") & r.str.rlike(f"^[{CJK}]")
-        apart = (gap > F.greatest(a["size"], r.font_size) / 3) | ((gap > 0) & a.text.rlike(f"{word}$") & r.str.rlike(f"^{word}"))
+        last, first = F.right(a.text, F.lit(1)), F.left(r.str, F.lit(1))  # single characters, so that no pattern scans a line
+        cjk = last.rlike(f"[{CJK}]") & first.rlike(f"[{CJK}]")
+        apart = (gap > F.greatest(a["size"], r.font_size) / 3) | ((gap > 0) & last.rlike(word) & first.rlike(word))
         space = a.str.isNotNull() & ~cjk & apart & ~a.text.endswith(" ") & ~r.str.startswith(" ")
         text = F.concat(a.text, F.when(F.coalesce(space, F.lit(False)), " ").otherwise(""), r.str)
         return F.when(F.coalesce(over, F.lit(False)), a).otherwise(
             F.struct(text.alias("text"), r.str.alias("str"), r.x.alias("x"), r.w.alias("w"), r.font_size.alias("size")))
 
-    joined = F.aggregate(F.array_sort(runs), start, step, lambda a: a.text)
+    joined = F.when(F.size(runs) == 1, runs[0].str).otherwise(F.aggregate(F.array_sort(runs), start, step, lambda a: a.text))
     return F.regexp_replace(F.regexp_replace(joined, " {2,}", " "), f"[{WS}]+$", "")
 
 

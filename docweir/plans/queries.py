@@ -14,6 +14,7 @@ from docweir.functions.tables import gfm_table
 from docweir.operators import export, history, layout
 from docweir.plans.convert import convert, preflight, typed
 from docweir.plans.workbook import resolved_cells
+from docweir.session import spread
 from docweir.sources import tables as exploded
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +36,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(_read(spark, sf_dir, name))
+
+
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as files: (doc_id, name, content)."""
-    docs = _read(spark, sf_dir, "documents").select(
+    docs = _dealt(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.concat(F.lit("doc-"), "doc_id", F.lit(".txt")).alias("name"), F.encode("text", "UTF-8").alias("content"))
-    pages = _read(spark, sf_dir, "pages").select(
+    pages = _dealt(spark, sf_dir, "pages").select(
         F.concat(F.lit("p"), "page_id").alias("doc_id"), F.concat(F.lit("page-"), "page_id", F.lit(".html")).alias("name"), F.encode("html", "UTF-8").alias("content"))
     return docs.unionByName(pages)
 
@@ -113,7 +118,7 @@ def registry_dispatch(spark, sf_dir):
 SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(x, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\t\n\x0B\f\r ]+|[\t\n\x0B\f\r ]+$', '', 'g')) AS digest FROM t""")
 def text_normalize(spark, sf_dir):
     x = F.concat(F.replace("text", F.lit(". "), F.lit(".\r\n\r\n\n")), F.lit("\r"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_text(x)).alias("digest"))
+    return _dealt(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_text(x)).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(replace(text, '. ', chr(9) || chr(160) || '  '), '[\t\n\x0B\f\r \x{A0}]+', ' ', 'g')) AS digest FROM documents")
@@ -150,7 +155,7 @@ SELECT doc_id, CAST(good AS INT) AS good, CAST(garbage AS INT) AS garbage, round
 length(x) < 10 OR CASE WHEN good + garbage > 0 THEN good / (good + garbage) ELSE 0 END < 0.4 AS ocr FROM c""")
 def quality_ratio(spark, sf_dir):
     x = F.replace("text", F.lit("q"), F.lit("\ue001"))
-    return _read(spark, sf_dir, "documents").select("doc_id", text.good_chars(x).alias("good"), text.garbage_chars(x).alias("garbage"),
+    return _dealt(spark, sf_dir, "documents").select("doc_id", text.good_chars(x).alias("good"), text.garbage_chars(x).alias("garbage"),
                                                     F.round(text.quality_ratio(x), 9).alias("ratio"), text.needs_ocr(x).alias("ocr"))
 
 
@@ -205,7 +210,7 @@ def line_classes(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(sum(n) AS BIGINT) AS chars FROM (SELECT doc_id, length(text) AS n FROM documents) WHERE n > 0 GROUP BY doc_id")
 def segments(spark, sf_dir):
-    parts = exploded.markdown_segments(_read(spark, sf_dir, "documents"), "text", limit=1024)
+    parts = exploded.markdown_segments(_dealt(spark, sf_dir, "documents"), "text", limit=1024)
     return parts.groupBy("doc_id").agg(F.sum((F.col("end") - F.col("start")).cast("bigint")).alias("chars"))
 
 
@@ -320,7 +325,7 @@ def _zip_of(text: str, n: int) -> bytes:
 
 @query("SELECT doc_id, CAST(3 AS BIGINT) AS n, CAST(octet_length(encode(text)) + 2 + doc_id % 50 AS BIGINT) AS unpacked FROM documents")
 def zip_directory(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select("doc_id", _binary_udf(_zip_of)("text", F.col("doc_id") % 50).alias("content"))
+    d = _dealt(spark, sf_dir, "documents").select("doc_id", _binary_udf(_zip_of)("text", F.col("doc_id") % 50).alias("content"))
     return exploded.zip_entries(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("unpacked"))
 
 
@@ -334,7 +339,7 @@ def _docx_of(text: str) -> bytes:
 f AS (SELECT doc_id, i, trim(regexp_replace(line, '[\s\x{A0}]+', ' ', 'g')) AS x FROM l)
 SELECT doc_id, md5(coalesce(string_agg(x, chr(10) || chr(10) ORDER BY i) FILTER (WHERE x <> ''), '')) AS digest FROM f GROUP BY doc_id""")
 def docx_roundtrip(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select(F.col("doc_id"), F.lit("x.docx").alias("name"), _binary_udf(_docx_of)("text").alias("content"))
+    d = _dealt(spark, sf_dir, "documents").select(F.col("doc_id"), F.lit("x.docx").alias("name"), _binary_udf(_docx_of)("text").alias("content"))
     return convert(d).select("doc_id", F.md5("markdown").alias("digest"))
 
 
@@ -349,7 +354,7 @@ def _pdf_of(text: str) -> bytes:
 f AS (SELECT doc_id, i, rtrim(regexp_replace(line, ' {2,}', ' ', 'g')) AS x FROM l)
 SELECT doc_id, CAST(floor(i / 40) + 1 AS INT) AS page, md5(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE x <> '')) AS digest, count(*) FILTER (WHERE x <> '') AS n FROM f GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x <> '') > 0""")
 def pdf_roundtrip(spark, sf_dir):
-    d = _read(spark, sf_dir, "documents").select("doc_id", _binary_udf(_pdf_of)("text").alias("content"))
+    d = _dealt(spark, sf_dir, "documents").select("doc_id", _binary_udf(_pdf_of)("text").alias("content"))
     lines = layout.text_lines(exploded.pdf_text_runs(d)).where("text <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r.text), "\n")
     return lines.groupBy("doc_id", "page").agg(F.md5(joined).alias("digest"), F.count("*").alias("n"))
@@ -385,13 +390,13 @@ def code_islands(spark, sf_dir):
 
 @query()
 def html_to_md(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("page.html").alias("name"), F.encode("html", "UTF-8").alias("content"))
+    pages = _dealt(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("page.html").alias("name"), F.encode("html", "UTF-8").alias("content"))
     return convert(pages).select("doc_id", "markdown", "warnings", "backend")
 
 
 @query(r"""SELECT page_id AS doc_id, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS BIGINT) AS headings, CAST(len(regexp_extract_all(html, '<ul[ >]')) AS BIGINT) AS lists FROM pages""")
 def page_blocks(spark, sf_dir):
-    blocks = exploded.html_block_rows(_read(spark, sf_dir, "pages"), "html", "page_id")
+    blocks = exploded.html_block_rows(_dealt(spark, sf_dir, "pages"), "html", "page_id")
     return blocks.groupBy("doc_id").agg(F.count_if((F.col("kind") == "heading") & F.col("md").startswith("# ")).alias("headings"), F.count_if(F.col("kind") == "list").alias("lists"))
 
 
@@ -472,7 +477,7 @@ def package_files(spark, sf_dir):
     content = F.when(F.col("doc_id") % 5 != 0, F.lit(bytearray(b"xyz")))
     name = F.when(F.col("doc_id") % 5 == 0, "assets/i (1).png").otherwise("assets/i.png")
     asset = F.struct(name.alias("name"), content.alias("content"), F.when(F.col("doc_id") % 2 == 0, 30_000_000).otherwise(3).cast("bigint").alias("size"), F.lit("image/png").alias("type"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id", F.lit(".docx")).alias("name"), F.concat("text", F.lit(" ![i]("), name, F.lit(")")).alias("markdown"), F.array(asset).alias("assets"))
+    docs = _dealt(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id", F.lit(".docx")).alias("name"), F.concat("text", F.lit(" ![i]("), name, F.lit(")")).alias("markdown"), F.array(asset).alias("assets"))
     out = export.package(docs)
     is_zip = F.col("name").endswith(".zip")
     return out.select("doc_id", "name", is_zip.alias("is_zip"), F.size("failed").alias("failed"), F.when(~is_zip, F.md5("content")).alias("digest"))
@@ -543,7 +548,7 @@ def preview_html(spark, sf_dir):
     from docweir.operators.preview import render_preview
 
     shown = F.udf(lambda md: render_preview(md or ""), StructType([StructField("html", StringType()), StructField("notes", ArrayType(StringType()))]), useArrow=True)
-    pages = _read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("page.html").alias("name"), F.encode("html", "UTF-8").alias("content"))
+    pages = _dealt(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("doc_id"), F.lit("page.html").alias("name"), F.encode("html", "UTF-8").alias("content"))
     return convert(pages).select("doc_id", shown("markdown").alias("p")).select("doc_id", "p.html", "p.notes")
 
 
