@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from docweir.session import spread
+
 from .common import pick, text_slices
 from .words import WordEncoder, byte_letters, tokenizer_path
 
@@ -224,4 +226,4 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path(), digests=True)
+    return bpe_round_trip(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), tokenizer_path(), digests=True)

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweir.session import spread
+
 from .common import pick, remainder, stored, text_slices
 
 #: Hidden states; words with an emission of their own; classes of all other words, by their ending; words whose counts every worker has.
@@ -299,7 +301,7 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     held = F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(False))
     out = hmm_scores(docs, train=~held)
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweir.session import spread
+
 from .common import pick, remainder, text_slices
 
 #: Buckets of hashed byte trigrams; languages a document's set may have; words a worker remembers.
@@ -174,7 +176,7 @@ def mixture_language(docs: DataFrame, train: Column | None = None, id_col: str =
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
     out = mixture_language(docs, train=~held)
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "lang_mix")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweir.session import spread
+
 from .common import pick, stored, text_slices
 
 #: Bits of each of the two filters and of the blocks it is cut into; bits set per hash.
@@ -259,5 +261,5 @@ def _outer(keep: bool, names: list[str]) -> list[str]:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_docs=10, keep_first=False)
+    out = repeated_lines(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), min_docs=10, keep_first=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docweir.session import spread
+
 from .common import pick, stored, text_slices
 from .words import library_encoder, tokenizer_path
 
@@ -191,4 +193,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 1024, end_id: i
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return pack_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), tokenizer_path())

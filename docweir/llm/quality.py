@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweir.session import spread
+
 from .common import pick, slices, text_slices
 
 #: Labelled rows and unlabelled rows (about so many, with the smallest hashes of their ids) that the classifiers are fitted on; hashed byte trigrams of the
@@ -222,4 +224,4 @@ def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co_trained_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return co_trained_quality(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))

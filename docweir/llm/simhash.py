@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweir.session import spread
+
 from .common import connected_components, partitions, pick, stored, text_slices
 
 #: Fingerprints under a leaf of the index; a task's own index holds at most TASK fingerprints at a time.
@@ -251,4 +253,4 @@ def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3)
+    return simhash_groups(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), shingle=3)
