@@ -28,8 +28,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines found in 10 documents or more from all of them; a document's text and n_chars are those of what stays."""
-    out = line_dedup.repeated_lines(docs, min_docs=10, keep_first=False, keep=True)
+    """Drops lines found in 10 documents or more from all but the first of them, so that one of each group of copies keeps its text; a document's
+    text and n_chars are those of what stays."""
+    out = line_dedup.repeated_lines(docs, min_docs=10, keep=True)
     made = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return out.select(*(made.get(n, F.col(f"_c{i}")).alias(n) for i, n in enumerate(docs.columns)))
 

@@ -509,6 +509,19 @@ def test_pipeline(spark, docs, rows, clashing, none, tmp_path):
         assert stage(spark, clashing, str(tmp_path)).count() > 0
 
 
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline
+
+    text = "\n".join(" ".join(f"w{line}x{k}" for k in range(12)) for line in range(5))
+    rows = [(100 + i, text, "en", "s0", len(text)) for i in range(12)] + [(1, "some other words\n" + text.split("\n")[0], "en", "s0", 1), (2, "apart", "en", "s0", 5)]
+    lines = corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "")
+    got = {r.doc_id: (r.text, r.n_chars) for r in lines.collect()}
+    rest = "\n".join(text.split("\n")[1:])  # document 1 is the first one with the first line
+    assert got == {1: (rows[12][1], len(rows[12][1])), 2: ("apart", 5), 100: (rest, len(rest))} | {i: ("", 0) for i in range(101, 112)}
+    kept = [r.text for r in corpus_pipeline.near_dedup(spark, lines, "").collect()]
+    assert sorted(kept) == sorted([rows[12][1], "apart", rest, ""])
+
+
 # -- shared parts -----------------------------------------------------------------------------------------------------------------
 
 def test_connected_components(spark):
