@@ -36,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id."""
+    """Keeps of each group of near-duplicates (five words, similarity of 0.8 or more) the document with the smallest id."""
     return simhash.keep_one(docs, shingle=5)
 
 

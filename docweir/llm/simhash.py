@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from .common import connected_components, partitions, pick, stored, text_slices
 LEAF, FAN, TASK = 16, 8, 200_000
 #: Documents with one fingerprint from which on it is joined by broadcast.
 HOT = 10_000
+#: Fingerprints up to which a task compares all pairs at once; texts, and characters of texts, of one candidate group that are compared in a task.
+FLAT, TEXTS, CHARS = 1024, 2000, 16_000_000
 _COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _TOP = 1 << 63
 
@@ -28,22 +31,33 @@ def differing(x: np.ndarray) -> np.ndarray:
     return _COUNT[np.ascontiguousarray(x)[..., None].view(np.uint16)].sum(-1, dtype=np.uint8)
 
 
-def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
-    """64-bit SimHash of the word shingles of each text, repeats included; no word: 0."""
+def _shingles(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text, repeats included, in stretches; none for a text without words."""
     from xxhash import xxh64_intdigest
 
+    words = (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at space and U+0009 to U+000D only
+    n = max(1, len(words) - shingle + 1) if words else 0
+    for lo in range(0, n, 8192):
+        part = words[lo : min(lo + 8192, n) + shingle - 1]
+        grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+        yield np.fromiter((xxh64_intdigest(g, 42) for g in grams), "<u8")
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingles(text, shingle)]))
+
+
+def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
+    """64-bit SimHash of the word shingles of each text, repeats included; no word: 0."""
     out = np.zeros(len(texts), np.uint64)
     for k, text in enumerate(texts):
-        words = (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at space and U+0009 to U+000D only
-        if not words:
-            continue
-        n, ones = max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
-        for lo in range(0, n, 8192):  # a long text in stretches
-            part = words[lo : min(lo + 8192, n) + shingle - 1]
-            grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-            h = np.fromiter((xxh64_intdigest(g, 42) for g in grams), "<u8")
+        n, ones = 0, np.zeros(64, np.int64)
+        for h in _shingles(text, shingle):
+            n += len(h)
             ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+        if n:
+            out[k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
     return out
 
 
@@ -92,7 +106,11 @@ class GrayIndex:
 
     def pairs(self, budget: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Positions i < j (in Gray order) of all pairs that differ in at most `budget` bits."""
-        left, right = [], []
+        left, right = zip(*self.pair_chunks(budget, chunk), strict=True)
+        return np.concatenate(left), np.concatenate(right)
+
+    def pair_chunks(self, budget: int, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for `chunk` values of i at a time."""
         n = len(self.sorted)
         for lo in range(0, n, chunk):
             q = np.arange(lo, min(n, lo + chunk))
@@ -112,9 +130,7 @@ class GrayIndex:
             keep = (j < n) & (j > q)
             q, spent, rest, j = q[keep], spent[keep], rest[keep], j[keep]
             keep = spent + differing((self.sorted[q] ^ self.sorted[j]) & rest) <= budget
-            left.append(q[keep])
-            right.append(j[keep])
-        return np.concatenate(left), np.concatenate(right)
+            yield q[keep], j[keep]
 
 
 def _blocks(budget: int) -> list[tuple[int, int]]:
@@ -123,6 +139,31 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _masks(budget: int, agree: int) -> list[int]:
+    """Masks (as signed integers) of all choices of `agree` of budget + agree blocks; two within the budget are equal under one of them at least."""
+    ranges = [((1 << bits) - 1) << shift for shift, bits in _blocks(budget + agree - 1)]
+    return [m - (1 << 64) if m >= _TOP else m for m in map(sum, combinations(ranges, agree))]
+
+
+def _forest(fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from different fingerprints to one of their group each, for groups joined by all pairs within the budget. Pairs are merged
+    as they are found, so a dense group holds no memory for all of them."""
+    n = len(fps)
+    if n <= FLAT:
+        order, step = fps, max(1, FLAT * FLAT // n)
+        found = ((a + lo, b) for lo in range(0, n, step) for a, b in [np.nonzero(differing(fps[lo : lo + step, None] ^ fps) <= budget)])
+    else:
+        index = GrayIndex(fps)
+        order, found = index.sorted, index.pair_chunks(budget, min(4096, max(16, 1_000_000 // n)))
+    root = np.arange(n)
+    for a, b in found:
+        if (new := root[a] != root[b]).any():
+            far = np.nonzero(root != np.arange(n))[0]
+            root = _roots(n, np.concatenate([far, a[new]]), np.concatenate([root[far], b[new]]))
+    far = np.nonzero(root != np.arange(n))[0]
+    return order[far], order[root[far]]
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest position reachable from each of n positions over the links (a, b)."""
     root = np.arange(n)
@@ -137,7 +178,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_links(prints: DataFrame, budget: int) -> DataFrame:
+def near_links(prints: DataFrame, budget: int, agree: int = 1) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join all pairs within the budget, directly or in steps.
 
     Two fingerprints within the budget agree in one of budget + 1 blocks. Each fingerprint goes once for each block to the
@@ -145,9 +186,12 @@ def near_links(prints: DataFrame, budget: int) -> DataFrame:
     no fingerprint meets all others. Of each group that it links, it returns a link from each member to one of them only.
     A block value with more than TASK fingerprints is cut into Gray-order pieces of TASK / 2, and each pair of pieces is a task of
     its own: 30 bits or more still vary there, and all pairs are covered whatever the size.
+    With `agree`, there are budget + agree blocks and a task for the values of each choice of so many of them: more entries a fingerprint, but fewer that
+    meet, which wide budgets need as their blocks are narrow.
     """
     spark = prints.sparkSession
-    parts = [prints.select("fp", F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1).alias("value"))
+    parts = [prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in _masks(budget, agree))))).toDF(
+        "fp", "block", "value")] if agree > 1 else [prints.select("fp", F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1).alias("value"))
              for k, (shift, bits) in enumerate(_blocks(budget))]
     rows = parts[0]
     for p in parts[1:]:
@@ -166,18 +210,22 @@ def near_links(prints: DataFrame, budget: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_now, held = None, []
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64)) for x in (zip(*made, strict=True) if made else ((), ()))], ["a", "b"])
+            made.clear()
+            return out
 
         def links(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
             fps = np.unique(fps)
             if len(fps) < 2:
                 return
-            index = GrayIndex(fps.view(np.uint64))
-            a, b = index.pairs(budget)
+            a, b = _forest(fps.view(np.uint64), budget)
             if len(a):
-                root = _roots(len(fps), a, b)
-                far = np.nonzero(root != np.arange(len(fps)))[0]
-                s = index.sorted.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s[far]), pa.array(s[root[far]])], ["a", "b"])
+                made.append((a, b))
+                if len(made) >= 2000 or len(a) >= 2000:
+                    yield flush()
 
         for batch in batches:
             keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -192,6 +240,7 @@ def near_links(prints: DataFrame, budget: int) -> DataFrame:
                 held.append(fps[lo:hi])
         if held:
             yield from links(np.concatenate(held))
+        yield flush()
 
     dealt = common.select(key, "fp").repartition(partitions(spark), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(search, "a bigint, b bigint")
@@ -236,16 +285,101 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 2, id_col: s
     return out if keys else out.drop("group", "text_key")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataFrame:
+def similar_links(items: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], budget: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between items that join all pairs within the budget of bits whose sets have the Jaccard similarity or more. Pairs that are joined
+    already are not compared again."""
+    items, first = np.unique(items, return_index=True)
+    sizes = np.array([len(sets[i]) for i in first], np.int64)
+    by = np.argsort(sizes, kind="stable")
+    items, fps, sizes, sets = items[by], fps[first][by], sizes[by], [sets[i] for i in first[by]]
+    root, out = np.arange(len(items)), []
+    for i in range(1, len(items)):
+        near = (root[:i] != root[i]) & (sizes[:i] >= similarity * sizes[i] - 1e-6)
+        at = np.nonzero(near)[0]
+        for j in at[differing(fps[at] ^ fps[i]) <= budget].tolist():
+            if root[j] == root[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if not sizes[i] or both / (sizes[i] + sizes[j] - both) >= similarity:
+                out.append((int(items[i]), int(items[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, budget: int = 8, similarity: float = 0.8) -> DataFrame:
+    """One row per group of near-duplicates (columns doc_id, text): group, own (struct of none, doc_id, key: the row that stays, which is that of the smallest
+    id and then of the smallest MD5 of its text), n (rows that repeat it).
+
+    Different texts (by 64-bit hash) link if their fingerprints differ in at most `budget` bits and the sets of their word shingles (64-bit hashes)
+    have the Jaccard similarity or more; groups are what links join. Fingerprints' groups by bits alone are the candidates: texts of one are
+    brought together with their sets, once each, and compared in full. A candidate group of more than TEXTS texts or CHARS characters is
+    cut into pieces, and each pair of pieces is a task of its own, so all pairs are covered whatever the size.
+    """
+    spark = docs.sparkSession
+    rows = pick(docs, doc_id="bigint", text="string")
+    whole = F.coalesce("text", F.lit(""))
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.string()), ("item", pa.int64()), ("chars", pa.int64()), ("fp", pa.int64())])
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, key, item, chars in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.string()), pa.array(item, pa.int64()), pa.array(chars, pa.int64()),
+                                              pa.array(fingerprints(texts, shingle).view(np.int64))], schema=schema)
+
+    each = rows.select("doc_id", "text", F.coalesce(F.md5("text"), F.lit("")).alias("key"), F.xxhash64(whole).alias("item"), F.length(whole).cast("bigint").alias("chars"))
+    each = each.mapInArrow(prints, "doc_id bigint, key string, item bigint, chars bigint, fp bigint")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    each = each.groupBy("item", "doc_id", "key").agg(F.count("*").alias("n"), F.min("fp").alias("fp"), F.min("chars").alias("chars"))
+    texts = stored(each.groupBy("item").agg(F.min_by(F.struct(own.alias("own"), "n"), own).alias("best"), F.min("fp").alias("fp"), F.min("chars").alias("chars")), "texts")
+
+    near = connected_components(near_links(texts.select("fp").distinct(), budget, 2)).withColumnRenamed("id", "fp")
+    members = texts.join(near, "fp", "left").select("item", "fp", "chars", F.col("best.own.doc_id").alias("low"), F.coalesce("component", "fp").alias("component"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).where("n > 1")
+    pieces = F.ceil(F.greatest(F.col("n") / TEXTS, F.col("chars") / CHARS)).cast("int").alias("pieces")
+    members = stored(members.drop("chars").join(sizes.select("component", pieces), "component"), "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for item, texts, fp, component, pieces in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(item, pa.int64()), pa.array(fp, pa.int64()), pa.array(component, pa.int64()), pa.array(pieces, pa.int32()),
+                                              pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], ["item", "fp", "component", "pieces", "set"])
+
+    held = rows.select("doc_id", "text", F.xxhash64(whole).alias("item"))
+    full = held.join(members.withColumnRenamed("item", "_item"), (F.col("item") == F.col("_item")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    full = full.select("item", "text", "fp", "component", "pieces").mapInArrow(sets, "item bigint, fp bigint, component bigint, pieces int, set binary")
+    mine = F.pmod(F.xxhash64("item", F.lit(7)), F.col("pieces")).cast("int")
+    full = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    # A piece alone has no other; of several, each pair (and so each piece with itself) is met in a task.
+    full = full.select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "item", "fp", "set")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_now, items, fps, held, made = None, [], [], [], []
+
+        def links() -> None:
+            if len(items) > 1:
+                made.extend(similar_links(np.array(items, np.int64), np.array(fps, np.int64).view(np.uint64), [np.frombuffer(x, "<u8") for x in held], budget, similarity))
+
+        for columns in text_slices(batches, 3):
+            for key, item, fp, found in zip(*columns, strict=True):
+                if key != key_now:
+                    links()
+                    key_now, items, fps, held = key, [], [], []
+                items.append(item)
+                fps.append(fp)
+                held.append(found)
+        links()
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = full.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    groups = connected_components(dealt.mapInArrow(compare, "a bigint, b bigint")).withColumnRenamed("id", "item")
+    named = texts.join(groups, "item", "left").select(F.coalesce("component", "item").alias("group"), "best")
+    return named.groupBy("group").agg(F.min_by("best", "best.own").alias("b")).select("group", F.col("b.own").alias("own"), F.col("b.n").alias("n"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 8, similarity: float = 0.8) -> DataFrame:
     """The documents (doc_id, text and any other columns) without near-duplicates: of each group the one with the smallest id stays; of rows
     that repeat it, the one with the smallest MD5 of its text, once. Groups without any id keep one document as well."""
     plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
     at = lambda n: F.col(f"_c{docs.columns.index(n)}")
-    groups = simhash_groups(docs, shingle, budget, keys=True)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.coalesce("text_key", F.lit("")).alias("key"))
-    each = groups.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    best = each.groupBy("group").agg(F.min_by(F.struct(own.alias("own"), "n"), own).alias("b")).select(
-        F.col("b.own.doc_id").alias("_id"), F.col("b.own.key").alias("_key"), F.col("b.n").alias("_n"))
+    best = similar_groups(docs, shingle, budget, similarity).select(F.col("own.doc_id").alias("_id"), F.col("own.key").alias("_key"), F.col("n").alias("_n"))
     keyed = plain.withColumn("_own", F.coalesce(F.md5(at("text").cast("string")), F.lit("")))
     kept = keyed.join(best, at("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
     once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_id", "_key"]))
