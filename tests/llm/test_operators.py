@@ -522,45 +522,6 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     assert sorted(kept) == sorted([rows[12][1], "apart", rest, ""])
 
 
-@pytest.mark.parametrize("most", [simhash.TEXTS, 3])
-def test_near_duplicates_are_compared_in_full(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "TEXTS", most)
-    r, rows = random.Random(12), []
-    for base in range(40):
-        words = [f"b{base}w{r.randrange(4000)}" for _ in range(r.choice([3, 60, 200, 400]))]
-        rows.append((len(rows), " ".join(words)))
-        for k in range(8):  # from almost equal to less than 0.8
-            copy = words[:]
-            for at in r.sample(range(len(words)), min(len(words), 1 + k * len(words) // 150)):
-                copy[at] = f"new{r.randrange(10**6)}"
-            rows.append((len(rows), " ".join(copy)))
-        rows.append((len(rows), " ".join(words).upper()))
-    rows += [(2000, None), (2001, ""), (2002, " \n"), (None, rows[0][1]), (5, rows[5][1]), (3, "repeated id")]
-    sets, prints = [], simhash.fingerprints([t for _, t in rows], 5)
-    for _, t in rows:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
-    likeness = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    parent, found, band = list(range(len(rows))), 0, 0
-    for a in range(len(rows)):
-        for b in range(a):
-            if likeness(a, b) >= 0.8:
-                bits = int(prints[a] ^ prints[b]).bit_count()
-                if likeness(a, b) < 0.9:
-                    band, found = band + 1, found + (2 < bits <= 8)
-                if bits <= 8:
-                    x, y = find(parent, a), find(parent, b)
-                    parent[max(x, y)] = min(x, y)
-    assert found > band / 3  # pairs that two bits do not link
-    low = {}
-    for k, (i, t) in enumerate(rows):
-        own = (i is None, i or 0, hashlib.md5(t.encode()).hexdigest() if t is not None else "", t)
-        low[find(parent, k)] = min(low.get(find(parent, k), own), own, key=lambda x: x[:3])
-    want = sorted(((None if o[0] else o[1], o[3]) for o in low.values()), key=repr)
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
-    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == want
-
-
 # -- shared parts -----------------------------------------------------------------------------------------------------------------
 
 def test_connected_components(spark):
