@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from .words import WordEncoder, byte_letters, tokenizer_path
 #: The cuts of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NEVER = np.int64(1) << 40
+_PLACE = (1 << 40) - 1
 
 
 class Bpe:
@@ -91,15 +93,33 @@ class Bpe:
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.merges.values()])[order]
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact merging: the lowest rank first, the leftmost of equal ones."""
-        ids = [self.byte_ids[b] for b in word]
-        get, none = self.merges.get, (_NEVER, -1)
-        while len(ids) > 1:
-            rank, token, i = min((*get((a, b), none), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
-            if token < 0:
-                break
-            ids[i : i + 2] = [token]
-        return ids
+        """Exact merging: the lowest rank first, the leftmost of equal ones.
+
+        Pairs wait in a heap by rank and place; tokens are linked to their neighbours, so a word of n bytes takes n log n steps. An
+        entry whose pair has changed since is passed over.
+        """
+        ids, n, get = [self.byte_ids[b] for b in word], len(word), self.merges.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting = [found[0] << 40 | i for i in range(n - 1) if (found := get((ids[i], ids[i + 1])))]
+        heapify(waiting)
+        while waiting:
+            entry = heappop(waiting)
+            i = entry & _PLACE
+            j = after[i]
+            if ids[i] < 0 or j == n:
+                continue
+            found = get((ids[i], ids[j]))
+            if found is None or found[0] != entry >> 40:
+                continue
+            ids[i], ids[j] = found[1], -1
+            after[i] = j = after[j]
+            if j < n:
+                before[j] = i
+                if found := get((ids[i], ids[j])):
+                    heappush(waiting, found[0] << 40 | i)
+            if (h := before[i]) >= 0 and (found := get((ids[h], ids[i]))):
+                heappush(waiting, found[0] << 40 | h)
+        return [t for t in ids if t >= 0]
 
     def speculate(self, word: bytes) -> list[int]:
         """Greedy longest match from the left."""

@@ -10,6 +10,8 @@ import numpy as np
 
 #: Distinct words a worker remembers. When there are more, it forgets the rarer half, so memory does not grow with the input.
 REMEMBERED = 800_000
+#: Characters of words that it remembers, a word on average; words that are forgotten first as they seldom come again.
+WIDTH, LONG = 40, 256
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -29,6 +31,7 @@ class WordEncoder:
                  encode_text: Callable[[str], Sequence[int]], special: Sequence[str] = (), remembered: int = REMEMBERED):
         self.encode_words, self.encode_text, self.special, self.remembered = encode_words, encode_text, special, remembered
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.size, self.hits = (np.zeros(1 << 14, np.int64) for _ in range(3))
         self._learn(["\n"])
@@ -59,6 +62,7 @@ class WordEncoder:
         joined = list(compress(keys, cut))
         first = len(known)
         known.update(zip(chain(whole, joined), count(first)))
+        self.chars += sum(map(len, chain(whole, joined)))
         if len(known) > len(self.at):
             self.at, self.size, self.hits = (np.concatenate([x, np.zeros(len(known), np.int64)]) for x in (self.at, self.size, self.hits))
         if whole:
@@ -73,15 +77,19 @@ class WordEncoder:
             self._add(first + len(whole) + np.arange(len(joined)), ids, np.diff(ends[::2]))
 
     def _forget(self) -> None:
-        """Keeps the half that was met most often, in the order it has."""
+        """Keeps the half that was met most often, without very long words, in the order it has."""
         n = len(self.known)
+        long = np.fromiter(map(len, self.known), np.int64, n) > LONG
         keep = np.zeros(n, bool)
-        keep[np.argpartition(-self.hits[:n], self.remembered // 2)[: self.remembered // 2]] = True
+        half = min(n - 1, self.remembered // 2)
+        keep[np.argpartition(np.where(long, 1, -self.hits[:n]), half)[:half]] = True
+        keep &= ~long
         keep[0] = True
         order = np.nonzero(keep)[0]
         ids, ends = self._ids(order)
         hits = self.hits[order]
         self.known = dict(zip(compress(self.known, keep.tolist()), count()))
+        self.chars = sum(map(len, self.known))
         self.used, self.pool = 0, np.empty(2 * len(ids) + 1, np.uint32)
         self.hits[:] = 0
         self.hits[: len(order)] = hits
@@ -89,7 +97,7 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, as unsigned 32-bit integers, and how many each text has. Null: no ids."""
-        if len(self.known) > self.remembered:
+        if len(self.known) > self.remembered or self.chars > WIDTH * self.remembered:
             self._forget()
         found: list[np.ndarray] = [np.zeros(0, np.int64)]
         new: list[str] = []

@@ -220,6 +220,29 @@ def test_bpe_on_random_text(library):
         assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(c).ids for c in cases]
 
 
+def test_bpe_of_long_words(library):
+    """Exact merging of one unbroken run of a million letters, and of long runs of other kinds."""
+    r = random.Random(3)
+    b, _ = bpe.own_encoder(words.tokenizer_path())
+    for text in ("".join(r.choice("abcdeehinorst") for _ in range(1_000_000)), "ab" * 100_000, "日" * 50_000, "".join(r.choice("ab") for _ in range(100_000))):
+        assert b.encode_text(text) == library.encode(text, add_special_tokens=False).ids
+
+
+def test_merging_takes_ranks_in_order():
+    """Against the plain rule: the lowest rank of all pairs, the leftmost of equal ones, again and again."""
+    b, _ = bpe.own_encoder(words.tokenizer_path())
+    r = random.Random(9)
+    for _ in range(400):
+        word = "".join(r.choice("aeinorst th" if r.random() < 0.7 else "üé日x") for _ in range(r.randrange(40))).encode()
+        ids = [b.byte_ids[x] for x in word]
+        while len(ids) > 1:
+            rank, i = min((b.merges.get(p, (1 << 30,))[0], i) for i, p in enumerate(zip(ids, ids[1:])))
+            if rank == 1 << 30:
+                break
+            ids[i : i + 2] = [b.merges[ids[i], ids[i + 1]][1]]
+        assert b.merge(word) == ids
+
+
 def test_pairs_are_checked_right():
     b, _ = bpe.own_encoder(words.tokenizer_path())
     rng = np.random.default_rng(0)
@@ -235,6 +258,16 @@ def test_encoder_forgets(library):
         assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t).ids for t in texts]
 
 
+def test_encoder_forgets_long_words(library):
+    e = words.WordEncoder(lambda w: [library.encode(x).ids for x in w], lambda t: library.encode(t).ids, remembered=100)
+    for k in range(8):
+        texts = ["the end " + "xy" * 1500 + str(k), f"a {k}", "the " + "z" * 900]
+        ids, n = e.encode(texts)
+        assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(t).ids for t in texts]
+        assert e.chars == sum(map(len, e.known)) < 12_000
+    assert "the" in {k.strip() for k in e.known}
+
+
 # -- packing ----------------------------------------------------------------------------------------------------------------------
 
 def check_packed(got, rows, ids, limit):
