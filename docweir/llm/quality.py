@@ -15,9 +15,11 @@ from docweir.session import spread
 
 from .common import pick, slices, text_slices
 
-#: Labelled rows and unlabelled rows (about so many, with the smallest hashes of their ids) that the classifiers are fitted on; hashed byte trigrams of the
-#: text view; one-hot places for source and language in the metadata view.
-LABELLED, POOL, GRAMS, SOURCES, LANGS = 3000, 3000, 2048, 64, 32
+#: Labelled rows (about so many, with the smallest hashes of their ids) that the classifiers are fitted on; hashed byte trigrams of the text view; one-hot places
+#: for source and language in the metadata view.
+LABELLED, GRAMS, SOURCES, LANGS = 3000, 2048, 64, 32
+#: Sides of random planes that part the pseudo-labelled rows of a class into groups, 2 ** PLANES of them; fixed point of their sums of features.
+PLANES, UNIT = 4, 1 << 20
 
 
 #: Bytes of text worked on at a time.
@@ -54,25 +56,26 @@ def _counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def views(texts: list[str | None], sources: list[str | None], langs: list[str | None], chars: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of both views: root frequencies of hashed byte trigrams; source, language, size and layout of the page."""
+    """Features of both views, which share nothing: root frequencies of hashed byte trigrams, size and layout of the text; source, language and the size
+    that the page's metadata state."""
     raw = [(t or "").encode() for t in texts]
     n, size = len(raw), np.array([len(r) for r in raw], np.int64)
     grams, kinds = _counts(raw)
-    text = np.sqrt(grams / np.maximum(size, 1)[:, None]).astype(np.float32)
     lines, share = kinds[:, 0] + 1, kinds[:, 1:] / np.maximum(size, 1)[:, None]
-    layout = [np.log1p(np.array([c or 0 for c in chars], float).clip(0)) / 10, np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10, *(4 * share.T)]
-    meta = np.zeros((n, SOURCES + LANGS + len(layout)), np.float32)
+    layout = [np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10, *(4 * share.T)]
+    text = np.concatenate([np.sqrt(grams / np.maximum(size, 1)[:, None]), np.stack(layout, 1)], 1).astype(np.float32)
+    meta = np.zeros((n, SOURCES + LANGS + 1), np.float32)
     for i, (s, lang) in enumerate(zip(sources, langs, strict=True)):
         meta[i, zlib.crc32((s or "").encode()) % SOURCES] = 1
         meta[i, SOURCES + zlib.crc32((lang or "").encode()) % LANGS] = 1
-    meta[:, SOURCES + LANGS :] = np.stack(layout, 1)
+    meta[:, -1] = np.log1p(np.array([c or 0 for c in chars], float).clip(0)) / 10
     return text, meta
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, steps: int = 400, ridge: float = 1e-6) -> np.ndarray:
-    """Weights and intercept of a logistic regression, by accelerated gradient steps; both classes weigh the same."""
-    n, d = x.shape
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
+def fit_logistic(x: np.ndarray, y: np.ndarray, count: np.ndarray, start: np.ndarray | None = None, steps: int = 400, ridge: float = 1e-6) -> np.ndarray:
+    """Weights and intercept of a logistic regression on rows that count so often, by accelerated gradient steps; both classes weigh the same."""
+    d = x.shape[1]
+    weight = (0.5 * count / np.where(y > 0, max(1e-9, count[y > 0].sum()), max(1e-9, count[y <= 0].sum()))).astype(np.float32)
     w = v = np.zeros(d + 1, np.float32) if start is None else start
     rate = 4 / max(1e-6, float((weight * ((x * x).sum(1) + 1)).sum()))
     t = 1.0
@@ -105,79 +108,90 @@ def calibrate(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 @dataclass
 class CoTrained:
-    """Weights of both views, their calibrations and the log-odds of the labels."""
+    """Weights of both views, their calibrations and the log-odds of the labels; with the planes of both views, for groups."""
 
     weights: tuple[np.ndarray, np.ndarray]
     scales: tuple[tuple[float, float], tuple[float, float]]
     prior: float
+    planes: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
     def odds(self, x: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated log-odds of each view and of both together."""
         each = [a * (v @ w[:-1] + w[-1]) + b for v, w, (a, b) in zip(x, self.weights, self.scales, strict=True)]
         return each[0], each[1], each[0] + each[1] - self.prior
 
-
-def co_train(x: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = 3,
-             share: float = 0.1, sure: float = 0.9) -> CoTrained | None:
-    """Each round, a view gives the other pseudo-labels for the pool rows it is surest of: up to a `share` of the pool, in the
-    proportion of the labels, with a calibrated probability of `sure` at least. A fifth of the labelled rows is for calibration.
-    None without rows of both classes."""
-    hold = np.arange(len(y)) % 5 == 4
-    if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
-        hold = np.zeros(len(y), bool)
-        if len(set(y)) < 2:
-            return None
-    check = hold if hold.any() else ~hold
-    given: list[dict[int, int]] = [{}, {}]  # pool row -> pseudo-label, from the other view
-    weights: list = [None, None]
-    scales: list = [None, None]
-    for r in range(rounds + 1):
-        for v in (0, 1):
-            more = np.array(list(given[v]), int)
-            rows = np.concatenate([x[v][~hold], pool[v][more]])
-            weights[v] = fit_logistic(rows, np.concatenate([y[~hold], [given[v][i] for i in more]]).astype(np.float32), weights[v])
-            scales[v] = calibrate(x[v][check] @ weights[v][:-1] + weights[v][-1], y[check])
-        if r == rounds:
-            break
+    def pseudo(self, x: tuple[np.ndarray, np.ndarray], sure: float) -> Iterator[tuple[int, int, np.ndarray]]:
+        """What each view hands to the other: (receiving view, class and group as one number, the rows), for rows whose calibrated probability of a class
+        is `sure` or more."""
+        least = np.log(sure / (1 - sure))
+        for to, odds in ((1, self.odds(x)[0]), (0, self.odds(x)[1])):
+            direction, middle = self.planes[to]
+            group = ((x[to] @ direction > middle) << np.arange(PLANES)).sum(1)
+            bucket = np.where(odds >= least, group + (1 << PLANES), np.where(odds <= -least, group, -1))
+            for b in np.unique(bucket[bucket >= 0]).tolist():
+                yield to, b, np.nonzero(bucket == b)[0]
+
+
+class Trainer:
+    """Fits both views on labelled rows and on the sums of pseudo-labelled ones. A fifth of the labelled rows is for calibration."""
+
+    def __init__(self, x: tuple[np.ndarray, np.ndarray], y: np.ndarray):
+        hold = np.arange(len(y)) % 5 == 4
+        if len(set(y[hold])) < 2 or len(set(y[~hold])) < 2:
+            hold = np.zeros(len(y), bool)
+        self.x, self.y, self.fit_on, self.check = x, y, ~hold, hold if hold.any() else ~hold
+        self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        rng = np.random.default_rng(13)
+        turns = [rng.standard_normal((v.shape[1], PLANES)).astype(np.float32) for v in x]
+        self.planes = tuple((t, np.median(v @ t, axis=0)) for v, t in zip(x, turns, strict=True))
+        self.weights: list = [None, None]
+
+    def fit(self, handed: tuple[dict[int, tuple[int, np.ndarray]], ...] = ({}, {})) -> CoTrained:
+        """`handed`, by view: class and group -> rows and mean of their features. The pseudo-labelled rows of a class weigh as much as its labelled ones,
+        whatever their number."""
+        scales = []
         for v in (0, 1):
-            odds = scales[v][0] * (pool[v] @ weights[v][:-1] + weights[v][-1]) + scales[v][1]
-            for label, sign, part in ((1, -1, y.mean()), (0, 1, 1 - y.mean())):
-                best = np.argsort(sign * odds, kind="stable")[: int(share * part * len(odds))]
-                for i in best[-sign * odds[best] >= np.log(sure / (1 - sure))]:
-                    given[1 - v].setdefault(int(i), label)
-    return CoTrained(tuple(weights), tuple(scales), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-
-
-def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: bool = False) -> DataFrame:
+            y = self.y[self.fit_on]
+            x, given, count = [self.x[v][self.fit_on]], [y], [np.ones(len(y))]
+            for label in (0, 1):
+                mine = [handed[v][b] for b in sorted(handed[v]) if b >> PLANES == label]
+                if mine:
+                    n = np.array([n for n, _ in mine], float)
+                    x.append(np.stack([m for _, m in mine]).astype(np.float32))
+                    given.append(np.full(len(n), label))
+                    count.append(n / n.sum() * max(1, (y == label).sum()))
+            self.weights[v] = fit_logistic(np.concatenate(x), np.concatenate(given).astype(np.float32), np.concatenate(count), self.weights[v])
+            scales.append(calibrate(self.x[v][self.check] @ self.weights[v][:-1] + self.weights[v][-1], self.y[self.check]))
+        return CoTrained(tuple(self.weights), tuple(scales), self.prior, self.planes)
+
+
+def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, keep: bool = False, rounds: int = 3, sure: float = 0.9,
+                       labelled: int = LABELLED) -> DataFrame:
     """One row per document: doc_id, score (probability of good quality), text_score, meta_score, kept (score >= threshold).
 
-    Two logistic classifiers, over the text's trigrams and over source, language, size and layout, are fitted on LABELLED rows and
-    exchange confident labels on POOL rows over rounds; both samples are the smallest hashes of ids, about so many, so their sizes are bounded
-    whatever the input. Calibrated on rows held back, their log-odds add up (less the prior once), and all whole texts are
-    scored in one pass; the model is 9 KB.
-
-    A null quality is no label; of several labels of an id the smallest counts. Without labels of both classes, the score is the
-    share of good labels, or 0.5 without any, so all rows stay. Null text counts as empty, null metadata as their own value; null and
-    repeated ids are rows of their own. An empty table gives no rows; other columns are ignored. `keep` returns all columns of the
-    input, under names starting with an underscore, beside the results.
+    Two logistic classifiers, over the text's trigrams and layout and over the metadata (source, language, stated size), are fitted on about
+    `labelled` labelled rows, those with the smallest hashes of their ids: that bound is the only sample. In each of `rounds` rounds, a pass over all other rows
+    scores both views, and each view gives the other pseudo-labels for every row whose calibrated probability of a class is `sure` or more. Workers
+    add up the features of such rows by class and group (sides of random planes), in fixed point, so the sums do not depend on the order;
+    the receiving view is fitted on the groups' means beside the labelled rows. Rounds end early when the pseudo-labels stay the same. Calibrated on labelled
+    rows held back, the views' log-odds add up (less the prior once), and all whole texts are scored in one pass; the model is 9 KB.
+
+    A null quality is no label; of several labels of an id the smallest counts, and of several rows of a labelled id the one with the smallest hash is learned
+    from. Without labels of both classes, the score is the share of good labels, or 0.5 without any, so all rows stay. Null text counts as
+    empty, null metadata as their own value; null and repeated ids are rows of their own. An empty table gives no rows; other columns are
+    ignored. `keep` returns all columns of the input, under names starting with an underscore, beside the results.
     """
     spark = docs.sparkSession
     kinds = {"doc_id": "bigint", "text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
     rows = pick(docs, **kinds)
     known = pick(labels, doc_id="bigint", quality="int").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min((F.col("quality") > 0).cast("int")).alias("y"))
-    here = rows.select("doc_id").where("doc_id is not null")
-
-    def lot(ids: DataFrame, most: int) -> DataFrame:
-        """About `most` of the ids, those with the smallest hashes: a filter, not a sort, so no task sees more than its share."""
-        share = min(1.0, most / max(1, ids.count()))
-        return ids.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
-
-    chosen = lot(known.join(here, "doc_id", "left_semi"), LABELLED)
-    others = lot(here.distinct(), LABELLED + POOL)
+    here = known.join(rows.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
+    # A filter by hash, not a sort, so no task sees more than its share.
+    share = min(1.0, labelled / max(1, here.count()))
+    chosen = here.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000_000)) < int(share * 1_000_000_000))
     y_of = {r.doc_id: r.y for r in sorted(chosen.collect())}
-    ids = [*y_of, *[r.doc_id for r in sorted(others.collect()) if r.doc_id not in y_of][:POOL]]
-    wanted = spark.createDataFrame([(i,) for i in ids] or [(None,)], "doc_id bigint")
+    wanted = spark.createDataFrame([(i,) for i in y_of] or [(None,)], "doc_id bigint")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of, *columns in text_slices(batches, each=GRAMS * 4):
@@ -185,13 +199,52 @@ def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array([t.tobytes() for t in text]), pa.array([m.tobytes() for m in meta])],
                                              ["doc_id", "t", "m"])
 
-    sample = rows.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])
-    got = {r.doc_id: r for r in sample.mapInArrow(features, "doc_id bigint, t binary, m binary").collect()}
-    both = lambda of: tuple(
-        np.stack([np.frombuffer(getattr(got[i], c), np.float32) for i in of]) if of else np.zeros((0, 1), np.float32) for c in "tm")
-    labelled, pool = [i for i in y_of if i in got], [i for i in ids if i in got and i not in y_of]
-    y = np.array([y_of[i] for i in labelled])
-    model = co_train(both(labelled), y, both(pool)) if labelled and pool else None
+    values = list(kinds)[1:]
+    sample = rows.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64(*values).alias("h"), *values)).alias("one")).select("doc_id", *(f"one.{v}" for v in values))
+    got = sorted((r.doc_id, r.t, r.m) for r in sample.mapInArrow(features, "doc_id bigint, t binary, m binary").collect())
+    y = np.array([y_of[i] for i, *_ in got], np.int64)
+    model, trainer = None, None
+    if len(set(y.tolist())) == 2:
+        trainer = Trainer(tuple(np.stack([np.frombuffer(r[k], np.float32) for r in got]) for k in (1, 2)), y)
+        model = trainer.fit()
+    learned = spark.sparkContext.broadcast(np.array([i for i, *_ in got], np.int64))
+
+    def hand_over(now) -> DataFrame:
+        """(view, bucket, place, n): sums of features of the pseudo-labelled rows of all but the learned ids; at place -1 their number."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, mine = now.value, learned.value
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for of, *columns in text_slices(batches, each=GRAMS * 4):
+                free = np.array([i is None for i in of]) | ~np.isin(np.array([i or 0 for i in of], np.int64), mine)
+                x = tuple(v[free] for v in views(*columns))
+                for to, bucket, at in model.pseudo(x, sure):
+                    total = np.rint(x[to][at].astype(np.float64) * UNIT).astype(np.int64).sum(0)
+                    sums[to, bucket] = sums.get((to, bucket), 0) + np.append(total, len(at))
+            for (to, bucket), total in sums.items():
+                at = np.nonzero(total)[0]
+                same = lambda v, n=len(at): pa.array(np.full(n, v, np.int32))
+                yield pa.RecordBatch.from_arrays([same(to), same(bucket), pa.array(np.where(at == len(total) - 1, -1, at).astype(np.int32)), pa.array(total[at])],
+                                                 ["view", "bucket", "place", "n"])
+
+        return rows.mapInArrow(run, "view int, bucket int, place int, n bigint").groupBy("view", "bucket", "place").agg(F.sum("n").alias("n"))
+
+    before = None
+    for _ in range(rounds if trainer else 0):
+        # At most 2 views * 2 classes * groups * features, whatever the input.
+        found = hand_over(spark.sparkContext.broadcast(model)).toPandas().sort_values(["view", "bucket", "place"])
+        handed: tuple[dict, dict] = ({}, {})
+        for (view, bucket), part in found.groupby(["view", "bucket"]):
+            n, place = part["n"].to_numpy(), part["place"].to_numpy()
+            mean = np.zeros(trainer.x[view].shape[1])
+            mean[place[1:]] = n[1:] / (UNIT * n[0])  # its number comes first
+            handed[view][int(bucket)] = int(n[0]), mean
+        model = trainer.fit(handed)
+        now = [(v, b, n) for v in (0, 1) for b, (n, _) in handed[v].items()]
+        if now == before:
+            break
+        before = now
     flat = float(y.mean()) if len(y) else 0.5
     sent = spark.sparkContext.broadcast(model)
 
