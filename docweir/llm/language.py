@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,10 +13,14 @@ from pyspark.sql import functions as F
 
 from docweir.session import spread
 
-from .common import pick, remainder, text_slices
+from .common import pick, remainder, stored, text_slices
 
-#: Buckets of hashed byte trigrams; languages a document's set may have; words a worker remembers.
-BUCKETS, MOST, REMEMBERED = 1 << 16, 3, 300_000
+#: Buckets of hashed byte trigrams; words a worker remembers; languages a model may have (256 KB each), beyond which learning is refused.
+BUCKETS, REMEMBERED, LANGUAGES = 1 << 16, 300_000, 256
+#: EM steps for a set of languages; share at which a language enters it.
+STEPS, ENTRY = 8, 0.1
+#: The logarithm of a trigram's likelihood in letters at random, each bucket as likely as any other.
+CHANCE = -math.log(BUCKETS)
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +66,8 @@ class Mixture:
     def __init__(self, langs: list[str], logs: np.ndarray):
         self.langs, self.logs = langs, logs
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, len(langs)), np.float32)
+        # By word: likelihoods as shares of the greatest one; the logarithm of that, and how many trigrams it is of.
+        self.table, self.level = np.zeros((1024, len(langs)), np.float32), np.zeros((1024, 2), np.float32)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Rows of the word table; -1 for words without a letter."""
@@ -77,67 +83,95 @@ class Mixture:
                 code, starts = trigrams(lettered)
                 logs = np.add.reduceat(self.logs[code], starts, axis=0)
                 if base + len(lettered) > len(self.table):
-                    more = np.zeros((base + len(lettered), len(self.langs)), np.float32)
-                    more[: len(self.table)] = self.table
-                    self.table = more
+                    self.table, self.level = (np.concatenate([x, np.zeros((base + len(lettered) - len(x), x.shape[1]), np.float32)]) for x in (self.table, self.level))
                 at = base - len(lettered) + np.arange(len(lettered))
-                self.table[at] = np.exp(logs - logs.max(1, keepdims=True))
+                top = logs.max(1, keepdims=True)
+                self.table[at] = np.exp(logs - top)
+                self.level[at, 0], self.level[at, 1] = top[:, 0], np.diff(np.append(starts, len(code)))
                 known.update(zip(lettered, at.tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     @staticmethod
-    def _em(like: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of each document's languages after some steps, and its log-likelihood before the last."""
-        for _ in range(steps):
+    def _em(like: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shares of each document's languages after STEPS steps, the likelihood of each word under them, and each document's log-likelihood."""
+        for _ in range(STEPS):
             joint = like * np.repeat(share, sizes, axis=0)
-            total = joint.sum(1)
-            fit = np.add.reduceat(np.log(np.maximum(total, 1e-30)), starts)
-            share = np.add.reduceat(joint / np.maximum(total, 1e-30)[:, None], starts, axis=0) / sizes[:, None]
-        return share, fit
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str]]:
-        """The main language of each text, its share, and the set with its shares."""
+            joint /= np.maximum(joint.sum(1, keepdims=True), 1e-30)
+            share = np.add.reduceat(joint, starts, axis=0) / sizes[:, None]
+        mix = np.maximum((like * np.repeat(share, sizes, axis=0)).sum(1), 1e-30)
+        return share, mix, np.add.reduceat(np.log(mix), starts)
+
+    def _grow(self, like: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Shares of the languages of each document, whose words are on end.
+
+        A set of languages starts with the one that fits best alone. The next one is that which raises the likelihood most if it enters with a
+        share of ENTRY; EM then fits the shares of the set. The set grows as long as the likelihood rises by more than the penalty, to
+        all languages if need be.
+        """
+        n, k = len(sizes), len(self.langs)
+        starts = np.cumsum(sizes) - sizes
+        single = np.add.reduceat(np.log(np.maximum(like, 1e-30)), starts, axis=0)
+        best = np.zeros((n, k), np.float32)
+        best[np.arange(n), single.argmax(1)] = 1
+        fit = single.max(1)
+        growing, words, share = np.arange(n), like, best
+        mix = np.maximum((words * np.repeat(share, sizes, axis=0)).sum(1), 1e-30)
+        for size in range(1, k):
+            own = sizes[growing]
+            at = np.cumsum(own) - own
+            with np.errstate(divide="ignore"):
+                gain = np.add.reduceat(np.log((1 - ENTRY) + ENTRY * words / mix[:, None]), at, axis=0)
+            gain[share > 0] = -np.inf
+            start = share * (1 - ENTRY)
+            start[np.arange(len(growing)), gain.argmax(1)] = ENTRY
+            new, mix, now = self._em(words, at, own, start)
+            better = now - 2 * np.log(own + 1) > fit[growing]  # each further language must pay for itself
+            if not better.any():
+                break
+            inner = np.repeat(better, own)
+            growing, share, words, mix = growing[better], np.maximum(new[better], 1e-9 * (start[better] > 0)), words[inner], mix[inner]
+            fit[growing] = now[better] - 2 * np.log(own[better] + 1)
+            best[growing] = new[better]
+        return best
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+        """The main language of each text, its share, the set with its shares, and the share of its words that are likelier under
+        the mixture than letters at random."""
+        out, score, sets, sense = ["und"] * len(texts), np.zeros(len(texts)), [""] * len(texts), np.full(len(texts), np.nan)
         if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), [""] * len(texts)
+            return out, score, sets, sense
         split = [(t or "").lower().split() for t in texts]
         numbers = self._numbers([w for words in split for w in words])
         doc = np.repeat(np.arange(len(texts)), [len(w) for w in split])[numbers >= 0]
-        out, score, sets = ["und"] * len(texts), np.zeros(len(texts)), [""] * len(texts)
         if not len(doc):
-            return out, score, sets
-        like = self.table[numbers[numbers >= 0]].astype(np.float32)
+            return out, score, sets, sense
+        numbers = numbers[numbers >= 0]
         docs, starts, sizes = np.unique(doc, return_index=True, return_counts=True)
-        share, _ = self._em(like, starts, sizes, np.full((len(docs), len(self.langs)), 1 / len(self.langs), np.float32), 5)
-        order = np.argsort(-share, axis=1, kind="stable")
-        best_fit, best = np.full(len(docs), -np.inf), share
-        for k in range(1, min(MOST, len(self.langs)) + 1):
-            allowed = np.zeros_like(share)
-            np.put_along_axis(allowed, order[:, :k], 1, axis=1)
-            start = np.maximum(share, 0.05) * allowed
-            now, fit = self._em(like, starts, sizes, (start / start.sum(1, keepdims=True)).astype(np.float32), 1 if k == 1 else 4)
-            fit = fit - 2 * (k - 1) * np.log(sizes + 1)  # each further language must pay for itself
-            better = fit > best_fit
-            best_fit = np.where(better, fit, best_fit)
-            best = np.where(better[:, None], now, best)
+        like = self.table[numbers]
+        best = self._grow(like, sizes)
         main = best.argmax(1)
+        order = np.argsort(-best, axis=1, kind="stable")
         for i, d in enumerate(docs):
             out[d] = self.langs[main[i]]
             sets[d] = ",".join(f"{self.langs[j]}:{best[i, j]:.3f}" for j in order[i] if best[i, j] >= 0.01)
         score[docs] = np.clip(best[np.arange(len(docs)), main], 0, 1)
-        return out, score, sets
+        level, grams = self.level[numbers].T
+        mix = np.maximum((like * np.repeat(best, sizes, axis=0)).sum(1), 1e-30)
+        sense[docs] = np.add.reduceat((level + np.log(mix) > grams * CHANCE).astype(float), starts) / sizes
+        return out, score, sets, sense
 
 
 def mixture_language(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
                      lang_col: str = "lang", keep: bool = False) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score, lang_mix.
+    """One row per document: doc_id, lang_pred, score, lang_mix, sense.
 
     Learns byte-trigram counts of every language over all rows with a language for which `train` (a condition on doc_id)
     holds; they are added up in the workers and then by Spark, and take 65,536 buckets a language at most. Each text is a
-    mixture of languages: EM over its words finds the shares, for the best one, two and three languages, and each language added
-    must raise the log-likelihood by a penalty. The one with the greatest share is the prediction, the share its score, and lang_mix
-    lists the set. The model goes to the workers by broadcast: 256 KB a language.
+    mixture of languages: EM over its words finds the shares of a set of languages, which grows one by one, without a limit, while each
+    one raises the log-likelihood by more than a penalty. The one with the greatest share is the prediction, the share its score, lang_mix
+    lists the set, and sense is the share of the words with a letter that are likelier under the mixture than letters at random. The model goes to the workers by broadcast, 256 KB a language; more than LANGUAGES values of the language column are refused.
 
-    Null texts and those without a letter give `und` and score 0, as does a model without any language. Null and repeated ids are
+    Null texts and those without a letter give `und`, score 0 and a null sense, as does a model without any language. Null and repeated ids are
     rows of their own. An empty table gives no rows; other columns are ignored. `keep` leaves out doc_id's name and returns all
     columns of the input beside the results, under names starting with an underscore.
     """
@@ -146,8 +180,11 @@ def mixture_language(docs: DataFrame, train: Column | None = None, id_col: str =
     learn = rows.where("lang is not null and text is not null")
     if train is not None:
         learn = learn.where(F.coalesce(train, F.lit(False)))
-    found = count_trigrams(learn.select("lang", "text")).toPandas()
-    langs = sorted(found["lang"].unique())
+    counted = stored(count_trigrams(learn.select("lang", "text")), "trigrams")
+    langs = sorted(r.lang for r in counted.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages are named; clean the column {lang_col} or raise LANGUAGES")
+    found = counted.toPandas()
     counts = np.full((BUCKETS, len(langs)), 0.5)
     counts[found["bucket"].to_numpy(int), np.searchsorted(langs, found["lang"]) if langs else []] += found["n"].to_numpy(float)
     model = spark.sparkContext.broadcast((langs, np.log(counts / counts.sum(0)).astype(np.float32)))
@@ -161,16 +198,16 @@ def mixture_language(docs: DataFrame, train: Column | None = None, id_col: str =
         for b in batches:
             done = 0
             for (texts,) in text_slices(iter([b.select([at])]), 0):
-                lang, score, mix = mixture.predict(texts)
+                lang, score, mix, sense = mixture.predict(texts)
                 part = b.slice(done, len(texts))
                 done += len(texts)
                 columns = part.columns if keep else part.columns[:1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang), pa.array(score), pa.array(mix)], names)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang), pa.array(score), pa.array(mix), pa.array(sense, from_pandas=True)], names)
 
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     given = fields if keep else fields[:1]
-    extra = [StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("lang_mix", StringType()))]
+    extra = [StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("lang_mix", StringType()), ("sense", DoubleType()))]
     names = [f.name for f in [*given, *extra]]
     return frame.mapInArrow(predict, StructType([*given, *extra]))
 

@@ -342,6 +342,87 @@ def test_mixture_of_two(spark):
     assert r.lang_pred == "en" and 0.5 < r.score < 0.8 and "fr:" in r.lang_mix
 
 
+def test_mixture_of_four(spark):
+    """Sets grow as long as the penalty lets them: four equal shares give all four."""
+    r = random.Random(7)
+    words_of = {k: [f"{k}{r.choice('aeiou')}{r.choice(k)}{r.choice('aeiou')}{k}" for _ in range(40)] for k in "bdgkmpz"}
+    data = [(i, " ".join(r.choice(v) for _ in range(60)), k) for i, (k, v) in enumerate(words_of.items())]
+    mixed = [(100 + n, " ".join(r.choice(words_of[k]) for _ in range(25) for k in list(words_of)[:n]), None) for n in range(1, 8)]
+    table = spark.createDataFrame(data + mixed, "doc_id bigint, text string, lang string")
+    for r in language.mixture_language(table).where("doc_id > 100").collect():
+        n = r.doc_id - 100
+        shares = dict((x.split(":")[0], float(x.split(":")[1])) for x in r.lang_mix.split(","))
+        assert set(shares) == set(list(words_of)[:n]) and all(abs(x - 1 / n) < 0.05 for x in shares.values()), (n, shares)
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    table = spark.createDataFrame([(i, "a text", f"l{i}") for i in range(4)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.mixture_language(table)
+
+
+def plain_language(learn, texts):
+    """Counts, likelihoods, growth of sets and EM restated with dictionaries and loops: (language, share, sense) of each text."""
+    def buckets(word):
+        b = b" " + word.encode() + b" "
+        return [((x << 16 | y << 8 | z) * 2_654_435_761 >> 13) % language.BUCKETS for x, y, z in zip(b, b[1:], b[2:])]
+
+    lettered = lambda t: [w for w in (t or "").lower().split() if any(c.isalpha() for c in w)]
+    counts = {}
+    for lang, t in learn:
+        for w in lettered(t):
+            counts.setdefault(lang, Counter()).update(buckets(w))
+    langs, half = sorted(counts), language.BUCKETS / 2
+    total = {k: sum(c.values()) + half for k, c in counts.items()}
+    out = []
+    for t in texts:
+        logs = [[sum(math.log((counts[k][b] + 0.5) / total[k]) for b in buckets(w)) for k in langs] for w in lettered(t)]
+        if not logs or not langs:
+            out.append(("und", 0.0, None))
+            continue
+        like = [[math.exp(x - max(row)) for x in row] for row in logs]
+        mix = lambda share: [max(1e-30, sum(x * s for x, s in zip(row, share))) for row in like]
+        total_log = lambda share: sum(map(math.log, mix(share)))
+        alone = lambda k: [float(i == k) for i in range(len(langs))]
+        share = alone(max(range(len(langs)), key=lambda k: total_log(alone(k))))
+        best = total_log(share)
+        while min(share) == 0:
+            def entered(k):
+                return [0.9 * s + 0.1 * (i == k) for i, s in enumerate(share)]
+            new = entered(max((k for k in range(len(langs)) if not share[k]), key=lambda k: total_log(entered(k))))
+            for _ in range(language.STEPS):
+                m = mix(new)
+                new = [sum(row[k] * new[k] / x for row, x in zip(like, m)) / len(like) for k in range(len(langs))]
+            value = total_log(new) - 2 * math.log(len(like) + 1)
+            if value <= best:
+                break
+            best, share = value, new
+        m = mix(share)
+        sense = sum(max(row) + math.log(x) > len(buckets(w)) * -math.log(language.BUCKETS) for row, x, w in zip(logs, m, lettered(t))) / len(like)
+        out.append((langs[share.index(max(share))], max(share), sense))
+    return out
+
+
+def test_language_query_against_plain_em(spark, rows, docs, tmp_path):
+    from docweir.llm.queries import queries
+
+    r = random.Random(2)
+    mixed = [(300 + i, " ".join(r.choice(LANG_WORDS[k].split()) for k in ks for _ in range(20)), None, None, 0) for i, ks in enumerate((["en", "de"], ["en", "de", "fr"], ["fr", "en"]))]
+    table = [x for x in rows + mixed if len(x[1] or "") < 10_000] + [(400, "xq9$jj zzkq%w 7vvqx ~~", None, None, 0)]
+    spark.createDataFrame(table, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    want = plain_language([(lang, t) for i, t, lang, *_ in table if lang and t and not held(i)], [t for _, t, *_ in table])
+    out = queries()["op3_language_id"](spark, str(tmp_path))
+    assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    got = sorted(((x.doc_id, x.held_out, x.lang_pred, round(x.score, 2)) for x in out.collect()), key=repr)
+    exact = sorted(((i, held(i), k, p) for (i, *_), (k, p, _) in zip(table, want)), key=repr)
+    assert [x[:3] for x in got] == [x[:3] for x in exact]
+    assert all(abs(a[3] - b[3]) < 0.02 for a, b in zip(got, exact))
+    sense = {x.doc_id: x.sense for x in language.mixture_language(spark.createDataFrame(table, SCHEMA)).where("doc_id >= 300").collect()}
+    assert sense[400] == 0 and all(sense[i] == 1 for i in (300, 301, 302))
+
+
 # -- language model ---------------------------------------------------------------------------------------------------------------
 
 def test_hmm_base_counts(docs, rows, none, clashing):
