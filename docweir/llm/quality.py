@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docweir.session import spread
 
-from .common import pick, slices, text_slices
+from .common import partitions, pick, slices, text_slices
 
 #: Labelled rows (about so many, with the smallest hashes of their ids) that the classifiers are fitted on; hashed byte trigrams of the text view; one-hot places
 #: for source and language in the metadata view.
@@ -210,8 +210,28 @@ def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.
         model = trainer.fit()
     learned = spark.sparkContext.broadcast(np.array([i for i, *_ in got], np.int64))
 
-    def hand_over(now) -> DataFrame:
-        """(view, bucket, place, n): sums of features of the pseudo-labelled rows of all but the learned ids; at place -1 their number."""
+    def merged(parts: DataFrame, *by: str) -> DataFrame:
+        """Rows of a view and bucket added up, in the tasks that `by` deals them to."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                for to, bucket, raw in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    sums[to, bucket] = sums.get((to, bucket), 0) + np.frombuffer(raw, np.int64)
+            yield handed_rows(sums)
+
+        return parts.repartition(partitions(spark), *by).mapInArrow(add, "task int, view int, bucket int, sums binary")
+
+    def handed_rows(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        task = np.full(len(sums), TaskContext.get().partitionId(), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(task), pa.array([v for v, _ in sums], pa.int32()), pa.array([b for _, b in sums], pa.int32()),
+                                           pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["task", "view", "bucket", "sums"])
+
+    def hand_over(now) -> dict[tuple[int, int], np.ndarray]:
+        """By view and bucket, the sums of features of the pseudo-labelled rows of all but the learned ids, and their number at the end. A task has at most
+        2 views * 2 classes * groups of them, whatever its input; they are added up in many tasks first."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, mine = now.value, learned.value
@@ -222,24 +242,16 @@ def co_trained_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.
                 for to, bucket, at in model.pseudo(x, sure):
                     total = np.rint(x[to][at].astype(np.float64) * UNIT).astype(np.int64).sum(0)
                     sums[to, bucket] = sums.get((to, bucket), 0) + np.append(total, len(at))
-            for (to, bucket), total in sums.items():
-                at = np.nonzero(total)[0]
-                same = lambda v, n=len(at): pa.array(np.full(n, v, np.int32))
-                yield pa.RecordBatch.from_arrays([same(to), same(bucket), pa.array(np.where(at == len(total) - 1, -1, at).astype(np.int32)), pa.array(total[at])],
-                                                 ["view", "bucket", "place", "n"])
+            yield handed_rows(sums)
 
-        return rows.mapInArrow(run, "view int, bucket int, place int, n bigint").groupBy("view", "bucket", "place").agg(F.sum("n").alias("n"))
+        parts = merged(rows.mapInArrow(run, "task int, view int, bucket int, sums binary"), "task")
+        return {(r.view, r.bucket): np.frombuffer(r.sums, np.int64) for r in sorted(merged(parts, "view", "bucket").collect())}
 
     before = None
     for _ in range(rounds if trainer else 0):
-        # At most 2 views * 2 classes * groups * features, whatever the input.
-        found = hand_over(spark.sparkContext.broadcast(model)).toPandas().sort_values(["view", "bucket", "place"])
         handed: tuple[dict, dict] = ({}, {})
-        for (view, bucket), part in found.groupby(["view", "bucket"]):
-            n, place = part["n"].to_numpy(), part["place"].to_numpy()
-            mean = np.zeros(trainer.x[view].shape[1])
-            mean[place[1:]] = n[1:] / (UNIT * n[0])  # its number comes first
-            handed[view][int(bucket)] = int(n[0]), mean
+        for (view, bucket), sums in hand_over(spark.sparkContext.broadcast(model)).items():
+            handed[view][bucket] = int(sums[-1]), sums[:-1] / (UNIT * sums[-1])
         model = trainer.fit(handed)
         now = [(v, b, n) for v in (0, 1) for b, (n, _) in handed[v].items()]
         if now == before:
