@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 
 from docweir.session import spread
 
-from .common import pick, remainder, stored, text_slices
+from .common import pick, remainder, slices, stored, text_slices
 
 #: Hidden states; words with an emission of their own; classes of all other words, by their ending; words whose counts every worker has.
-STATES, SYMBOLS, CLASSES, COUNTED = 6, 20_000, 512, 150_000
-#: Documents (about so many, with the smallest hashes of ids) that set the start of training; passes of Baum-Welch over all training documents; tokens of a
-#: training window.
-FIRST, PASSES, WINDOW = 1500, 2, 512
+STATES, SYMBOLS, CLASSES, COUNTED = 8, 20_000, 512, 150_000
+#: Passes of Baum-Welch over all training documents at most; the gain in the mean log-likelihood of a symbol that calls for another one.
+PASSES, GAIN = 8, 0.005
+#: Bytes of the longest words that every worker gets.
+WORD_BYTES = 64
+#: Symbols of a window, and of what is worked on at a time; axes on which documents are placed for the start of training.
+WINDOW, BATCH, AXES = 512, 400_000, 16
 _FLUSH = 300_000
 
 
@@ -102,74 +105,194 @@ class Hmm:
         out[order] = logs + np.log10(scale)
         return out
 
-    def expected(self, windows: list[np.ndarray]) -> np.ndarray:
-        """Expected counts of starts, moves and emissions over the windows: one E step of Baum-Welch."""
+    def _entries(self, flat: np.ndarray, at: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For windows of whole sequences in turn: state probabilities before the first symbol, those after the last one (both normalised), and the backward
+        values after the last (to scale). Windows are run at once, each from every state, and their K x K products chained along the sequence."""
+        k, n = len(self.start), len(at)
+        last = np.append(first[1:], True)
+        enter, leave, back = np.tile(self.start, (n, 1)).astype(np.float64), np.zeros((n, k)), np.ones((n, k))
+        several = np.nonzero(~(first & last))[0]  # a sequence of one window needs no chain
+        if not len(several):
+            return enter, leave, back
+        order = several[np.argsort(-length[several], kind="stable")]
+        active = np.searchsorted(-length[order], -np.arange(length[order[0]]), side="left")
+        turn = np.zeros((n, k, k), np.float32)
+        now = np.zeros((len(order), k, k), np.float32)
+        for t, m in enumerate(active):
+            emit = self.emit[flat[at[order[:m]] + t]]
+            if t == 0:
+                now[:, np.arange(k), np.arange(k)] = emit
+            else:
+                now[:m] = (now[:m].reshape(-1, k) @ self.move).reshape(m, k, k) * emit[:, None, :]
+            if t % 3 == 2 or t == 0:  # products of a few factors stay far from the smallest float
+                now[:m] /= np.maximum(now[:m].sum((1, 2), keepdims=True), 1e-30)
+        turn[order] = now / np.maximum(now.sum((1, 2), keepdims=True), 1e-30)
+        place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        by_place = [np.nonzero(place == p)[0] for p in range(place.max() + 1)] if place.max() < 64 else np.split(
+            np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+        move = self.move.astype(np.float64)
+        for w in by_place:
+            inner = w[~first[w]]
+            enter[inner] = leave[inner - 1] @ move
+            enter[inner] /= enter[inner].sum(1, keepdims=True)
+            after = (enter[w][:, None, :] @ turn[w])[:, 0]
+            leave[w] = after / np.maximum(after.sum(1, keepdims=True), 1e-300)
+        for w in reversed(by_place):
+            outer = w[~last[w]]
+            before = (turn[outer + 1] @ back[outer + 1][:, :, None])[:, :, 0] @ move.T
+            back[outer] = before / np.maximum(before.sum(1, keepdims=True), 1e-300)
+        return enter, leave, back
+
+    def expected(self, flat: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """Expected counts of starts, moves and emissions over whole sequences, which stand on end, and their log-likelihood: one E step of Baum-Welch.
+
+        Sequences are worked on in windows, all at once; forward and backward values are carried over the edges, so the counts are those of the whole sequences.
+        """
         k = len(self.start)
-        windows = sorted(windows, key=len, reverse=True)
-        sizes = np.array([len(w) for w in windows])
-        active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        flat, at = np.concatenate(windows), np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        pieces = -(-sizes // window)
+        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        at = np.repeat(np.cumsum(sizes) - sizes, pieces) + place * window
+        length = np.minimum(window, np.repeat(sizes, pieces) - place * window)
+        enter, leave, back = self._entries(flat, at, length, place == 0)
+        order = np.argsort(-length, kind="stable")
+        before = leave[order - 1].astype(np.float32)  # of the window before, in inner ones
+        at, length, place, enter, back = at[order], length[order], place[order], enter[order].astype(np.float32), back[order].astype(np.float32)
+        active = np.searchsorted(-length, -np.arange(length[0]), side="left")
         alphas, symbols, scales = [], [], []
+        likelihood = 0.0
         for t, m in enumerate(active):
             s = flat[at[:m] + t]
-            a = (np.tile(self.start, (m, 1)) if t == 0 else alphas[-1][:m] @ self.move) * self.emit[s]
+            a = (enter if t == 0 else alphas[-1][:m] @ self.move) * self.emit[s]
             c = np.maximum(a.sum(1, keepdims=True), 1e-30)
+            likelihood += float(np.log(c.astype(np.float64)).sum())
             alphas.append(a / c)
             symbols.append(s)
             scales.append(c)
         moves = np.zeros((k, k))
         gammas = [np.empty(0)] * len(active)
-        beta = np.ones((active[-1], k), np.float32)
+        beta = np.zeros((0, k), np.float32)
         for t in range(len(active) - 1, -1, -1):
+            m, done = active[t], len(beta)
+            if m > done:  # windows that end here
+                ends = back[done:m]
+                beta = np.concatenate([beta, ends / np.maximum((alphas[t][done:m] * ends).sum(1, keepdims=True), 1e-30)])
             gammas[t] = alphas[t] * beta
+            step = self.emit[symbols[t]] * beta / scales[t]
             if t:
-                m, before = active[t], active[t - 1]
-                back = self.emit[symbols[t]] * beta / scales[t]
-                moves += self.move * (alphas[t - 1][:m].T @ back)
-                beta = np.ones((before, k), np.float32)
-                beta[:m] = back @ self.move.T
+                moves += self.move * (alphas[t - 1][:m].T @ step)
+                beta = step @ self.move.T
+            else:
+                inner = place > 0
+                moves += self.move * (before[inner].T @ step[inner])
         every, weight = np.concatenate(symbols), np.concatenate(gammas)
         emits = np.stack([np.bincount(every, weight[:, i], len(self.emit)) for i in range(k)], 1)
-        return np.concatenate([gammas[0].sum(0), moves.ravel(), emits.ravel()])
+        return np.concatenate([gammas[0][place == 0].sum(0), moves.ravel(), emits.ravel(), [likelihood]])
+
+
+def word_directions(size: int) -> np.ndarray:
+    """A random direction for each symbol; the mean of a document's is its place among documents."""
+    return np.random.default_rng(11).standard_normal((size, AXES)).astype(np.float32)
+
+
+def places(flat: np.ndarray, sizes: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """For each symbol, the sum over its occurrences of the places of their documents, and their number."""
+    ends = np.cumsum(sizes)
+    mean = np.add.reduceat(directions[flat], ends - sizes, axis=0) / sizes[:, None]
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return np.stack([np.bincount(flat, w, len(directions)) for w in (*mean[doc].T, np.ones(len(flat)))], 1)
+
+
+def first_model(sums: np.ndarray, k: int, steps: int = 50) -> Hmm:
+    """A start for training, from the `places` of all training documents: symbols are parted into k groups by the mean place of the documents they occur in
+    (k-means, weighted by counts); each state prefers one group and tends to stay."""
+    counts = sums[:, -1]
+    known = np.nonzero(counts > 0)[0]
+    group = np.zeros(len(sums), np.int64)
+    if len(known) > k:
+        weight = counts[known]
+        x = sums[known, :-1] / weight[:, None]
+        x = x - np.average(x, axis=0, weights=weight)
+        x *= np.sqrt(np.minimum(weight, 100) / 100)[:, None]  # places of rare symbols are noise
+        centres = x[[int(np.argmax(weight * (x * x).sum(1)))]]
+        while len(centres) < k:  # the next one is where most is far from all others
+            far = ((x[:, None] - centres) ** 2).sum(2).min(1)
+            centres = np.concatenate([centres, x[[int(np.argmax(weight * far))]]])
+        for _ in range(steps):
+            own = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(1)
+            total = np.bincount(own, weight, k)
+            new = np.stack([np.bincount(own, weight * c, k) for c in x.T], 1) / np.maximum(total, 1e-9)[:, None]
+            new = np.where(total[:, None] > 0, new, centres)
+            if np.abs(new - centres).max() < 1e-6:
+                break
+            centres = new
+        group[known] = own
+    else:
+        group[known] = np.arange(len(known)) % k
+    emit = (counts + 0.05)[:, None] * np.where(group[:, None] == np.arange(k), 1.0, 0.2)
+    emit = emit * np.random.default_rng(11).uniform(0.9, 1.1, emit.shape)  # states that came out alike can still part
+    move = np.full((k, k), 0.1 / max(1, k - 1))
+    np.fill_diagonal(move, 0.9)
+    return Hmm(np.full(k, 1 / k), move, emit / emit.sum(0))
 
 
-def windows_of(symbols: np.ndarray) -> list[np.ndarray]:
-    return [symbols[i : i + WINDOW] for i in range(0, len(symbols), WINDOW)]
+def _token_batches(column: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols on end and sizes of sequences (binary, 16 bits a symbol), about BATCH symbols at a time."""
+    for c in column:
+        sizes = [len(x) for x in c.to_pylist()]
+        raw = c.to_pylist()
+        for lo, hi in slices(sizes, 2 * BATCH):
+            yield np.frombuffer(b"".join(raw[lo:hi]), np.uint16).astype(np.int64), np.array(sizes[lo:hi]) // 2
 
 
-def first_model(sequences: list[np.ndarray], size: int, k: int, steps: int = 25) -> Hmm:
-    """A start for training: documents as a mixture of k word distributions, by EM; each becomes a state that tends to stay."""
-    counts = np.full((size, k), 1.0)
-    rng = np.random.default_rng(11)
-    if sequences:
-        doc = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
-        flat = np.concatenate(sequences)
-        share = rng.dirichlet(np.full(k, 0.3), len(sequences))
-        for _ in range(steps):
-            emit = np.stack([np.bincount(flat, share[doc, i], size) for i in range(k)], 1) + 0.05
-            logs = np.log(emit / emit.sum(0))
-            fit = np.stack([np.bincount(doc, logs[flat, i], len(sequences)) for i in range(k)], 1) + np.log(share.mean(0) + 1e-3)
-            share = np.exp(fit - fit.max(1, keepdims=True))
-            share /= share.sum(1, keepdims=True)
-        counts = emit
-    counts = counts * rng.uniform(0.8, 1.2, counts.shape)  # states that came out alike can still part
-    move = np.full((k, k), 0.1 / max(1, k - 1))
-    np.fill_diagonal(move, 0.9)
-    return Hmm(np.full(k, 1 / k), move, counts / counts.sum(0))
+def _sum_of(sequences: DataFrame, work, size: int) -> np.ndarray:
+    """The sum over all sequences (column symbols) of the vectors that `work` makes of batches of them; added up in the workers and then by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for flat, sizes in _token_batches(b.column(0) for b in batches):
+            total += work(flat, sizes)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
+    found = sequences.select("symbols").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
+    out[found["at"].to_numpy(int)] = found["n"].to_numpy(float)
+    return out
 
-def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def baum_welch(sequences: DataFrame, size: int, states: int = STATES, passes: int = PASSES, gain: float = GAIN) -> tuple[Hmm, list[float]]:
+    """A hidden Markov model of all sequences (column symbols: 16 bits each, below `size`), and the mean log-likelihood of a symbol before each pass.
+
+    Each pass is an E step over all whole sequences. Training ends when a pass has raised the mean log-likelihood of a symbol (natural logarithm)
+    by less than `gain`, after `passes` passes at most.
+    """
+    spark = sequences.sparkSession
+    directions = word_directions(size)
+    sums = _sum_of(sequences, lambda flat, sizes: places(flat, sizes, directions).ravel(), size * (AXES + 1)).reshape(size, AXES + 1)
+    model, trace = first_model(sums, states), []
+    symbols = sums[:, -1].sum()
+    for _ in range(passes if symbols else 0):
+        now = spark.sparkContext.broadcast(model)
+        counts = _sum_of(sequences, lambda flat, sizes, now=now: now.value.expected(flat, sizes), states + states * states + size * states + 1)
+        trace.append(counts[-1] / symbols)
+        model = Hmm.of_counts(counts[:-1], size, states)
+        if len(trace) > 1 and trace[-1] - trace[-2] < gain:
+            break
+    return model, trace
+
+
+def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", passes: int = PASSES) -> DataFrame:
     """One row per document: doc_id, trained, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Words and one end per document are tokens. Word counts come from all rows for which `train`, a condition on doc_id, holds. The base is their
     smoothed unigram. The model is a hidden Markov chain whose states emit frequent words, the end, or a class of other words
     (by the ending), which yields a word by its smoothed share in the class: a distribution over all known words and one unknown
-    a class. Baum-Welch runs over all training documents, PASSES times, in windows; expected counts are added up in the workers and
-    then by Spark. Scoring runs the scaled forward recursion over each whole text.
+    a class. Each text is turned into symbols once; Baum-Welch then runs over all whole training documents until the likelihood settles (see
+    `baum_welch`), its start too comes from all of them, and expected counts are added up in the workers and then by Spark. Scoring
+    runs the scaled forward recursion over each whole text.
 
-    Counts of the COUNTED most frequent words go to the workers by broadcast, a fixed bound; counts of all others are joined to the
-    documents' words by a shuffle, as is their share of the scores. Only the start of training comes from a sample, about FIRST documents (those with the
-    smallest hashes of their ids).
+    Counts of the COUNTED most frequent words of up to WORD_BYTES go to the workers by broadcast, a fixed bound; counts of all others are joined to the
+    documents' words by a shuffle, as is their share of the scores.
 
     Null or empty text: only the end. Null ids train unless the condition is false for them, and with repeated ids are rows of
     their own. Without training rows, counts are 0 and the base score is 0. An empty table gives no rows; other columns are ignored.
@@ -203,98 +326,77 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
     known = counts.where("word is not null")
     # How common a word must be to be among the most frequent COUNTED: by a histogram of the counts' logarithms, a few thousand rows.
     bin_of = F.floor(F.log2("c") * 64).cast("int")
+    short = F.octet_length("word") <= WORD_BYTES
     room_left, least = COUNTED, None
-    for r in sorted(known.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin):
+    for r in sorted(known.where(short).groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.bin):
         room_left -= r.n
         if room_left < 0:
             break
         least = r.bin
-    top = [] if least is None else sorted(((r.word, r.c) for r in known.where(bin_of >= least).collect()), key=lambda x: (-x[1], x[0].encode()))
+    top = [] if least is None else sorted(((r.word, r.c) for r in known.where(short & (bin_of >= least)).collect()), key=lambda x: (-x[1], x[0].encode()))
     alphabet = Alphabet(top)
 
     # What the classes hold: all words without an emission of their own.
     last = top[SYMBOLS - 1] if len(top) >= SYMBOLS else None
     ending = F.expr("substring(cast(word as binary), greatest(octet_length(word) - 2, 1), 3)")
-    classed = known.withColumn("class", (F.crc32(ending) % CLASSES).cast("int"))
+    own = F.lit(False)
     if last:
-        classed = classed.where((F.col("c") < last[1]) | (F.col("c") == last[1]) & (F.col("word") > last[0]))
+        own = short & ((F.col("c") > last[1]) | (F.col("c") == last[1]) & (F.col("word") <= last[0]))
     elif least is not None:
-        classed = classed.where(bin_of < least)
+        own = short & (bin_of >= least)
+    classed = known.where(~own).withColumn("class", (F.crc32(ending) % CLASSES).cast("int"))
     held = {r["class"]: (r.n, r.v) for r in classed.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     room = np.array([0.1 * (held.get(i, (0, 0))[1] + 1) + held.get(i, (0, 0))[0] for i in range(CLASSES)])
-
-    share = min(1.0, FIRST / max(1, ends))
-    lot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)), F.lit(1_000_000_000)) < int(share * 1_000_000_000)
     shared = spark.sparkContext.broadcast(alphabet)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = shared.value
-        for _, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in book.symbols(*book.read(texts))])], ["s"])
-
-    start = sorted(r.s for r in learn.where(lot).mapInArrow(encode, "s binary").collect())
-    model = first_model([np.frombuffer(s, np.int32) for s in start], alphabet.size, STATES)
-
-    for _ in range(PASSES):
-        now = spark.sparkContext.broadcast(model)
-
-        def expect(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            book, hmm = shared.value, now.value
-            sums: np.ndarray | int = 0
-            for _, texts in text_slices(batches):
-                windows = [w for x in book.symbols(*book.read(texts)) for w in windows_of(x)]
-                for i in range(0, len(windows), 1500):
-                    sums = sums + hmm.expected(windows[i : i + 1500])
-            at = np.nonzero(sums)[0] if isinstance(sums, np.ndarray) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at] if len(at) else np.zeros(0))], ["at", "n"])
-
-        found = learn.mapInArrow(expect, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        expected = np.zeros(STATES + STATES * STATES + alphabet.size * STATES)
-        expected[found["at"].to_numpy(int)] = found["n"].to_numpy(float)
-        if len(found):
-            model = Hmm.of_counts(expected, alphabet.size, STATES)
-
-    final = spark.sparkContext.broadcast(model)
     below = n_all + 0.1 * (v_all + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text as symbols, with the sums over its counted words, and its other words with their numbers."""
         from pyspark import TaskContext
 
-        book, hmm, row = shared.value, final.value, TaskContext.get().partitionId() << 33
+        book, row = shared.value, TaskContext.get().partitionId() << 33
         logs = np.append(np.log10((book.counts + 0.1) / below), 0)
         shares = np.append(np.where(np.arange(len(book.counts)) < book.n_own, 0, np.log10((book.counts + 0.1) / room[book.classes])), 0)
         end = math.log10((ends + 0.1) / below)
         for ids, trains, texts in text_slices(batches, 2):
             split, flat, at = book.read(texts)
-            doc = np.repeat(np.arange(len(texts)), [len(w) for w in split])
-            sums = lambda x, doc=doc, n=len(texts): np.bincount(doc, x, n)
-            base, own = end + sums(logs[at]), (sums((at >= 0).astype(float)) + (ends > 0)).astype(np.int64)
-            score = hmm.log10(book.symbols(split, flat, at)) + sums(shares[at])
+            n = len(texts)
+            doc = np.repeat(np.arange(n), [len(w) for w in split])
+            sums = lambda x, doc=doc, n=n: np.bincount(doc, x, n)
             other = np.nonzero(at < 0)[0]
-            tail = Counter(zip(doc[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True))
-            tail_row, tail_word, tail_n = [row + d for d, _ in tail], [w for _, w in tail], list(tail.values())
-            n, m = len(texts), len(tail_row)
-            none = lambda kind: pa.nulls(m, kind)
-            columns = [
-                pa.array(np.concatenate([row + np.arange(n), np.array(tail_row, np.int64)])),
-                pa.concat_arrays([pa.array(ids, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(trains), none(pa.bool_())]),
-                pa.concat_arrays([pa.array([len(w) + 1 for w in split], pa.int64()), none(pa.int64())]),
-                pa.concat_arrays([pa.array(own, pa.int64()), none(pa.int64())]), pa.concat_arrays([pa.array(base), none(pa.float64())]),
-                pa.concat_arrays([pa.array(score), none(pa.float64())]),
-                pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(tail_word, pa.binary()).cast(pa.string())]),
-                pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(tail_n, pa.int32())]),
-                pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array([room[word_class(w)] for w in tail_word], pa.float64())])]
+            tail = sorted(Counter(zip(doc[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True)).items())
+            cuts = np.searchsorted([d for (d, _), _ in tail], np.arange(n + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (
+                pa.array([w for (_, w), _ in tail], pa.binary()).cast(pa.string()), pa.array([m for _, m in tail], pa.int32()),
+                pa.array([room[word_class(w)] for (_, w), _ in tail], pa.float64()))]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row + np.arange(n)), pa.array(ids, pa.int64()), pa.array(trains), pa.array([len(w) + 1 for w in split], pa.int64()),
+                pa.array((sums((at >= 0).astype(float)) + (ends > 0)).astype(np.int64)), pa.array(end + sums(logs[at])), pa.array(sums(shares[at])),
+                pa.array([x.astype(np.uint16).tobytes() for x in book.symbols(split, flat, at)], pa.binary()), *lists],
+                ["row", "doc_id", "trained", "n_tokens", "own", "base", "share", "symbols", "words", "times", "rooms"])
             row += n
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "trained", "n_tokens", "own", "base", "score", "word", "tf", "room"])
 
     parts = stored(rows.select("doc_id", "trains", "text").mapInArrow(
-        score, "row bigint, doc_id bigint, trained boolean, n_tokens bigint, own bigint, base double, score double, word string, tf int, room double"), "parts")
+        encode, "row bigint, doc_id bigint, trained boolean, n_tokens bigint, own bigint, base double, share double, symbols binary, words array<string>, "
+        "times array<int>, rooms array<double>"), "parts")
+    model, _ = baum_welch(parts.where("trained"), alphabet.size, STATES, passes)
+    final = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            logs = [np.zeros(0)] + [final.value.log10(np.split(flat, np.cumsum(sizes)[:-1])) for flat, sizes in _token_batches(iter([b.column(6)]))]
+            made = np.concatenate(logs) + b.column(7).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(made)], ["row", "doc_id", "trained", "n_tokens", "own", "base", "score"])
+
+    scored = parts.select("row", "doc_id", "trained", "n_tokens", "own", "base", "symbols", "share").mapInArrow(
+        score, "row bigint, doc_id bigint, trained boolean, n_tokens bigint, own bigint, base double, score double")
     c = F.coalesce(F.col("c"), F.lit(0))
-    tail = parts.where("word is not null").select("row", "word", "tf", "room").join(known, "word", "left").groupBy("row").agg(
+    each = parts.select("row", F.explode(F.arrays_zip("words", "times", "rooms")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("tf"), F.col("t.rooms").alias("room"))
+    tail = each.join(known, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"), F.sum(F.col("tf") * F.log10((c + 0.1) / below)).alias("tail_base"),
         F.sum(F.col("tf") * F.log10((c + 0.1) / F.col("room"))).alias("tail_score"))
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    out = parts.where("word is null").join(tail, "row", "left")
+    out = scored.join(tail, "row", "left")
     return out.select("doc_id", "trained", "n_tokens", plus("own", "tail_known"), F.lit(n_all).cast("bigint").alias("train_tokens"),
                       plus("base", "tail_base"), plus("score", "tail_score")).toDF(
         "doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score")

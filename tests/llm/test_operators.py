@@ -486,8 +486,104 @@ def test_forward_against_enumeration():
             total += p
         want.append(math.log10(total))
     assert np.allclose(m.log10(sequences), want, atol=1e-5)
-    windows = m.expected(sequences)
-    assert math.isclose(windows[:3].sum(), 4, rel_tol=1e-4) and math.isclose(windows[3:12].sum(), 13 - 4, rel_tol=1e-4) and math.isclose(windows[12:].sum(), 13, rel_tol=1e-4)
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 512])
+def test_expected_counts_against_enumeration(window):
+    """Counts over all hidden paths of whole sequences, whatever the windows they are worked on in."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    m = hmm.Hmm(rng.dirichlet(np.ones(2)), rng.dirichlet(np.ones(2), 2), rng.dirichlet(np.ones(4), 2).T)
+    sequences = [rng.integers(0, 4, n) for n in (1, 4, 9, 2, 3, 6)]
+    start, move, emit, likelihood = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2)), 0.0
+    for s in sequences:
+        paths = {}
+        for path in itertools.product(range(2), repeat=len(s)):
+            p = m.start[path[0]] * m.emit[s[0], path[0]]
+            for a, b, x in zip(path, path[1:], s[1:]):
+                p *= m.move[a, b] * m.emit[x, b]
+            paths[path] = float(p)
+        total = sum(paths.values())
+        likelihood += math.log(total)
+        for path, p in paths.items():
+            start[path[0]] += p / total
+            for a, b in zip(path, path[1:]):
+                move[a, b] += p / total
+            for a, x in zip(path, s):
+                emit[x, a] += p / total
+    got = m.expected(np.concatenate(sequences), np.array([len(s) for s in sequences]), window)
+    assert np.allclose(got, np.concatenate([start, move.ravel(), emit.ravel(), [likelihood]]), atol=1e-4)
+
+
+def test_one_document_counts_one_start():
+    rng = np.random.default_rng(0)
+    m = hmm.Hmm(np.full(3, 1 / 3), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(50), 3).T)
+    got = m.expected(rng.integers(0, 50, 2000), np.array([2000]))
+    assert math.isclose(got[:3].sum(), 1, rel_tol=1e-4) and math.isclose(got[3:12].sum(), 1999, rel_tol=1e-4) and math.isclose(got[12:-1].sum(), 2000, rel_tol=1e-4)
+
+
+def test_likelihood_rises_with_each_pass(spark):
+    r = random.Random(3)
+    texts = []
+    for _ in range(300):
+        state, out = r.randrange(3), []
+        for _ in range(r.randrange(5, 900)):
+            state = state if r.random() < 0.9 else r.randrange(3)
+            out.append(10 * state + min(9, int(r.expovariate(0.4))))
+        texts.append((np.array(out, np.uint16).tobytes(),))
+    table = spark.createDataFrame(texts, "symbols binary").repartition(3)
+    model, trace = hmm.baum_welch(table, 30, states=3, passes=12, gain=1e-4)
+    assert len(trace) > 2 and all(b > a - 1e-6 for a, b in zip(trace, trace[1:]))
+    assert len(trace) < 12 and trace[-1] - trace[-2] < 1e-4  # it stops when the likelihood settles
+    assert np.all(np.diag(model.move) > 0.8)
+
+
+def test_hmm_query_against_plain_scoring(spark, docs, rows, tmp_path, monkeypatch):
+    """Scores of the query from a restated forward recursion, word by word, under the model that training gives; with frequent, classed and joined words."""
+    from docweir.llm.queries import queries
+
+    monkeypatch.setattr(hmm, "COUNTED", 20)
+    monkeypatch.setattr(hmm, "SYMBOLS", 8)
+    table = [x for x in rows if len(x[1] or "") < 10_000]
+    spark.createDataFrame(table, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found, plain = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a, **k: found.append(plain(*a, **k)) or found[-1])
+    out = queries()["op7_hmm_scoring"](spark, str(tmp_path))
+    assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    counts = Counter(w for i, t, *_ in table if not held(i) for w in byte_words(t))
+    by_count = sorted(counts, key=lambda w: (-counts[w], w))
+    bins = Counter(math.floor(math.log2(c) * 64) for c in counts.values())
+    room, least = 20, None
+    for b in sorted(bins, reverse=True):
+        room -= bins[b]
+        if room < 0:
+            break
+        least = b
+    own = [w for w in by_count if math.floor(math.log2(counts[w]) * 64) >= least][:8]
+    classes = defaultdict(list)
+    for w in counts:
+        if w not in own:
+            classes[hmm.word_class(w)].append(counts[w])
+    (model, _), = found
+
+    def score(t):
+        alpha, total = None, 0.0
+        for w in [*byte_words(t), None]:
+            symbol = len(own) if w is None else own.index(w) if w in own else len(own) + 1 + hmm.word_class(w)
+            alpha = (model.start if alpha is None else alpha @ model.move) * model.emit[symbol].astype(float)
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+            if w is not None and w not in own:
+                mates = classes[hmm.word_class(w)]
+                total += math.log10((counts.get(w, 0) + 0.1) / (sum(mates) + 0.1 * (len(mates) + 1)))
+        return total
+
+    want = sorted(((i, held(i), round(score(t), 2)) for i, t, *_ in table), key=repr)
+    got = sorted(((r.doc_id, r.held_out, round(r.score, 2)) for r in out.collect()), key=repr)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) <= 0.02 for a, b in zip(got, want))
 
 
 # -- lines ------------------------------------------------------------------------------------------------------------------------
