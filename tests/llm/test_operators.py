@@ -777,15 +777,17 @@ def test_quality_with_clashing_names(clashing, spark):
 
 # -- embeddings -------------------------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("cell", [embedding_dedup.CELL, 8])
-def test_embeddings(spark, monkeypatch, cell):
-    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+@pytest.mark.parametrize("number", ["float", "double"])
+@pytest.mark.parametrize("cell", [embedding_dedup.CELL, 30, 8])
+def test_embeddings(spark, monkeypatch, cell, number):
+    monkeypatch.setattr(embedding_dedup, "TILE", (16, 40))
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 50)
     rng = np.random.default_rng(6)
     base = rng.standard_normal((60, 16))
     x = [*base, *(base[:30] + 0.05 * rng.standard_normal((30, 16))), *(base[0] + 0.1 * rng.standard_normal((40, 16))), base[3], base[3], 2 * base[3]]
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
     rows += [(500, None), (501, [0.0] * 16), (502, [float("nan")] * 16), (503, [None] * 16), (504, [float("inf")] + [1.0] * 15), (505, []), (506, [1.0, 2.0]), (507, [2.0, 4.0]), (None, rows[0][1])]
-    table = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id bigint, embedding array<float>, label int, N_LINKS string")
+    table = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], f"vec_id bigint, embedding array<{number}>, label int, N_LINKS string")
     good = [k for k, (_, v) in enumerate(rows) if v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
     cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
     parent, n = list(range(len(rows))), Counter()
@@ -801,10 +803,28 @@ def test_embeddings(spark, monkeypatch, cell):
         low[find(parent, k)].append(i)
     top = lambda k: min((i for i in low[find(parent, k)] if i is not None), default=None)
     want = sorted(((i, n[k], top(k), i == top(k)) for k, (i, _) in enumerate(rows)), key=repr)
-    assert ordered(embedding_dedup.subspace_join(table, axes=2 if cell > 8 else 1)) == want
+    assert ordered(embedding_dedup.subspace_join(table, cell=cell)) == want
     assert embedding_dedup.subspace_join(table.where("false")).count() == 0
 
 
+def test_cells_meet_whatever_is_near():
+    """Of any two vectors within the budget of a block, both are in one cell or exactly one visits the other's."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 8))
+    x = np.concatenate([x, x[:200] + 0.2 * rng.standard_normal((200, 8))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    space = embedding_dedup.Space(8, 2, 0.2, x.mean(0), 4)
+    r = embedding_dedup._rotated(x, space.turn)
+    for block in (0, 1):
+        own, (row, other) = space.cells(r, block), space.visits(r, block)
+        assert (own[row] != other).all() and len(set(zip(row.tolist(), other.tolist()))) == len(row)
+        seen = set(zip(row.tolist(), other.tolist()))
+        for i in range(len(x)):
+            for j in range(i):
+                if ((r[i, space.spans[block]] - r[j, space.spans[block]]) ** 2).sum() <= space.budgets[block]:
+                    assert own[i] == own[j] or ((i, own[j]) in seen) + ((j, own[i]) in seen) == 1
+
+
 # -- pipeline ---------------------------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark, docs, rows, clashing, none, tmp_path):
