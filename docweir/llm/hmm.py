@@ -24,8 +24,8 @@ PASSES, GAIN = 8, 0.005
 #: Bytes of the longest words that every worker gets.
 WORD_BYTES = 64
 #: Symbols of a window, and of what is worked on at a time; axes on which documents are placed for the start of training.
-WINDOW, BATCH, AXES = 512, 400_000, 16
-_FLUSH = 300_000
+WINDOW, BATCH, AXES = 1024, 1_000_000, 16
+_FLUSH = 500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -56,13 +56,13 @@ class Alphabet:
         """Places among the counted words, -1 for others."""
         return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
 
-    def symbols(self, texts: list[list[bytes]], flat: list[bytes], at: np.ndarray) -> list[np.ndarray]:
-        """The symbols of each text, with the end; `flat` holds the words of all texts, `at` their places."""
-        out = self.symbol[at]
-        other = np.nonzero(at < 0)[0]
-        out[other] = [self.n_own + 1 + word_class(flat[i]) for i in other.tolist()]
-        ends = np.cumsum([len(t) for t in texts])
-        return np.split(np.insert(out, ends, self.end), ends[:-1] + np.arange(1, len(ends)))
+    def symbols(self, at: np.ndarray, sizes: np.ndarray, other: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts on end, each with an end, and where each text begins; `at` are the words' places, `classes` those of the `other` words."""
+        out = np.full(len(at) + len(sizes), self.end, np.uint16)
+        own = self.symbol[at]
+        own[other] = self.n_own + 1 + classes
+        out[np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes)] = own
+        return out, np.concatenate([[0], np.cumsum(sizes + 1)])
 
     def read(self, texts: list[str | None]) -> tuple[list[list[bytes]], list[bytes], np.ndarray]:
         """Words by text, on end, and their places."""
@@ -83,27 +83,27 @@ class Hmm:
         start, move, emit = counts[:k] + 0.1, counts[k : k + k * k].reshape(k, k) + 0.1, counts[k + k * k :].reshape(size, k) + 0.01
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """log10 likelihood of each whole sequence: the scaled forward recursion, over all sequences at once."""
-        sizes = np.array([len(s) for s in sequences])
-        order = np.argsort(-sizes, kind="stable")
-        out = np.zeros(len(sequences))
-        flat, at = np.concatenate(sequences), np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
-        active = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")  # sequences longer than t
-        alpha = np.broadcast_to(self.start, (len(sequences), len(self.start)))
-        emit, move, logs = self.emit.astype(np.float64), self.move.astype(np.float64), np.zeros(len(sequences))
-        scale = np.ones(len(sequences))
+    def log10(self, flat: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+        """log10 likelihood of each whole sequence, which stand on end: the scaled forward recursion, over all windows at once."""
+        at, length, place = _windows(sizes, window)
+        alpha, _, _ = self._entries(flat, at, length, place == 0)
+        order = np.argsort(-length, kind="stable")
+        alpha, begin = alpha[order], at[order]
+        active = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")
+        emit, move, logs = self.emit.astype(np.float64), self.move.astype(np.float64), np.zeros(len(at))
+        scale, ones = np.ones(len(at)), np.ones((len(self.start), 1))
         for t, m in enumerate(active):
             alpha = alpha[:m] if t == 0 else alpha[:m] @ move
-            alpha = alpha * emit[flat[at[:m] + t]]
-            c = alpha.sum(1)
-            alpha /= c[:, None]
-            scale[:m] *= c
+            alpha = alpha * emit[flat[begin[:m] + t]]
+            c = alpha @ ones
+            alpha /= c
+            scale[:m] *= c[:, 0]
             if t % 16 == 15:  # 16 factors of 1e-9 or so are far from the smallest double
                 logs[:m] += np.log10(scale[:m])
                 scale[:m] = 1
+        out = np.empty(len(at))
         out[order] = logs + np.log10(scale)
-        return out
+        return np.add.reduceat(out, np.nonzero(place == 0)[0]) if len(sizes) else out
 
     def _entries(self, flat: np.ndarray, at: np.ndarray, length: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For windows of whole sequences in turn: state probabilities before the first symbol, those after the last one (both normalised), and the backward
@@ -117,15 +117,15 @@ class Hmm:
         order = several[np.argsort(-length[several], kind="stable")]
         active = np.searchsorted(-length[order], -np.arange(length[order[0]]), side="left")
         turn = np.zeros((n, k, k), np.float32)
-        now = np.zeros((len(order), k, k), np.float32)
+        now, every = np.zeros((len(order), k, k), np.float32), np.ones((k * k, 1), np.float32)
         for t, m in enumerate(active):
             emit = self.emit[flat[at[order[:m]] + t]]
             if t == 0:
                 now[:, np.arange(k), np.arange(k)] = emit
             else:
-                now[:m] = (now[:m].reshape(-1, k) @ self.move).reshape(m, k, k) * emit[:, None, :]
+                np.multiply((now[:m].reshape(-1, k) @ self.move).reshape(m, k, k), emit[:, None, :], out=now[:m])
             if t % 3 == 2 or t == 0:  # products of a few factors stay far from the smallest float
-                now[:m] /= np.maximum(now[:m].sum((1, 2), keepdims=True), 1e-30)
+                now[:m] /= np.maximum(now[:m].reshape(m, -1) @ every, 1e-30)[:, :, None]
         turn[order] = now / np.maximum(now.sum((1, 2), keepdims=True), 1e-30)
         place = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
         by_place = [np.nonzero(place == p)[0] for p in range(place.max() + 1)] if place.max() < 64 else np.split(
@@ -149,25 +149,22 @@ class Hmm:
         Sequences are worked on in windows, all at once; forward and backward values are carried over the edges, so the counts are those of the whole sequences.
         """
         k = len(self.start)
-        pieces = -(-sizes // window)
-        place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = np.repeat(np.cumsum(sizes) - sizes, pieces) + place * window
-        length = np.minimum(window, np.repeat(sizes, pieces) - place * window)
+        at, length, place = _windows(sizes, window)
         enter, leave, back = self._entries(flat, at, length, place == 0)
         order = np.argsort(-length, kind="stable")
         before = leave[order - 1].astype(np.float32)  # of the window before, in inner ones
         at, length, place, enter, back = at[order], length[order], place[order], enter[order].astype(np.float32), back[order].astype(np.float32)
         active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        alphas, symbols, scales = [], [], []
-        likelihood = 0.0
+        alphas, symbols, emitted, scales = [], [], [], []
+        ones = np.ones((k, 1), np.float32)
         for t, m in enumerate(active):
-            s = flat[at[:m] + t]
-            a = (enter if t == 0 else alphas[-1][:m] @ self.move) * self.emit[s]
-            c = np.maximum(a.sum(1, keepdims=True), 1e-30)
-            likelihood += float(np.log(c.astype(np.float64)).sum())
-            alphas.append(a / c)
-            symbols.append(s)
-            scales.append(c)
+            symbols.append(flat[at[:m] + t])
+            emitted.append(self.emit[symbols[t]])
+            a = (enter if t == 0 else alphas[-1][:m] @ self.move) * emitted[t]
+            scales.append(np.maximum(a @ ones, 1e-30))
+            a /= scales[t]
+            alphas.append(a)
+        likelihood = np.log(np.concatenate(scales), dtype=np.float64).sum()
         moves = np.zeros((k, k))
         gammas = [np.empty(0)] * len(active)
         beta = np.zeros((0, k), np.float32)
@@ -177,7 +174,9 @@ class Hmm:
                 ends = back[done:m]
                 beta = np.concatenate([beta, ends / np.maximum((alphas[t][done:m] * ends).sum(1, keepdims=True), 1e-30)])
             gammas[t] = alphas[t] * beta
-            step = self.emit[symbols[t]] * beta / scales[t]
+            step = emitted[t]
+            step *= beta
+            step /= scales[t]
             if t:
                 moves += self.move * (alphas[t - 1][:m].T @ step)
                 beta = step @ self.move.T
@@ -185,10 +184,17 @@ class Hmm:
                 inner = place > 0
                 moves += self.move * (before[inner].T @ step[inner])
         every, weight = np.concatenate(symbols), np.concatenate(gammas)
-        emits = np.stack([np.bincount(every, weight[:, i], len(self.emit)) for i in range(k)], 1)
+        emits = np.stack([np.bincount(every, w, len(self.emit)) for w in np.ascontiguousarray(weight.T)], 1)
         return np.concatenate([gammas[0][place == 0].sum(0), moves.ravel(), emits.ravel(), [likelihood]])
 
 
+def _windows(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the windows of sequences on end begin, their lengths, and their numbers within the sequence."""
+    pieces = -(-sizes // window)
+    place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(np.cumsum(sizes) - sizes, pieces) + place * window, np.minimum(window, np.repeat(sizes, pieces) - place * window), place
+
+
 def word_directions(size: int) -> np.ndarray:
     """A random direction for each symbol; the mean of a document's is its place among documents."""
     return np.random.default_rng(11).standard_normal((size, AXES)).astype(np.float32)
@@ -238,8 +244,8 @@ def first_model(sums: np.ndarray, k: int, steps: int = 50) -> Hmm:
 def _token_batches(column: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Symbols on end and sizes of sequences (binary, 16 bits a symbol), about BATCH symbols at a time."""
     for c in column:
-        sizes = [len(x) for x in c.to_pylist()]
         raw = c.to_pylist()
+        sizes = list(map(len, raw))
         for lo, hi in slices(sizes, 2 * BATCH):
             yield np.frombuffer(b"".join(raw[lo:hi]), np.uint16).astype(np.int64), np.array(sizes[lo:hi]) // 2
 
@@ -321,8 +327,8 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
 
     counts = stored(learn.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct, ends = counts.agg(F.sum("c"), F.count("word"), F.sum(F.when(F.col("word").isNull(), F.col("c")))).first()
-    n_all, ends = total or 0, ends or 0
-    v_all = distinct + (ends > 0)
+    n_all, ends_all = total or 0, ends or 0
+    v_all = distinct + (ends_all > 0)
     known = counts.where("word is not null")
     # How common a word must be to be among the most frequent COUNTED: by a histogram of the counts' logarithms, a few thousand rows.
     bin_of = F.floor(F.log2("c") * 64).cast("int")
@@ -357,44 +363,52 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
         book, row = shared.value, TaskContext.get().partitionId() << 33
         logs = np.append(np.log10((book.counts + 0.1) / below), 0)
         shares = np.append(np.where(np.arange(len(book.counts)) < book.n_own, 0, np.log10((book.counts + 0.1) / room[book.classes])), 0)
-        end = math.log10((ends + 0.1) / below)
+        end = math.log10((ends_all + 0.1) / below)
         for ids, trains, texts in text_slices(batches, 2):
             split, flat, at = book.read(texts)
-            n = len(texts)
-            doc = np.repeat(np.arange(n), [len(w) for w in split])
+            n, sizes = len(texts), np.array([len(w) for w in split], np.int64)
+            doc = np.repeat(np.arange(n), sizes)
             sums = lambda x, doc=doc, n=n: np.bincount(doc, x, n)
             other = np.nonzero(at < 0)[0]
-            tail = sorted(Counter(zip(doc[other].tolist(), map(flat.__getitem__, other.tolist()), strict=True)).items())
-            cuts = np.searchsorted([d for (d, _), _ in tail], np.arange(n + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(cuts, x) for x in (
-                pa.array([w for (_, w), _ in tail], pa.binary()).cast(pa.string()), pa.array([m for _, m in tail], pa.int32()),
-                pa.array([room[word_class(w)] for (_, w), _ in tail], pa.float64()))]
+            rest = list(map(flat.__getitem__, other.tolist()))
+            symbols, begin = book.symbols(at, sizes, other, np.fromiter(map(word_class, rest), np.int64, len(rest)))
+            raw = memoryview(symbols.tobytes())
+            cuts, words, times = np.searchsorted(doc[other], np.arange(n + 1)), [], []
+            ends = [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    seen = Counter(rest[lo:hi])
+                    words += seen
+                    times += seen.values()
+                ends.append(len(words))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int32()))]
             yield pa.RecordBatch.from_arrays([
-                pa.array(row + np.arange(n)), pa.array(ids, pa.int64()), pa.array(trains), pa.array([len(w) + 1 for w in split], pa.int64()),
-                pa.array((sums((at >= 0).astype(float)) + (ends > 0)).astype(np.int64)), pa.array(end + sums(logs[at])), pa.array(sums(shares[at])),
-                pa.array([x.astype(np.uint16).tobytes() for x in book.symbols(split, flat, at)], pa.binary()), *lists],
-                ["row", "doc_id", "trained", "n_tokens", "own", "base", "share", "symbols", "words", "times", "rooms"])
+                pa.array(row + np.arange(n)), pa.array(ids, pa.int64()), pa.array(trains), pa.array(sizes + 1),
+                pa.array((sums((at >= 0).astype(float)) + (ends_all > 0)).astype(np.int64)), pa.array(end + sums(logs[at])), pa.array(sums(shares[at])),
+                pa.array([raw[2 * a : 2 * b] for a, b in zip(begin, begin[1:])], pa.binary()), *lists],
+                ["row", "doc_id", "trained", "n_tokens", "own", "base", "share", "symbols", "words", "times"])
             row += n
 
     parts = stored(rows.select("doc_id", "trains", "text").mapInArrow(
         encode, "row bigint, doc_id bigint, trained boolean, n_tokens bigint, own bigint, base double, share double, symbols binary, words array<string>, "
-        "times array<int>, rooms array<double>"), "parts")
+        "times array<int>"), "parts")
     model, _ = baum_welch(parts.where("trained"), alphabet.size, STATES, passes)
     final = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            logs = [np.zeros(0)] + [final.value.log10(np.split(flat, np.cumsum(sizes)[:-1])) for flat, sizes in _token_batches(iter([b.column(6)]))]
+            logs = [np.zeros(0)] + [final.value.log10(flat, sizes) for flat, sizes in _token_batches(iter([b.column(6)]))]
             made = np.concatenate(logs) + b.column(7).to_numpy()
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(made)], ["row", "doc_id", "trained", "n_tokens", "own", "base", "score"])
 
     scored = parts.select("row", "doc_id", "trained", "n_tokens", "own", "base", "symbols", "share").mapInArrow(
         score, "row bigint, doc_id bigint, trained boolean, n_tokens bigint, own bigint, base double, score double")
     c = F.coalesce(F.col("c"), F.lit(0))
-    each = parts.select("row", F.explode(F.arrays_zip("words", "times", "rooms")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("tf"), F.col("t.rooms").alias("room"))
+    each = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("tf"))
+    in_class = F.element_at(F.lit(room.tolist()), (F.crc32(ending) % CLASSES + 1).cast("int"))
     tail = each.join(known, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"), F.sum(F.col("tf") * F.log10((c + 0.1) / below)).alias("tail_base"),
-        F.sum(F.col("tf") * F.log10((c + 0.1) / F.col("room"))).alias("tail_score"))
+        F.sum(F.col("tf") * F.log10((c + 0.1) / in_class)).alias("tail_score"))
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
     out = scored.join(tail, "row", "left")
     return out.select("doc_id", "trained", "n_tokens", plus("own", "tail_known"), F.lit(n_all).cast("bigint").alias("train_tokens"),
