@@ -15,8 +15,13 @@ from .common import connected_components, partitions, pick, stored, text_slices
 
 #: Fingerprints under a leaf of the index; a task's own index holds at most TASK fingerprints at a time.
 LEAF, FAN, TASK = 16, 8, 200_000
-#: Documents with one fingerprint from which on it is joined by broadcast.
-HOT = 10_000
+#: Documents of one fingerprint from which on it is joined by broadcast; how many of these there can be at most.
+HOT, SENT = 10_000, 100_000
+#: Words of a sketch; its choices of bits, how many each takes, and in how many of these candidates may differ.
+WORDS, LANES, LANE, LANE_BUDGET = 4, 20, 32, 2
+#: Entries up to which a task compares all pairs at once; texts, and characters of texts, of one candidate group that are compared in a task.
+FLAT, TEXTS, CHARS = 512, 2000, 16_000_000
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), [(np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)), (np.uint64(31), np.uint64(1))]
 _COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _TOP = 1 << 63
 
@@ -28,25 +33,47 @@ def differing(x: np.ndarray) -> np.ndarray:
     return _COUNT[np.ascontiguousarray(x)[..., None].view(np.uint16)].sum(-1, dtype=np.uint8)
 
 
-def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
-    """64-bit SimHash of the word shingles of each text, repeats included; no word: 0."""
+def _shingles(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text, repeats included, in stretches; none for a text without words."""
     from xxhash import xxh64_intdigest
 
-    out = np.zeros(len(texts), np.uint64)
+    words = (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at space and U+0009 to U+000D only
+    n = max(1, len(words) - shingle + 1) if words else 0
+    for lo in range(0, n, 8192):
+        part = words[lo : min(lo + 8192, n) + shingle - 1]
+        grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+        yield np.fromiter((xxh64_intdigest(g, 42) for g in grams), "<u8")
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, "<u8"), *_shingles(text, shingle)]))
+
+
+def sketches(texts: list[str | None], shingle: int, words: int = 1) -> np.ndarray:
+    """SimHash of the word shingles of each text, repeats included, in so many words of 64 bits; no shingle: 0. The first word is that of the hashes themselves, each
+    other one of another mixture of their bits."""
+    out = np.zeros((len(texts), words), np.uint64)
     for k, text in enumerate(texts):
-        words = (text or "").encode().lower().split()  # bytes: lowers A-Z and splits at space and U+0009 to U+000D only
-        if not words:
-            continue
-        n, ones = max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
-        for lo in range(0, n, 8192):  # a long text in stretches
-            part = words[lo : min(lo + 8192, n) + shingle - 1]
-            grams = map(b" ".join, zip(*(part[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-            h = np.fromiter((xxh64_intdigest(g, 42) for g in grams), "<u8")
-            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[k] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+        n, ones = 0, np.zeros((words, 64), np.int64)
+        for h in _shingles(text, shingle):
+            n += len(h)
+            z = h + _STEP * np.arange(words, dtype=np.uint64)[:, None]
+            for shift, times in _MIX:
+                z[1:] = (z[1:] ^ (z[1:] >> shift)) * times
+            bits = np.unpackbits(z.view(np.uint8).reshape(words, -1, 8), axis=2, bitorder="little").view(np.uint64)
+            for lo in range(0, len(h), 255):  # eight counters of a byte each are added at once
+                ones += np.ascontiguousarray(bits[:, lo : lo + 255].sum(1)).view(np.uint8).reshape(words, 64)
+        if n:
+            out[k] = np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
+def fingerprints(texts: list[str | None], shingle: int) -> np.ndarray:
+    """64-bit SimHash of the word shingles of each text."""
+    return sketches(texts, shingle)[:, 0]
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of a word in Gray order: the number whose Gray code it is."""
     x = x.copy()
@@ -92,7 +119,11 @@ class GrayIndex:
 
     def pairs(self, budget: int, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Positions i < j (in Gray order) of all pairs that differ in at most `budget` bits."""
-        left, right = [], []
+        left, right = zip(*self.pair_chunks(budget, chunk), strict=True)
+        return np.concatenate(left), np.concatenate(right)
+
+    def pair_chunks(self, budget: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for `chunk` values of i at a time."""
         n = len(self.sorted)
         for lo in range(0, n, chunk):
             q = np.arange(lo, min(n, lo + chunk))
@@ -112,14 +143,12 @@ class GrayIndex:
             keep = (j < n) & (j > q)
             q, spent, rest, j = q[keep], spent[keep], rest[keep], j[keep]
             keep = spent + differing((self.sorted[q] ^ self.sorted[j]) & rest) <= budget
-            left.append(q[keep])
-            right.append(j[keep])
-        return np.concatenate(left), np.concatenate(right)
+            yield q[keep], j[keep]
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
+def _blocks(budget: int, wide: int = 64) -> list[tuple[int, int]]:
     """(shift, bits) of the budget + 1 blocks of a fingerprint; two within the budget agree in one block at least."""
-    cuts = [round(64 * i / (budget + 1)) for i in range(budget + 2)]
+    cuts = [round(wide * i / (budget + 1)) for i in range(budget + 2)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -137,64 +166,92 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _dealt(rows: DataFrame, *carried: str) -> DataFrame:
+    """(key, the carried columns): rows by task, in order of key; all rows of one block and value (columns block and value) meet, two by two at least.
+
+    A block value with more than TASK rows is cut into pieces of about TASK / 2, by hash of the carried columns, and each pair of pieces is a task of its own, so all
+    pairs are covered whatever the size.
+    """
+    sizes = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > TASK)
+    pieces = F.ceil(F.col("n") / (TASK // 2)).cast("int")
+    mine = F.pmod(F.xxhash64(*carried), F.col("pieces")).cast("int")
+    common = rows.join(sizes.select("block", "value", pieces.alias("pieces")), ["block", "value"], "left")
+    common = common.withColumn("mine", F.coalesce(mine, F.lit(0)))
+    pair = lambda x: F.struct(F.least(x, "mine").alias("a"), F.greatest(x, "mine").alias("b"))
+    tasks = F.transform(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1), pair)
+    key = F.xxhash64("block", "value", "task.a", "task.b").alias("key")
+    dealt = common.withColumn("task", F.explode(tasks)).select(key, *carried)
+    return dealt.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns but the first of the rows of each key, the first column, which they are sorted by."""
+    key_now, held = None, []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        keys = columns[0]
+        cuts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if lo == hi:
+                continue
+            if keys[lo] != key_now:
+                if held:
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                key_now, held = keys[lo], []
+            held.append([c[lo:hi] for c in columns[1:]])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+class _Links:
+    """Links (a, b) in batches of a fair size."""
+
+    def __init__(self) -> None:
+        self.made: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.made.append((a, b))
+        self.n += len(a)
+        if self.n >= 20_000:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *(m[i].view(np.int64) for m in self.made)])) for i in (0, 1)], ["a", "b"])
+        self.made.clear()
+        self.n = 0
+        return out
+
+
 def near_links(prints: DataFrame, budget: int) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that join all pairs within the budget, directly or in steps.
 
     Two fingerprints within the budget agree in one of budget + 1 blocks. Each fingerprint goes once for each block to the
     task of that block's value; the task sorts its fingerprints in Gray order, builds the index over them and searches it, so
     no fingerprint meets all others. Of each group that it links, it returns a link from each member to one of them only.
-    A block value with more than TASK fingerprints is cut into Gray-order pieces of TASK / 2, and each pair of pieces is a task of
-    its own: 30 bits or more still vary there, and all pairs are covered whatever the size.
     """
-    spark = prints.sparkSession
     parts = [prints.select("fp", F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1).alias("value"))
              for k, (shift, bits) in enumerate(_blocks(budget))]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
-    sizes = rows.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > TASK)
-    # At most (budget + 1) * rows / TASK values are that common, usually none: 32 bytes for each 66,000 fingerprints.
-    pieces = F.ceil(F.col("n") / (TASK // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    common = rows.join(F.broadcast(sizes.select("block", "value", pieces.alias("pieces"))), ["block", "value"], "left")
-    common = common.withColumn("mine", F.coalesce(mine, F.lit(0)))
-    pair = lambda x: F.when(x < F.col("mine"), F.struct(x.alias("a"), F.col("mine").alias("b"))).otherwise(F.struct(F.col("mine").alias("a"), x.alias("b")))
-    tasks = F.when(F.coalesce("pieces", F.lit(1)) <= 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), pair))
-    common = common.withColumn("task", F.explode(tasks))
-    key = F.xxhash64("block", "value", "task.a", "task.b").alias("key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key_now, held = None, []
-
-        def links(fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        links = _Links()
+        for (fps,) in _groups_of(batches):
             fps = np.unique(fps)
             if len(fps) < 2:
-                return
+                continue
             index = GrayIndex(fps.view(np.uint64))
             a, b = index.pairs(budget)
             if len(a):
                 root = _roots(len(fps), a, b)
                 far = np.nonzero(root != np.arange(len(fps)))[0]
-                s = index.sorted.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s[far]), pa.array(s[root[far]])], ["a", "b"])
-
-        for batch in batches:
-            keys, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if lo == hi:
-                    continue
-                if keys[lo] != key_now:
-                    if len(held) > 1 or (held and len(held[0]) > 1):
-                        yield from links(np.concatenate(held))
-                    key_now, held = keys[lo], []
-                held.append(fps[lo:hi])
-        if held:
-            yield from links(np.concatenate(held))
-
-    dealt = common.select(key, "fp").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(search, "a bigint, b bigint")
+                yield from links.add(index.sorted[far], index.sorted[root[far]])
+        yield links.flush()
+
+    return _dealt(rows, "fp").mapInArrow(search, "a bigint, b bigint")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 2, id_col: str = "doc_id", text_col: str = "text",
@@ -208,7 +265,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 2, id_col: s
     is none). An empty table gives no rows; other columns are ignored. With `keys`, two columns more: group (a fingerprint of the
     component, the same for all of it) and text_key (MD5 of the text).
 
-    In the last join, fingerprints of HOT documents or more are sent to all workers: 24 bytes for each 10,000 documents at most.
+    In the last join, fingerprints of HOT documents or more, and of more than one in SENT of all, are sent to all workers: SENT rows at most.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("fp", pa.int64())])
 
@@ -229,24 +286,169 @@ def simhash_groups(docs: DataFrame, shingle: int = 5, budget: int = 2, id_col: s
         "fp", "n", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("component_low")).alias("component_id"),
         F.coalesce("component", "fp").alias("group"))
     of = stored(of, "components")
-    hot = F.broadcast(of.where(F.col("n") >= HOT).drop("n"))
-    rare = each.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") < HOT).drop("n"), "fp")
+    # No more than SENT fingerprints can have that many documents, whatever the input: a broadcast of a proven size.
+    total = of.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT, -(-total // SENT))
+    hot = F.broadcast(of.where(F.col("n") >= least).drop("n"))
+    rare = each.join(hot.select("fp"), "fp", "left_anti").join(of.where(F.col("n") < least).drop("n"), "fp")
     joined = rare.unionByName(each.join(hot, "fp"))
     out = joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_key")
     return out if keys else out.drop("group", "text_key")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, budget: int = 2) -> DataFrame:
-    """The documents (doc_id, text and any other columns) without near-duplicates: of each group the one with the smallest id stays; of rows
-    that repeat it, the one with the smallest MD5 of its text, once. Groups without any id keep one document as well."""
+def _lane_bits() -> np.ndarray:
+    """Which bits of a sketch make each lane."""
+    rng = np.random.default_rng(17)
+    return np.stack([rng.choice(64 * WORDS, LANE, replace=False) for _ in range(LANES)])
+
+
+def _away(similarity: float, n: int) -> int:
+    """Bits in which n of a sketch may differ at this similarity, with three standard deviations to spare: shingles taken with or without the other set make an
+    angle whose cosine is 2 s / (1 + s)."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(np.ceil(n * p + 3 * (n * p * (1 - p)) ** 0.5))
+
+
+def _sketch_links(lanes: np.ndarray, sketch: np.ndarray, budget: int, away: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that join all pairs whose lanes differ in at most `budget` bits and whose sketches differ in at most `away`.
+
+    Few are compared all at once, many through the Gray index; pairs are merged as they are found, so a dense group holds no memory for all of them.
+    """
+    n = len(lanes)
+    if n <= FLAT:
+        order = np.arange(n)
+        found = iter([np.nonzero(np.triu(differing(lanes[:, None] ^ lanes) <= budget, 1))])
+    else:
+        index = GrayIndex(lanes)
+        order, found = index.order, index.pair_chunks(budget, min(4096, max(16, 2_000_000 // n)))
+    mine = sketch[order]
+    root = np.arange(n)
+    for a, b in found:
+        new = root[a] != root[b]
+        a, b = a[new], b[new]
+        if len(a):
+            near = differing(mine[a] ^ mine[b]).astype(np.int64).sum(1) <= away
+            a, b = a[near], b[near]
+        if len(a):
+            far = np.nonzero(root != np.arange(n))[0]
+            root = _roots(n, np.concatenate([far, a]), np.concatenate([root[far], b]))
+    far = np.nonzero(root != np.arange(n))[0]
+    return order[far], order[root[far]]
+
+
+def similar_sets(items: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], similarity: float, away: int) -> list[tuple[int, int]]:
+    """Links between items that join all pairs whose sketches differ in at most `away` bits and whose sets have the Jaccard similarity or more. Pairs that are joined
+    already are not compared again."""
+    items, first = np.unique(items, return_index=True)
+    sizes = np.array([len(sets[i]) for i in first], np.int64)
+    by = np.argsort(sizes, kind="stable")
+    items, sketch, sizes, sets = items[by], sketch[first][by], sizes[by], [sets[i] for i in first[by]]
+    root, out = np.arange(len(items)), []
+    for i in range(1, len(items)):
+        least = np.searchsorted(sizes[:i], similarity * sizes[i] - 1e-6)
+        at = least + np.nonzero(root[least:i] != root[i])[0]
+        apart = differing(sketch[at] ^ sketch[i]).astype(np.int64).sum(1)
+        good = apart <= away
+        for j in at[good][np.argsort(apart[good], kind="stable")].tolist():  # the nearest first
+            if root[j] != root[i]:
+                both = sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j])) if sizes[i] else 0
+                if not sizes[i] or both / (sizes[i] + sizes[j] - both) >= similarity:
+                    out.append((int(items[i]), int(items[j])))
+                    root[root == root[j]] = root[i]
+    return out
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per group of near-duplicates (columns doc_id, text): group, own (struct of none, doc_id, key: the row that stays, which is that of the smallest
+    id and then of the smallest MD5 of its text), n (rows that repeat it).
+
+    Texts link if the sets of their word shingles (64-bit hashes) have the Jaccard similarity or more; groups are what links join. Candidates come
+    from SimHash: each different text has a sketch of WORDS * 64 bits, and LANES choices of LANE of its bits. Texts whose lanes differ in at most LANE_BUDGET
+    bits, found in a Gray-order index as in `near_links`, are candidates if their whole sketches differ in no more bits than similar ones do. Of a pair at the
+    limit of 0.8, nine of ten are found so, and nearly all of those that are more alike. What candidates join is brought together with the shingle sets, once each,
+    and compared in full. A candidate group of more than TEXTS texts or CHARS characters is cut into pieces, and each pair of pieces
+    is a task of its own.
+    """
+    spark = docs.sparkSession
+    rows = pick(docs, doc_id="bigint", text="string").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    bits, away = _lane_bits(), _away(similarity, 64 * WORDS)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, key, chars in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(key, pa.string()), pa.array(chars, pa.int64()),
+                                              pa.array([x.tobytes() for x in sketches(texts, shingle, WORDS)], pa.binary())], ["doc_id", "key", "chars", "sketch"])
+
+    each = rows.select("doc_id", "text", "key", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+    each = each.mapInArrow(prints, "doc_id bigint, key string, chars bigint, sketch binary")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    each = each.groupBy("key", "doc_id").agg(F.count("*").alias("n"), F.min("sketch").alias("sketch"), F.min("chars").alias("chars"))
+    texts = each.groupBy("key").agg(F.min_by(F.struct(own.alias("own"), "n"), own).alias("best"), F.min("sketch").alias("sketch"), F.min("chars").alias("chars"))
+    texts = stored(texts.withColumn("item", F.monotonically_increasing_id()), "texts")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text once for each block of each lane."""
+        blocks = _blocks(LANE_BUDGET, LANE)
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            every = np.unpackbits(raw, axis=1, bitorder="little")
+            item = b.column(0)
+            for k, chosen in enumerate(bits):
+                lane = np.zeros((len(raw), 8), np.uint8)
+                lane[:, : LANE // 8] = np.packbits(every[:, chosen], axis=1, bitorder="little")
+                lane = lane.view("<i8")[:, 0]
+                for j, (shift, wide) in enumerate(blocks):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), k * len(blocks) + j, np.int32)), pa.array(lane >> shift & ((1 << wide) - 1)),
+                                                      pa.array(lane), item, b.column(1)], ["block", "value", "lane", "item", "sketch"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _Links()
+        for lane, item, sketch in _groups_of(batches):
+            if len(lane) > 1:
+                a, b = _sketch_links(lane.view(np.uint64), np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, WORDS), LANE_BUDGET, away)
+                if len(a):
+                    yield from links.add(item[a], item[b])
+        yield links.flush()
+
+    spread_out = texts.select("item", "sketch").mapInArrow(entries, "block int, value bigint, lane bigint, item bigint, sketch binary")
+    near = connected_components(_dealt(spread_out, "lane", "item", "sketch").mapInArrow(search, "a bigint, b bigint")).withColumnRenamed("id", "item")
+    members = texts.join(near, "item").select("item", "sketch", "chars", "key", F.col("best.own.doc_id").alias("low"), "component")
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    pieces = F.ceil(F.greatest(F.col("n") / TEXTS, F.col("chars") / CHARS, F.lit(1))).cast("int").alias("pieces")
+    members = stored(members.drop("chars").join(sizes.select("component", pieces), "component"), "members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, *rest in text_slices(batches, 0):
+            columns = [pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], ["item", "sketch", "component", "pieces", "set"])
+
+    full = rows.join(members.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("low")))
+    full = full.select("text", "item", "sketch", "component", "pieces").mapInArrow(sets, "item bigint, sketch binary, component bigint, pieces int, set binary")
+    mine = F.pmod(F.xxhash64("item", F.lit(7)), F.col("pieces")).cast("int")
+    full = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    full = full.select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "item", "sketch", "set")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = _Links()
+        for items, sketch, found in _groups_of(batches):
+            if len(items) > 1:
+                made = similar_sets(items, np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, WORDS), [np.frombuffer(x, "<u8") for x in found], similarity, away)
+                if made:
+                    yield from links.add(*(np.array(x, np.int64) for x in zip(*made, strict=True)))
+        yield links.flush()
+
+    dealt = full.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    groups = connected_components(dealt.mapInArrow(compare, "a bigint, b bigint")).withColumnRenamed("id", "item")
+    named = texts.join(groups, "item", "left").select(F.coalesce("component", "item").alias("group"), "best")
+    return named.groupBy("group").agg(F.min_by("best", "best.own").alias("b")).select("group", F.col("b.own").alias("own"), F.col("b.n").alias("n"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents (doc_id, text and any other columns) without near-duplicates: of each group (see `similar_groups`) the one with the smallest id stays; of rows
+    that repeat it, the one with the smallest MD5 of its text, once. Groups without any id keep one document as well; texts without a word are one group."""
     plain = docs.toDF(*(f"_c{i}" for i in range(len(docs.columns))))
     at = lambda n: F.col(f"_c{docs.columns.index(n)}")
-    groups = simhash_groups(docs, shingle, budget, keys=True)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.coalesce("text_key", F.lit("")).alias("key"))
-    each = groups.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    best = each.groupBy("group").agg(F.min_by(F.struct(own.alias("own"), "n"), own).alias("b")).select(
-        F.col("b.own.doc_id").alias("_id"), F.col("b.own.key").alias("_key"), F.col("b.n").alias("_n"))
-    keyed = plain.withColumn("_own", F.coalesce(F.md5(at("text").cast("string")), F.lit("")))
+    best = similar_groups(docs, shingle, similarity).select(F.col("own.doc_id").alias("_id"), F.col("own.key").alias("_key"), F.col("n").alias("_n"))
+    keyed = plain.withColumn("_own", F.md5(F.coalesce(at("text").cast("string"), F.lit(""))))
     kept = keyed.join(best, at("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
     once = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_id", "_key"]))
     return once.select(*plain.columns).toDF(*docs.columns)

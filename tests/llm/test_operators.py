@@ -130,9 +130,80 @@ def test_simhash_groups(docs, rows, none, clashing):
     assert ordered(simhash.simhash_groups(docs, 3)) == want
     assert ordered(simhash.simhash_groups(clashing, 3)) == want
     assert simhash.simhash_groups(none).count() == 0
-    kept = simhash.keep_one(clashing, 3)
-    assert kept.columns == clashing.columns
-    assert kept.count() == len(low)
+
+
+def jaccard_groups(rows, linked=lambda a, b: True):
+    """Groups of rows whose texts' sets of five-word shingles have a similarity of 0.8 or more, of those pairs that may be linked."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in (byte_words(t) for _, t, *_ in rows)]
+    parent = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = sets[a] | sets[b]
+            if (not both or len(sets[a] & sets[b]) >= 0.8 * len(both) - 1e-9) and linked(a, b):
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    return parent, sets
+
+
+def kept_of(rows, parent):
+    """Of each group, the row with the smallest id, then the smallest MD5."""
+    low = {}
+    for k, (i, t, *_) in enumerate(rows):
+        own = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest(), t or "")
+        low[find(parent, k)] = min(low.get(find(parent, k), own), own, key=lambda x: x[:3])
+    return sorted(((None if o[0] else o[1], o[3]) for o in low.values()), key=repr)
+
+
+def test_keep_one(docs, rows, none, clashing):
+    want = kept_of(rows, jaccard_groups(rows)[0])
+    for table in (docs, clashing):
+        kept = simhash.keep_one(table)
+        assert kept.columns == table.columns
+        got = kept.toDF(*(f"_{i}" for i in range(len(kept.columns)))).select("_0", "_1").collect()
+        assert sorted(((r[0], r[1] or "") for r in got), key=repr) == want
+    assert simhash.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("flat, texts, task", [(simhash.FLAT, simhash.TEXTS, simhash.TASK), (2, 3, 40)])
+def test_near_duplicates_are_compared_in_full(spark, monkeypatch, flat, texts, task):
+    """Candidates as the sketches give them, all of them compared by their sets; whole, and with indexes, pieces and pairs of pieces."""
+    for name, value in (("FLAT", flat), ("TEXTS", texts), ("TASK", task)):
+        monkeypatch.setattr(simhash, name, value)
+    r, rows = random.Random(12), []
+    for base in range(30):
+        vocabulary = [f"b{base}w{r.randrange(4000)}" for _ in range(r.choice([3, 60, 200, 400]))]
+        rows.append((len(rows), " ".join(vocabulary)))
+        for k in range(8):  # from almost equal to less than 0.8
+            copy = vocabulary[:]
+            for at in r.sample(range(len(copy)), min(len(copy), 1 + k * len(copy) // 150)):
+                copy[at] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), " ".join(vocabulary).upper()))
+    rows += [(2000, None), (2001, ""), (2002, " \n"), (None, rows[0][1]), (5, rows[5][1]), (3, "repeated id")]
+    sketch = simhash.sketches([t for _, t in rows], 5, simhash.WORDS)
+    bits = np.unpackbits(np.ascontiguousarray(sketch).view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+    away = simhash._away(0.8, 64 * simhash.WORDS)
+    apart = (bits[:, None] != bits).sum(2)
+    lanes = np.min([(bits[:, None, lane] != bits[:, lane]).sum(2) for lane in simhash._lane_bits()], axis=0)
+    near = list(range(len(rows)))
+    for a, b in np.argwhere((lanes <= simhash.LANE_BUDGET) & (apart <= away)):
+        x, y = find(near, a), find(near, b)
+        near[max(x, y)] = min(x, y)
+    parent, sets = jaccard_groups(rows, lambda a, b: apart[a, b] <= away and find(near, a) == find(near, b))
+    every, found = 0, 0
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] != sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                every, found = every + 1, found + (find(parent, a) == find(parent, b))
+    assert found >= 0.95 * every > 100
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert sorted(((x.doc_id, x.text or "") for x in got.collect()), key=repr) == kept_of(rows, parent)
+
+
+def test_fingerprint_is_the_first_word_of_a_sketch():
+    texts = ["a b c d e f g h", None, "x", " ".join(f"w{i % 97}" for i in range(20_000))]
+    assert (simhash.sketches(texts, 5, 4)[:, 0] == simhash.fingerprints(texts, 5)).all()
+    assert [f"{x:016x}" for x in simhash.fingerprints(texts[:3], 5).tolist()] == [f"{plain_simhash(t, 5):016x}" for t in texts[:3]]
 
 
 @pytest.mark.parametrize("budget", [0, 1, 2, 3])
