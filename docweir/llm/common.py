@@ -33,9 +33,12 @@ _OWN: dict[str, str] = {}  # application -> its local folder, where the session
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as a whole URI: `spark.checkpoint.dir`; a local one of its own only where that is unset, as in tests."""
+    """The folder all executors share, as a whole URI: `spark.checkpoint.dir`; a local one of its own only where that is unset and the executors are on this
+    machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="docweir-")
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
     uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
@@ -79,6 +82,25 @@ def drop_table(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
+class Scratch:
+    """The tables made while it is open; `finish` stores a result and removes all others, which nothing needs then."""
+
+    def __enter__(self) -> Scratch:
+        self.seen = {path for _, path in _MADE}
+        return self
+
+    def finish(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        mine = [x for x in _MADE if x[1] not in self.seen][:-1]
+        for spark, path in mine:
+            _delete(spark, path)
+            _MADE.remove((spark, path))
+        return out
+
+    def __exit__(self, *_) -> None:
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,8 +24,8 @@ PASSES, GAIN = 8, 0.005
 #: Bytes of the longest words that every worker gets.
 WORD_BYTES = 64
 #: Symbols of a window, and of what is worked on at a time; axes on which documents are placed for the start of training.
-WINDOW, BATCH, AXES = 1024, 1_000_000, 16
-_FLUSH = 500_000
+WINDOW, BATCH, AXES = 1024, 600_000, 16
+_FLUSH = 400_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,10 +52,6 @@ class Alphabet:
         # The last place is for words that are not among these; their class is put in where they stand.
         self.symbol = np.append(np.where(own, np.arange(len(words)), self.n_own + 1 + self.classes), 0).astype(np.int32)
 
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        """Places among the counted words, -1 for others."""
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-
     def symbols(self, at: np.ndarray, sizes: np.ndarray, other: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts on end, each with an end, and where each text begins; `at` are the words' places, `classes` those of the `other` words."""
         out = np.full(len(at) + len(sizes), self.end, np.uint16)
@@ -64,11 +60,14 @@ class Alphabet:
         out[np.arange(len(at)) + np.repeat(np.arange(len(sizes)), sizes)] = own
         return out, np.concatenate([[0], np.cumsum(sizes + 1)])
 
-    def read(self, texts: list[str | None]) -> tuple[list[list[bytes]], list[bytes], np.ndarray]:
-        """Words by text, on end, and their places."""
-        split = [words_of(t) for t in texts]
-        flat = list(chain.from_iterable(split))
-        return split, flat, self.look_up(flat)
+    def read(self, texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray]:
+        """The words of each text, and the places of all on end among the counted words, -1 for others."""
+        split, found, get, none = [], [np.zeros(0, np.int32)], self.index.get, repeat(-1)
+        for t in texts:  # looked up text by text, while its words are still in the processor's cache
+            words = words_of(t)
+            split.append(words)
+            found.append(np.fromiter(map(get, words, none), np.int32, len(words)))
+        return split, np.concatenate(found)
 
 
 class Hmm:
@@ -365,7 +364,8 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
         shares = np.append(np.where(np.arange(len(book.counts)) < book.n_own, 0, np.log10((book.counts + 0.1) / room[book.classes])), 0)
         end = math.log10((ends_all + 0.1) / below)
         for ids, trains, texts in text_slices(batches, 2):
-            split, flat, at = book.read(texts)
+            split, at = book.read(texts)
+            flat = list(chain.from_iterable(split))
             n, sizes = len(texts), np.array([len(w) for w in split], np.int64)
             doc = np.repeat(np.arange(n), sizes)
             sums = lambda x, doc=doc, n=n: np.bincount(doc, x, n)

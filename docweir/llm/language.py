@@ -138,9 +138,9 @@ class Mixture:
         """The main language of each text, its share, the set with its shares, and the share of its words that are likelier under
         the mixture than letters at random."""
         out, score, sets, sense = ["und"] * len(texts), np.zeros(len(texts)), [""] * len(texts), np.full(len(texts), np.nan)
-        if not self.langs:
-            return out, score, sets, sense
         split = [(t or "").lower().split() for t in texts]
+        if not self.langs:
+            return out, score, sets, np.where([any(map(_letters, words)) for words in split], 1.0, np.nan)
         numbers = self._numbers([w for words in split for w in words])
         doc = np.repeat(np.arange(len(texts)), [len(w) for w in split])[numbers >= 0]
         if not len(doc):
@@ -171,8 +171,8 @@ def mixture_language(docs: DataFrame, train: Column | None = None, id_col: str =
     one raises the log-likelihood by more than a penalty. The one with the greatest share is the prediction, the share its score, lang_mix
     lists the set, and sense is the share of the words with a letter that are likelier under the mixture than letters at random. The model goes to the workers by broadcast, 256 KB a language; more than LANGUAGES values of the language column are refused.
 
-    Null texts and those without a letter give `und`, score 0 and a null sense, as does a model without any language. Null and repeated ids are
-    rows of their own. An empty table gives no rows; other columns are ignored. `keep` leaves out doc_id's name and returns all
+    Null texts and those without a letter give `und`, score 0 and a null sense. Without any language to learn, all give `und` and score 0; sense is 1 for texts with
+    a letter then. Null and repeated ids are rows of their own. An empty table gives no rows; other columns are ignored. `keep` leaves out doc_id's name and returns all
     columns of the input beside the results, under names starting with an underscore.
     """
     spark = docs.sparkSession

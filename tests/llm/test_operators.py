@@ -918,6 +918,76 @@ def test_pipeline(spark, docs, rows, clashing, none, tmp_path):
         assert stage(spark, clashing, str(tmp_path)).count() > 0
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Ids and texts after each stage against a plain version of it, over copies, near copies, passages that many documents share, noise and bad documents."""
+    import corpus_pipeline
+
+    r = random.Random(77)
+    vocabulary = {k: [f"{k}{r.choice('aeiou')}{r.choice('lnrst')}{r.choice('aeiou')}{x}" for x in "abcdefghijklmnop" for _ in range(12)] for k in ("b", "g")}
+    line = lambda k, n=14: " ".join(r.choice(vocabulary[k]) for _ in range(n))
+    rows = []
+    for _ in range(150):
+        k = r.choice("bg")
+        rows.append((len(rows), "\n".join(line(k) for _ in range(r.randrange(2, 9))), k, f"s{r.randrange(3)}"))
+    copied, shared = line("b", 60) + "\n" + line("b"), line("g")
+    rows += [(len(rows) + i, copied, "b", "s0") for i in range(14)]
+    rows += [(300 + i, line("g") + "\n" + shared + "\n" + line("g"), "g", "s1") for i in range(12)]
+    for i in range(10):  # near copies of 0.8 and more, and of less
+        base = line("g", 120).split()
+        rows.append((400 + 10 * i, " ".join(base), "g", "s2"))
+        for j in range(1, 5):
+            copy = base[:]
+            copy[10 * j : 10 * j + (1, 2, 30, 1)[j - 1]] = ["bxeny"] * (1, 2, 30, 1)[j - 1]
+            rows.append((400 + 10 * i + j, " ".join(copy), "g", "s2"))
+    rows += [(600 + i, " ".join(f"%{r.randrange(10**9)}$!x~{r.randrange(10**9)}" for _ in range(12)), None, "s0") for i in range(6)]
+    rows += [(700 + i, " ".join(r.choice(["###", "$$$", *vocabulary["b"][:20]]) for _ in range(40)), "b", "s0") for i in range(60)]
+    rows += [(800, None, "b", "s0"), (801, "", "b", "s0"), (802, "12 34", "b", "s0"), (None, line("b", 30), "b", "s0")]
+    labels = [(i, 0 if 700 <= i < 760 else 1, 0) for i, *_ in rows if i is not None and i % 2 == 0]
+    docs = spark.createDataFrame([(i, t, k, s, len(t or "")) for i, t, k, s in rows], SCHEMA).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now, stages = docs, dict(corpus_pipeline.STAGES)
+    of = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=repr)
+
+    # Language: documents without a letter or without sense go.
+    sense = [s for *_, s in plain_language([(k, t) for _, t, k, _ in rows if t and k], [t for _, t, *_ in rows])]
+    want = [(i, t) for (i, t, *_), s in zip(rows, sense) if s is not None and s >= 0.5]
+    now = stages["language_id"](spark, now, str(tmp_path))
+    assert of(now) == sorted(want, key=repr) and {i for i, _ in want} == {i for i, *_ in rows} - {800, 801, 802, *range(600, 606)}
+
+    # Quality: what the classifier rejects, which the bad ones are and good ones are not.
+    scores = {x.doc_id: x.kept for x in quality.co_trained_quality(now, spark.read.parquet(f"{tmp_path}/labels.parquet")).collect()}
+    want = [(i, t) for i, t in want if scores[i]]
+    now = stages["quality"](spark, now, str(tmp_path))
+    assert of(now) == sorted(want, key=repr) and {i for i, _ in want} == {i for i, *_ in rows} - {800, 801, 802, *range(600, 606), *range(700, 760)}
+
+    # Lines of 10 documents or more stay in the first of them.
+    want = [(i, t) for i, _, _, t in plain_lines(want, 10, True)]
+    now = stages["line_dedup"](spark, now, str(tmp_path))
+    assert of(now) == sorted(want, key=repr)
+    assert sum(shared in t for _, t in want) == 1 and sum(t == copied for _, t in want) == 1
+
+    # One of each group of near-duplicates stays.
+    want = kept_of(want, jaccard_groups(want)[0])
+    now = stages["simhash_near_dedup"](spark, now, str(tmp_path))
+    assert of(now) == want and {i for i, _ in want if i is not None and 400 <= i < 500} == {400 + 10 * i + j for i in range(10) for j in (0, 3)}
+
+    # Packing keeps every token.
+    library = Tokenizer.from_file(words.tokenizer_path())
+    ids = library_ids(library, want)
+    got = stages["packing"](spark, now, str(tmp_path)).collect()
+    assert check_packed(got, want, ids, 1024) <= 1.1 * sum(len(x) + 1 for x in ids) / 1024 + 1
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(((x.doc_id, x.piece, x.ids_crc32) for x in whole.collect()), key=repr) == sorted(((x.doc_id, x.piece, x.ids_crc32) for x in got), key=repr)
+
+
+def test_pipeline_without_known_languages_keeps_documents(spark):
+    import corpus_pipeline
+
+    table = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12", None, "s", 1), (3, None, None, "s", 0)], SCHEMA)
+    assert [x.doc_id for x in corpus_pipeline.language_id(spark, table, "").collect()] == [1]
+
+
 def test_pipeline_keeps_one_of_many_copies(spark):
     import corpus_pipeline
 
