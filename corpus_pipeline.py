@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweir.llm import language, line_dedup, packing, quality, simhash, words
-from docweir.llm.common import stored
+from docweir.llm.common import Scratch, drop_table
 
 #: Kept documents keep all columns of `documents`, in their order and types.
 
@@ -17,8 +17,9 @@ def _named(kept: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (no text, no letter)."""
-    return _named(language.mixture_language(docs, keep=True).where("lang_pred <> 'und'"), docs)
+    """Drops documents without a letter, and those most of whose words are no likelier in any mixture of the learned languages than letters at random. Where no
+    language can be learned, only the former."""
+    return _named(language.mixture_language(docs, keep=True).where("sense >= 0.5"), docs)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id."""
-    return simhash.keep_one(docs, shingle=5)
+    """Keeps of each group of near-duplicates (five words, similarity of 0.8 or more) the document with the smallest id."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. Each stage's own tables and its input go as soon as its result is written."""
+    given = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with Scratch() as scratch:
+            made = scratch.finish(stage(spark, docs, sf_dir), name)
+        if docs is not given:
+            drop_table(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
