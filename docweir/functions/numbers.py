@@ -77,6 +77,12 @@ def short_number_udf(literal: str | None) -> str | None:
     return None if literal is None else short_number(literal)
 
 
+def shortened(c: Column) -> Column:
+    """`short_number` of a column: only literals with a point and more than 15 significant digits leave Spark for it."""
+    long = F.coalesce((significant_digits(c) > 15) & F.contains(c, F.lit(".")), F.lit(False))
+    return F.coalesce(short_number_udf(F.when(long, c)), c)
+
+
 def column_index(ref: Column) -> Column:
     """0-based column of a cell reference; -1 without letters or beyond the last column of a sheet."""
     letters = F.upper(F.regexp_extract(ref, "^([A-Za-z]+)", 1))

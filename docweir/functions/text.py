@@ -119,9 +119,9 @@ def docx_base(c: Column) -> Column:
 
 
 def alt_text(descr: Column, name: Column) -> Column:
-    """The description of an image, else its name without an extension, white space folded."""
+    """The description of an image, else its name, without an extension, white space folded."""
     clean = lambda c: trimmed(folded(F.coalesce(c, F.lit(""))))
-    return F.coalesce(F.nullif(clean(descr), F.lit("")), F.regexp_replace(clean(name), r"\.[A-Za-z0-9]{1,8}$", ""))
+    return F.regexp_replace(F.coalesce(F.nullif(clean(descr), F.lit("")), clean(name)), r"\.[A-Za-z0-9]{1,8}$", "")
 
 
 def mime_extension(c: Column) -> Column:

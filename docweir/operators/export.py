@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
@@ -66,10 +66,27 @@ def package(docs: DataFrame, most: int = EMBED_BYTES) -> DataFrame:
     return out.withColumn("report", report)
 
 
+def saved_names(files: DataFrame) -> DataFrame:
+    """The files (name, content) with saved_as: a name of its own for each. Of files of one name (case counts for nothing), the first by content keeps it and the others get
+    a number, as in `a (1).md`; where that is taken, the number and a hash."""
+    given = files.select("name", "content", F.lower("name").alias("_key"))
+    order = Window.partitionBy("_key").orderBy("name", F.xxhash64("content"))
+    numbered = given.withColumn("_k", F.row_number().over(order) - 1)
+    stem, ending = F.regexp_extract("name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    apart = lambda k: F.concat(F.when(stem == "", F.lit("file")).otherwise(stem), F.lit(" ("), k, F.lit(")"))
+    count = F.col("_k").cast("string")
+    tried = numbered.withColumn("_try", F.when(F.col("_k") == 0, F.col("name")).otherwise(F.concat(apart(count), ending)))
+    taken = given.select(F.col("_key").alias("_taken")).distinct()
+    met = tried.join(taken, (F.col("_k") > 0) & (F.lower("_try") == F.col("_taken")), "left")
+    other = F.concat(apart(count), F.lit("-"), F.lower(F.hex(F.xxhash64("name", "_k"))), ending)
+    return met.select("name", "content", F.when(F.col("_taken").isNull(), F.col("_try")).otherwise(other).alias("saved_as"))
+
+
 def save_files(files: DataFrame, directory: str) -> DataFrame:
-    """Writes files (name, content) under a directory that all executors share; returns (name, error) for each, errors kept apart.
+    """Writes files (name, content) under a directory that all executors share; returns (name, saved_as, error) for each, errors kept apart.
 
-    A file is written under another name and moved, so it is whole or not there.
+    Files of one name are told apart (`saved_names`); one that is there from before is replaced. A file is written under another name, measured and moved,
+    so it is whole or not there. A name with a path in it is refused (BAD_NAME), as is a file without content (NO_CONTENT).
     """
     import uuid
     from collections.abc import Iterator
@@ -81,20 +98,29 @@ def save_files(files: DataFrame, directory: str) -> DataFrame:
 
         store, top = fs.FileSystem.from_uri(directory)
         store.create_dir(top, recursive=True)
+
+        def save(name: str | None, content: bytes | None) -> str | None:
+            if not name or name in (".", "..") or any(c in name for c in "/\\\0"):
+                return "BAD_NAME"
+            if content is None:
+                return "NO_CONTENT"
+            part = f"{top}/.{uuid.uuid4().hex}"
+            try:
+                with store.open_output_stream(part) as f:
+                    f.write(content)
+                if store.get_file_info(part).size != len(content):
+                    store.delete_file(part)
+                    return "SHORT_WRITE"
+                store.move(part, f"{top}/{name}")
+            except OSError as e:
+                return type(e).__name__
+            return None
+
         for b in batches:
-            errors = []
-            for name, content in zip(b["name"], b["content"], strict=True):
-                try:
-                    part = f"{top}/.{uuid.uuid4().hex}"
-                    with store.open_output_stream(part) as f:
-                        f.write(content)
-                    store.move(part, f"{top}/{name}")
-                    errors.append(None)
-                except OSError as e:
-                    errors.append(type(e).__name__)
-            yield pd.DataFrame({"name": b["name"], "error": errors})
+            yield pd.DataFrame({"name": b["name"], "saved_as": b["saved_as"], "error": [save(n, c) for n, c in zip(b["saved_as"], b["content"], strict=True)]})
 
-    return files.select("name", "content").mapInPandas(write, "name string, error string")
+    out = saved_names(files).mapInPandas(write, "name string, saved_as string, error string")
+    return out.withColumn("saved_as", F.when(F.col("error").isNull(), F.col("saved_as")))
 
 
 def merge_batch(rows: DataFrame, keys: list[str], order: str, name: str, text: str) -> DataFrame:
@@ -108,3 +134,8 @@ def merge_batch(rows: DataFrame, keys: list[str], order: str, name: str, text: s
 def summary(docs: DataFrame, keys: list[str]) -> DataFrame:
     """How many documents went in, came out and failed."""
     return docs.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def chosen(docs: DataFrame, selected: Column | None = None) -> DataFrame:
+    """The rows that came out, of those selected: what saving all of a list takes."""
+    return docs.where(F.col("error").isNull() & (F.lit(True) if selected is None else F.coalesce(selected, F.lit(False))))

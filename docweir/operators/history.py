@@ -16,9 +16,22 @@ def newest_first() -> list[Column]:
     return [F.desc("created_at"), F.desc("ins_seq")]
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The rows with their place in a total order, from 1. Ranges of the order are numbered apart and take up where the ranges before them end, so no task sees all rows."""
+    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    within = Window.partitionBy("_range").orderBy(*order)
+    placed = ranged.withColumn("_place", F.row_number().over(within))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_before"))
+    return placed.join(starts, "_range").withColumn(name, F.col("_place") + F.col("_before")).select(*rows.columns, name)
+
+
 def listing(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The records with their place in the list."""
-    return records.withColumn("place", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*newest_first())))
+    if not keys:
+        return numbered(records, "place", *newest_first()).withColumn("place", F.col("place").cast("int"))
+    return records.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first())))
 
 
 def evict(records: DataFrame, limit: int = LIMIT, keys: list[str] | None = None) -> DataFrame:
@@ -44,9 +57,9 @@ def normalized(records: DataFrame) -> DataFrame:
 
 def new_records(files: DataFrame, name: str = "name", uri: str = "path", size: str = "length", kind: str = "kind") -> DataFrame:
     """Records for saved files: a random id, the time of the query, in the order of the uri. Ids and times differ from run to run."""
-    order = Window.partitionBy(F.lit(0)).orderBy(uri)
-    return files.select(F.expr("uuid()").alias("id"), F.col(name).alias("name"), F.col(uri).alias("uri"), F.col(size).cast("double").alias("bytes"), F.lit("").alias("mime"),
-                        F.col(kind).alias("kind"), F.unix_millis(F.current_timestamp()).alias("created_at"), F.row_number().over(order).cast("bigint").alias("ins_seq"))
+    return numbered(files, "ins_seq", F.col(uri)).select(
+        F.expr("uuid()").alias("id"), F.col(name).alias("name"), F.col(uri).alias("uri"), F.col(size).cast("double").alias("bytes"), F.lit("").alias("mime"),
+        F.col(kind).alias("kind"), F.unix_millis(F.current_timestamp()).alias("created_at"), F.col("ins_seq").cast("bigint").alias("ins_seq"))
 
 
 def append(records: DataFrame, new: DataFrame, keep: bool = True, limit: int = LIMIT) -> DataFrame:
@@ -61,6 +74,28 @@ def remove(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.select("id").distinct(), "id", "left_anti").select(*records.columns)
 
 
+def removals(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, error) of ids to remove: `not-found` for those that no record has."""
+    there = records.select("id").distinct().withColumn("_there", F.lit(True))
+    return ids.select("id").distinct().join(there, "id", "left").select("id", F.when(F.col("_there").isNull(), "not-found").alias("error"))
+
+
+def clear(states: DataFrame) -> DataFrame:
+    """States without any record; whether history is kept stays as it is, and an error of loading is gone."""
+    none = F.array().cast(f"array<{RECORD}>")
+    return states.withColumns({"records": none, "error": F.lit(None).cast("string"), "keep_history": F.coalesce("keep_history", F.lit(True))})
+
+
+def set_keep(states: DataFrame, on: Column) -> DataFrame:
+    """States that keep history or not; the records stay. Anything but true is off."""
+    return states.withColumn("keep_history", F.coalesce(on, F.lit(False)))
+
+
+def state_text(states: DataFrame) -> Column:
+    """The text that `parse_state` reads, of its columns keep_history and records."""
+    return F.to_json(F.struct(F.lit(VERSION).alias("schemaVersion"), F.col("keep_history").alias("keepHistory"), F.coalesce("records", F.array().cast(f"array<{RECORD}>")).alias("records")))
+
+
 def search(records: DataFrame, query: str | None) -> DataFrame:
     return records.where(name_matches(F.col("name"), F.lit(query or "")))
 

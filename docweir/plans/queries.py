@@ -245,7 +245,7 @@ def relative_times(spark, sf_dir):
 @query()
 def float_tail(spark, sf_dir):
     price = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
-    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.short_number_udf(price.cast("string")).alias("shown"))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.shortened(price.cast("string")).alias("shown"))
 
 
 @query("SELECT p_partkey, CAST((p_partkey * 7919) % 16384 AS INT) AS idx FROM part")

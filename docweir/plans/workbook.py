@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweir.functions.numbers import NUMERIC, column_index, iso_date, serial_to_date
+from docweir.functions.numbers import NUMERIC, column_index, iso_date, serial_to_date, shortened
 from docweir.functions.tables import gfm_table
 
 
@@ -13,7 +13,8 @@ def resolved_cells(parts: DataFrame, max_sheets: int = 5) -> DataFrame:
     """(doc_id, sheet_pos, sheet, row_idx, col_idx, value) from the rows of `workbook_parts`.
 
     Sheets find their parts by relation; cells find shared strings and styles by number, and a number that is not there gives an empty
-    text. A cell without a place stands after the one before it; of cells at one place the last counts.
+    text. Dates count from 1904 where the workbook says so, and numbers of more than 15 digits are cut as they are shown. A cell without a place stands after the
+    one before it; of cells at one place the last counts.
     """
     of = lambda kind: parts.where(F.col("what") == kind)
     sheets = of("sheet").where(F.col("num") < max_sheets).select("doc_id", F.col("num").alias("sheet_pos"), "key", F.col("text").alias("sheet"))
@@ -23,13 +24,14 @@ def resolved_cells(parts: DataFrame, max_sheets: int = 5) -> DataFrame:
     styles = of("style").select("doc_id", F.col("num").alias("num"), F.col("flag").alias("is_date"))
     cells = of("cell").select("doc_id", "part", "row_idx", "cell_pos", "key", "kind", "num", "text")
     cells = cells.withColumn("idx", F.when(F.col("kind") == "s", F.col("text").try_cast("int")))
-    wide = cells.join(placed, ["doc_id", "part"]).join(strings, ["doc_id", "idx"], "left").join(styles, ["doc_id", "num"], "left")
+    late = of("book").select("doc_id", F.col("flag").alias("late"))
+    wide = cells.join(placed, ["doc_id", "part"]).join(strings, ["doc_id", "idx"], "left").join(styles, ["doc_id", "num"], "left").join(late, "doc_id", "left")
     number = F.col("text").rlike(NUMERIC)
     value = (
         F.when(F.col("kind") == "s", F.coalesce("string", F.lit(""))).when(F.col("kind").isin("inlineStr", "str"), F.col("text"))
-        .when(F.col("kind") == "b", F.when(F.col("text") == "1", "true").when(F.col("text") == "0", "false").otherwise(F.col("text")))
-        .when(F.col("kind") == "d", iso_date(F.col("text"))).when(number & F.coalesce("is_date", F.lit(False)), serial_to_date(F.col("text").try_cast("double")))
-        .otherwise(F.col("text"))
+        .when(F.col("kind") == "b", F.when(F.trim("text") == "1", "true").when(F.trim("text") == "0", "false").otherwise(F.col("text")))
+        .when(F.col("kind") == "d", iso_date(F.col("text"))).when(number & F.coalesce("is_date", F.lit(False)), serial_to_date(F.col("text").try_cast("double"), F.coalesce("late", F.lit(False))))
+        .when(number, shortened(F.col("text"))).otherwise(F.col("text"))
     )
     from pyspark.sql import Window
 

@@ -9,8 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rows may be whole files: small batches keep a worker's memory bounded.
+    # Rows may be whole files: batches of few rows and of bounded bytes keep a worker's memory bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
 }
 
 
@@ -22,6 +23,6 @@ def session(master: str | None = None, name: str = "docweir", **settings: str) -
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than there are cores, dealt to all of them before costly work; any other as it is, without a shuffle."""
+    """A table that is read in fewer splits than there are cores, dealt to all of them before costly work; any other as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -12,7 +12,8 @@ from typing import NamedTuple
 
 END, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x01\x02", b"PK\x03\x04"
 END_WITHIN = 65_557
-CHUNK = 64 * 1024
+#: Bytes of a member worked on at a time; bytes that a member may unpack to where it is read as a whole.
+CHUNK, MEMBER = 64 * 1024, 256 * 1024 * 1024
 
 
 class Member(NamedTuple):
@@ -76,13 +77,21 @@ class Archive:
             self.unpacked += len(got)
             yield got
 
-    def read(self, name: str) -> bytes | None:
-        """A whole member, or None if it is not there or damaged."""
+    def read(self, name: str, most: int = MEMBER) -> bytes | None:
+        """A whole member, or None if it is not there or damaged; one that unpacks to more than `most` bytes is refused."""
         found = self.chunks(name)
+        if found is None:
+            return None
+        out, size = [], 0
         try:
-            return None if found is None else b"".join(found)
+            for part in found:
+                size += len(part)
+                if size > most:
+                    raise ValueError("MEMBER_TOO_LARGE")
+                out.append(part)
         except zlib.error:
             return None
+        return b"".join(out)
 
     def text(self, name: str) -> str | None:
         got = self.read(name)

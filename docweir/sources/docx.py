@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from dataclasses import dataclass
 from html import escape
 
@@ -19,9 +20,9 @@ M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 PIC = "{http://schemas.openxmlformats.org/drawingml/2006/picture}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-# Raised and lowered characters, and what they are raised from.
-_RAISED = dict(zip("⁰¹²³⁴⁵⁶⁷⁸⁹ⁿᵃᵇᶜᵈᵉ", "0123456789nabcde", strict=True))
-_LOWERED = dict(zip("₀₁₂₃₄₅₆₇₈₉ₐₑₕᵢⱼₖ", "0123456789aehijk", strict=True))
+# Raised and lowered characters, and what they are raised and lowered from.
+_RAISED = dict(zip("⁰¹²³⁴⁵⁶⁷⁸⁹ⁿᵃᵇᶜᵈᵉᶠᵍʰⁱʲᵏˡᵐᵒᵖʳˢᵗᵘᵛʷˣʸᶻ", "0123456789nabcdefghijklmoprstuvwxyz", strict=True))
+_LOWERED = dict(zip("₀₁₂₃₄₅₆₇₈₉ₐₑₕᵢⱼₖₗₘₙₒₚᵣₛₜᵤᵥₓ", "0123456789aehijklmnoprstuvx", strict=True))
 _TEX = str.maketrans({k: f"^{v}" for k, v in _RAISED.items()} | {k: f"_{v}" for k, v in _LOWERED.items()})
 _OPEN, _CLOSE = "\ue000", "\ue001"  # around the number of a formula while the text is laid out
 _OFF = ("false", "0", "off")
@@ -49,6 +50,16 @@ def _texts(e: ET.Element) -> str:
     return "".join(t.text or "" for t in e.iter(M + "t"))
 
 
+def _direct(e: ET.Element, *names: str) -> Iterator[ET.Element]:
+    """Children of the given names, also within content controls and marked changes, but not within other elements."""
+    for c in e:
+        match c.tag.rpartition("}")[2]:
+            case name if name in names:
+                yield c
+            case "sdt" | "sdtContent" | "ins" | "smartTag" | "customXml":
+                yield from _direct(c, *names)
+
+
 class Formula:
     """LaTeX of an oMath element; what it has no form for stays as plain text, and is noted."""
 
@@ -202,17 +213,20 @@ class Document:
 
     def _table(self, e: ET.Element) -> Element:
         table = Element("table")
-        for tr in e.iter(W + "tr"):
+        for tr in _direct(e, "tr"):
             row = Element("tr")
-            for tc in tr.findall(W + "tc"):
+            for tc in _direct(tr, "tc"):
                 span, merge = tc.find(f"{W}tcPr/{W}gridSpan"), tc.find(f"{W}tcPr/{W}vMerge")
                 cell = Element("td", {"colspan": span.get(W + "val") or "1"} if span is not None else {})
                 if merge is not None:
                     cell.attrs["rowspan"] = "2"
-                for p in tc.findall(W + "p"):
+                for part in _direct(tc, "p", "tbl"):
                     if cell.children:
                         cell.append(" ")
-                    self._inlines(p, cell)
+                    if part.tag == W + "tbl":  # the writer takes its text
+                        cell.append(self._table(part))
+                    else:
+                        self._inlines(part, cell)
                 row.append(cell)
             table.append(row)
         return table
@@ -270,7 +284,7 @@ class Document:
         for blip in e.iter(A + "blip"):
             pic = next((p for p in e.iter(PIC + "cNvPr")), None)
             clean = lambda k: trim(fold(pic.get(k) or "")) if pic is not None else ""
-            alt = clean("descr") or re.sub(r"\.[A-Za-z0-9]{1,8}$", "", clean("name"))
+            alt = re.sub(r"\.[A-Za-z0-9]{1,8}$", "", clean("descr") or clean("name"))
             part = self.rels.get(blip.get(R + "embed") or "", "")
             data = self.zip.read(part.lstrip("/") if part.startswith("/") else f"word/{part}") if part else None
             if not data:

@@ -200,8 +200,12 @@ def sheet_targets(book: Archive) -> tuple[list[tuple[str, str]], bool]:
         out.append((entities(name), part_name(parts[rid])))
     if not out:
         raise Unreadable("no sheets")
-    flag = re.search(r"""date1904\s*=\s*["'](1|true)["']""", xml)
-    return out, bool(flag)
+    return out, starts_1904(xml)
+
+
+def starts_1904(xml: str) -> bool:
+    """Whether a workbook counts days from 1904."""
+    return re.search(r"""date1904\s*=\s*["'](1|true)["']""", xml) is not None
 
 
 def part_name(target: str) -> str:

@@ -35,31 +35,35 @@ def latest_by_seq(events: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 
 def history_sink(spark: SparkSession, directory: str, limit: int = LIMIT, keep: Callable[[], bool] = lambda: True) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the newest records. Each batch writes a new version of the table and only then a mark that
-    names it, so a failed batch leaves the version before it in place; a batch that has already been written changes nothing."""
-    jvm = spark._jvm.org.apache.hadoop.fs
-
-    def versions() -> list[int]:
-        top = jvm.Path(directory)
-        store = top.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = [s.getPath().getName() for s in store.listStatus(top)] if store.exists(top) else []
-        return sorted(int(n[2:]) for n in found if n.startswith("v=") and store.exists(jvm.Path(f"{directory}/{n}/_SUCCESS")))
+    """A foreachBatch function that keeps the newest records. Each batch writes a new version of the table, whole or not at all, so a failed batch leaves the
+    version before it in place; older ones than that go. A batch that the same query (the same checkpoint) has already written changes nothing; the first batches of a
+    query with a new checkpoint go on from what is there."""
 
     def write(batch: DataFrame, number: int) -> None:
-        done = versions()
-        if number in done or not keep():
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        done = _versions(spark, directory)
+        if not keep() or any(name.endswith(f"-{query}-{number}") for _, name in done):
             return
-        new = batch.withColumn("ins_seq", F.lit(number).cast("bigint") * (1 << 32) + F.monotonically_increasing_id() % (1 << 32))
-        before = spark.read.parquet(f"{directory}/v={done[-1]}") if done else new.limit(0)
-        append(before, new, True, limit).coalesce(1).write.mode("overwrite").parquet(f"{directory}/v={number}")
+        new = batch.withColumn("ins_seq", F.lit((done[-1][0] if done else 0) + 1).cast("bigint") * (1 << 32) + F.monotonically_increasing_id() % (1 << 32))
+        before = spark.read.parquet(f"{directory}/{done[-1][1]}") if done else new.limit(0)
+        name = f"v={done[-1][0] + 1 if done else 1}-{query}-{number}"
+        append(before, new, True, limit).coalesce(1).write.mode("overwrite").parquet(f"{directory}/{name}")
+        top = spark._jvm.org.apache.hadoop.fs.Path(directory)
+        for _, old in done[:-1]:
+            top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{old}"), True)
 
     return write
 
 
+def _versions(spark: SparkSession, directory: str) -> list[tuple[int, str]]:
+    """Numbers and names of the whole versions, in order."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    top = jvm.Path(directory)
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(top)] if store.exists(top) else []
+    return sorted((int(n[2:].split("-")[0]), n) for n in names if n.startswith("v=") and store.exists(jvm.Path(f"{directory}/{n}/_SUCCESS")))
+
+
 def read_history(spark: SparkSession, directory: str) -> DataFrame:
     """The newest whole version."""
-    top = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted((s.getPath().getName() for s in store.listStatus(top)), key=lambda n: int(n[2:]) if n.startswith("v=") else -1)
-    whole = [n for n in names if n.startswith("v=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{directory}/{whole[-1]}")
+    return spark.read.parquet(f"{directory}/{_versions(spark, directory)[-1][1]}")

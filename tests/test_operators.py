@@ -233,8 +233,87 @@ def test_packaging(spark, tmp_path):
 
     assert Archive(data).read("assets/a.png") == b"1" and failed == ["no"]
     files = spark.createDataFrame([("a.md", bytearray(b"x")), ("b/../../c", bytearray(b"y")), ("none/x", bytearray(b"z"))], "name string, content binary")
-    got = {r.name: r.error for r in export.save_files(files.where("name <> 'b/../../c'"), f"file://{tmp_path}/saved").collect()}
-    assert got["a.md"] is None and got["none/x"] == "FileNotFoundError" and (tmp_path / "saved/a.md").read_bytes() == b"x"
+    got = {r.name: r.error for r in export.save_files(files, f"file://{tmp_path}/saved").collect()}
+    assert got == {"a.md": None, "none/x": "BAD_NAME", "b/../../c": "BAD_NAME"} and (tmp_path / "saved/a.md").read_bytes() == b"x"
+
+
+def test_no_file_is_lost(spark, tmp_path):
+    """Files of one name, in any case, each get a name of their own that no other has."""
+    files = [("a.md", b"1"), ("a.md", b"22"), ("A.md", b"333"), ("a (1).md", b"4444"), ("b", b"5"), ("b", b"66"), (".x", b"7"), (".x", b"88"), ("none.md", None), ("..", b"9"), (None, b"0")]
+    df = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in files], "name string, content binary").repartition(3)
+    got = export.save_files(df, f"file://{tmp_path}/saved").collect()
+    saved = {r.saved_as for r in got if r.error is None}
+    assert len(got) == len(files) and len(saved) == 8 and len({x.lower() for x in saved}) == 8
+    assert {"a (1).md", "b", "b (1)"} <= saved and sorted(p.name for p in (tmp_path / "saved").iterdir()) == sorted(saved)
+    assert sorted(p.read_bytes() for p in (tmp_path / "saved").iterdir()) == sorted(c for n, c in files if c and n not in ("..", None))
+    assert {(r.name, r.error) for r in got if r.error} == {("none.md", "NO_CONTENT"), ("..", "BAD_NAME"), (None, "BAD_NAME")}
+
+
+def test_damaged_documents_give_no_rows(spark):
+    """What a document yields before it turns out to be damaged does not stay."""
+    from docweir.sources.tables import explode_documents, workbook_cells
+
+    def some(value):
+        yield 1, "a"
+        if value == "bad":
+            raise ValueError("broken")
+        yield 2, "b"
+
+    docs = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "doc_id int, v string")
+    assert sorted(map(tuple, explode_documents(docs, "v", some, "n int, s string").collect())) == [(1, 1, "a"), (1, 2, "b")]
+    got = sorted(map(tuple, explode_documents(docs, "v", some, "n int, s string", errors=True).collect()), key=repr)
+    assert got == [(1, 1, "a", None), (1, 2, "b", None), (2, None, None, "ValueError: broken")]
+    book = write_workbook([("s", [["x"] * 50] * 400)])
+    cut = spark.createDataFrame([(1, bytearray(book[:100]))], "doc_id int, content binary")
+    assert [(r.value, r.error is None) for r in workbook_cells(cut, errors=True).collect()] == [(None, False)] and workbook_cells(cut).count() == 0
+
+
+def test_large_members_are_refused():
+    from docweir.sources.archive import Archive, pack_files
+
+    a = Archive(pack_files([("zeros", bytes(300_000)), ("x", b"1")]))
+    assert a.read("zeros", 300_000) == bytes(300_000) and a.read("x") == b"1"
+    with pytest.raises(ValueError, match="MEMBER_TOO_LARGE"):
+        a.read("zeros", 299_999)
+
+
+def test_history_changes(spark):
+    states = history.parse_state(spark.createDataFrame([('{"schemaVersion":1,"keepHistory":true,"records":[{"id":"a","name":"n","uri":"u","bytes":3,"mime":"m","kind":"md","createdAt":1}]}',), ("no",)], "state string"))
+    assert [(r.keep_history, len(r.records), r.error) for r in history.clear(states).collect()] == [(True, 0, None), (True, 0, None)]
+    off = history.set_keep(states, F.lit(False)).where("error is null")
+    again = history.parse_state(off.select(history.state_text(off).alias("state"))).first()
+    assert again.error is None and again.keep_history is False and again.records[0].id == "a"
+    records = spark.createDataFrame([("a",), ("b",)], "id string")
+    ids = spark.createDataFrame([("b",), ("c",), ("c",)], "id string")
+    assert sorted((r.id, r.error) for r in history.removals(records, ids).collect()) == [("b", None), ("c", "not-found")]
+    assert [r.id for r in history.remove(records, ids).collect()] == ["a"]
+
+
+def test_history_sink_goes_on_after_a_new_checkpoint(spark, tmp_path):
+    sc, top = spark.sparkContext, tmp_path / "h"
+    write = history_sink(spark, str(top))
+    batch = lambda i: spark.createDataFrame([(i, "n", "u", 1.0, "", "md", int(i))], "id string, name string, uri string, bytes double, mime string, kind string, created_at bigint")
+    try:
+        for query, number, i in (("q1", 0, "1"), ("q1", 1, "2"), ("q1", 1, "9"), ("q2", 0, "3"), ("q2", 1, "4")):
+            sc.setLocalProperty("sql.streaming.queryId", query)
+            write(batch(i), number)
+    finally:
+        sc.setLocalProperty("sql.streaming.queryId", None)
+    assert sorted(r.id for r in read_history(spark, str(top)).collect()) == ["1", "2", "3", "4"]
+    assert len(list(top.glob("v=*"))) == 2
+
+
+def test_places_without_keys(spark):
+    r = random.Random(1)
+    records = spark.createDataFrame([(i, r.randrange(50), i) for i in range(500)], "id int, created_at int, ins_seq int").repartition(5)
+    got = {x.id: x.place for x in history.listing(records).collect()}
+    want = sorted(records.collect(), key=lambda x: (-x.created_at, -x.ins_seq))
+    assert [got[x.id] for x in want] == list(range(1, 501))
+
+
+def test_chosen(spark):
+    docs = spark.createDataFrame([(1, None, True), (2, "E", True), (3, None, False), (4, None, None)], "doc_id int, error string, sel boolean")
+    assert [r.doc_id for r in export.chosen(docs, F.col("sel")).collect()] == [1] and export.chosen(docs).count() == 3
 
 
 def test_layout_rules(spark):

@@ -232,3 +232,59 @@ def test_best_attempt():
 
 def test_no_needless_backtracking():
     assert re.sub("x", "", read_workbook(write_workbook([("s", [["<" * 50_000]])])).sheets[0].rows[0][0]) == "<" * 50_000
+
+
+def test_raised_and_lowered_characters():
+    """Every character that Unicode names as a raised or lowered letter or digit and that a formula may hold."""
+    import unicodedata
+
+    from docweir.sources.docx import _LOWERED, _RAISED, _TEX
+
+    assert len(_RAISED) + len(_LOWERED) == 62
+    for table, mark in ((_RAISED, "^"), (_LOWERED, "_")):
+        for c, plain in table.items():
+            assert unicodedata.normalize("NFKC", c) == plain and c.translate(_TEX) == mark + plain
+
+
+def test_docx_tables_in_cells_and_names_of_images():
+    from docweir.functions.text import alt_text  # noqa: F401
+    from docweir.sources.archive import pack_files
+    from docweir.sources.docx import A, PIC, R, W, convert_docx
+
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    inner = f"<w:tbl><w:tr><w:tc>{p('in')}</w:tc><w:tc>{p('ner')}</w:tc></w:tr></w:tbl>"
+    control = f"<w:sdt><w:sdtContent><w:tr><w:tc>{p('c')}</w:tc><w:tc>{p('d')}</w:tc></w:tr></w:sdtContent></w:sdt>"
+    table = f"<w:tbl><w:tr><w:tc>{p('a')}{inner}{p('z')}</w:tc><w:tc>{p('b')}</w:tc></w:tr>{control}</w:tbl>"
+    image = lambda k: f'<w:p><w:r><w:drawing><pic:cNvPr {k}/><a:blip r:embed="i"/></w:drawing></w:r></w:p>'
+    body = table + image('name="n.png" descr="photo.png"') + image('name="pic.jpeg" descr=" "')
+    xml = f'<w:document xmlns:w="{W[1:-1]}" xmlns:a="{A[1:-1]}" xmlns:pic="{PIC[1:-1]}" xmlns:r="{R[1:-1]}"><w:body>{body}</w:body></w:document>'
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="i" Target="media/x.png"/></Relationships>'
+    got = convert_docx(pack_files([("word/document.xml", xml.encode()), ("word/_rels/document.xml.rels", rels.encode()), ("word/media/x.png", b"x")]), "d.docx")
+    assert got.markdown.startswith("| a inner z | b |\n| --- | --- |\n| c | d |")
+    assert "![photo](assets/d-1.png)" in got.markdown and "![pic](assets/d-2.png)" in got.markdown
+
+
+def test_joined_workbook_shows_what_the_reader_shows(spark):
+    """Dates of both systems, long numbers, entities, booleans and strings, by the reader and by the joins."""
+    from docweir.plans.workbook import resolved_cells
+    from docweir.sources.archive import pack_files
+    from docweir.sources.tables import workbook_cells, workbook_parts
+
+    def book(late):
+        cells = ['<c r="A1" s="1"><v>45123.7</v></c>', '<c r="B1"><v>34.200000000000003</v></c>', '<c r="C1" t="str"><v>a&amp;b</v></c>', '<c r="D1" t="b"><v> 1 </v></c>', '<c r="E1" t="s"><v>1</v></c>',
+                 '<c r="F1"><v>1e5</v></c>', '<c r="G1"><v>12345678901234567890</v></c>', '<c t="inlineStr"><is><t>x &lt; y</t></is></c>', '<c r="J1" s="1"><v>59</v></c>', '<c r="K1" t="e"><v>#N/A</v></c>']
+        return pack_files([
+            ("xl/workbook.xml", f'<workbook><workbookPr{" date1904=" + chr(34) + "1" + chr(34) if late else ""}/><sheets><sheet name="a &amp; b" r:id="r1"/></sheets></workbook>'.encode()),
+            ("xl/_rels/workbook.xml.rels", b'<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/><Relationship Id="r2" Target="worksheets/unused.xml"/></Relationships>'),
+            ("xl/styles.xml", b'<styleSheet><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>'),
+            ("xl/sharedStrings.xml", b"<sst><si><t>zero</t></si><si><t>one</t></si><si><t>two</t></si></sst>"),
+            ("xl/worksheets/s.xml", f'<worksheet><sheetData><row>{"".join(cells)}</row></sheetData></worksheet>'.encode()),
+            ("xl/worksheets/unused.xml", b'<worksheet><sheetData><row><c r="A1"><v>7</v></c></row></sheetData></worksheet>')])
+
+    docs = spark.createDataFrame([(1, bytearray(book(False))), (2, bytearray(book(True)))], "doc_id int, content binary")
+    read = {(r.doc_id, r.col_idx): r.value for r in workbook_cells(docs).collect() if r.value}
+    parts = workbook_parts(docs)
+    joined = {(r.doc_id, r.col_idx): r.value for r in resolved_cells(parts).collect()}
+    assert joined == read and read[1, 0] == "2023-07-16" and read[2, 0] == "2027-07-17" and read[1, 1] == "34.2" and read[1, 2] == "a&b"
+    assert [r.text for r in parts.where("doc_id = 1 and what = 'string'").orderBy("num").collect()] == ["zero", "one"]  # none after the last one named
+    assert parts.where("what = 'cell' and part like '%unused%'").count() == 0
