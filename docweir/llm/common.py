@@ -172,3 +172,15 @@ def text_slices(batches: Iterator, text: int = 1, most: int = SLICE, each: int =
         sizes = [n + each for n in pc.fill_null(pc.binary_length(b.column(text)), 0).to_pylist()]
         for lo, hi in slices(sizes, most):
             yield [c.slice(lo, hi - lo).to_pylist() for c in b.columns]
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives back to the system what a Python worker, which goes on to other tasks, has freed."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -17,6 +17,8 @@ from .common import pick, remainder, stored, text_slices
 
 #: Buckets of hashed byte trigrams; words a worker remembers; languages a model may have (256 KB each), beyond which learning is refused.
 BUCKETS, REMEMBERED, LANGUAGES = 1 << 16, 300_000, 256
+#: Bytes of text worked on at a time.
+SLICE = 1 << 20
 #: EM steps for a set of languages; share at which a language enters it.
 STEPS, ENTRY = 8, 0.1
 #: The logarithm of a trigram's likelihood in letters at random, each bucket as likely as any other.
@@ -41,7 +43,7 @@ def count_trigrams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for langs, texts in text_slices(batches):
+        for langs, texts in text_slices(batches, 1, SLICE):
             words: dict[str, Counter] = {}
             for lang, text in zip(langs, texts, strict=True):
                 if text:
@@ -197,7 +199,7 @@ def mixture_language(docs: DataFrame, train: Column | None = None, id_col: str =
         mixture = Mixture(*model.value)
         for b in batches:
             done = 0
-            for (texts,) in text_slices(iter([b.select([at])]), 0):
+            for (texts,) in text_slices(iter([b.select([at])]), 0, SLICE):
                 lang, score, mix, sense = mixture.predict(texts)
                 part = b.slice(done, len(texts))
                 done += len(texts)

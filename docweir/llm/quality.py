@@ -23,7 +23,7 @@ PLANES, UNIT = 4, 1 << 20
 
 
 #: Bytes of text worked on at a time.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def _counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
