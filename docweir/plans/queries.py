@@ -12,34 +12,12 @@ from docweir.functions import numbers, sniffing, text
 from docweir.functions.chars import folded
 from docweir.functions.tables import gfm_table
 from docweir.operators import export, history, layout
+from docweir.plans import rule_queries  # noqa: F401  registers its queries
+from docweir.plans.catalog import ORACLES, QUERIES, dealt as _dealt, query, read as _read  # noqa: F401
 from docweir.plans.convert import convert, preflight, typed
 from docweir.plans.workbook import resolved_cells
-from docweir.session import spread
 from docweir.sources import tables as exploded
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(_read(spark, sf_dir, name))
-
-
 def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as files: (doc_id, name, content)."""
     docs = _dealt(spark, sf_dir, "documents").select(
@@ -242,7 +220,8 @@ def relative_times(spark, sf_dir):
     return e.select("event_id", numbers.relative_time(F.col("t"), F.lit(now)).alias("said"))
 
 
-@query()
+@query(r"""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * (1 + l_tax) AS price FROM lineitem), t AS (SELECT *, CAST(price AS VARCHAR) AS s FROM x)
+SELECT l_orderkey, l_linenumber, CASE WHEN length(regexp_replace(replace(s, '.', ''), '^0+|0+$', '', 'g')) > 15 THEN regexp_replace(regexp_replace(printf('%.15g', price), '(\.[0-9]*[1-9])0+$', '\1'), '\.0*$', '') ELSE s END AS shown FROM t""")
 def float_tail(spark, sf_dir):
     price = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.shortened(price.cast("string")).alias("shown"))
