@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docweir.session import spread
 
-from .common import pick, remainder, slices, stored, text_slices
+from .common import partitions, pick, remainder, slices, stored, text_slices
 
 #: Hidden states; words with an emission of their own; classes of all other words, by their ending; words whose counts every worker has.
 STATES, SYMBOLS, CLASSES, COUNTED = 8, 20_000, 512, 150_000
@@ -25,6 +25,8 @@ PASSES, GAIN = 8, 0.005
 WORD_BYTES = 64
 #: Symbols of a window, and of what is worked on at a time; axes on which documents are placed for the start of training.
 WINDOW, BATCH, AXES = 1024, 600_000, 16
+#: Numbers in a piece of a sum.
+PIECE = 4096
 _FLUSH = 400_000
 
 
@@ -154,37 +156,43 @@ class Hmm:
         before = leave[order - 1].astype(np.float32)  # of the window before, in inner ones
         at, length, place, enter, back = at[order], length[order], place[order], enter[order].astype(np.float32), back[order].astype(np.float32)
         active = np.searchsorted(-length, -np.arange(length[0]), side="left")
-        alphas, symbols, emitted, scales = [], [], [], []
-        ones = np.ones((k, 1), np.float32)
+        # All steps on end: step t holds the t-th symbols of the windows that are so long, the longest first.
+        ends = np.cumsum(active)
+        symbols = flat[at[np.arange(ends[-1]) - np.repeat(ends - active, active)] + np.repeat(np.arange(len(active)), active)]
+        emitted = self.emit[symbols]
+        alpha, scale, ones = np.empty_like(emitted), np.empty((len(emitted), 1), np.float32), np.ones((k, 1), np.float32)
         for t, m in enumerate(active):
-            symbols.append(flat[at[:m] + t])
-            emitted.append(self.emit[symbols[t]])
-            a = (enter if t == 0 else alphas[-1][:m] @ self.move) * emitted[t]
-            scales.append(np.maximum(a @ ones, 1e-30))
-            a /= scales[t]
-            alphas.append(a)
-        likelihood = np.log(np.concatenate(scales), dtype=np.float64).sum()
+            now = slice(ends[t] - m, ends[t])
+            a = alpha[now]
+            if t:
+                np.matmul(alpha[ends[t - 1] - active[t - 1] :][:m], self.move, out=a)
+                a *= emitted[now]
+            else:
+                np.multiply(enter, emitted[now], out=a)
+            np.maximum(a @ ones, 1e-30, out=scale[now])
+            a /= scale[now]
+        likelihood = np.log(scale, dtype=np.float64).sum()
         moves = np.zeros((k, k))
-        gammas = [np.empty(0)] * len(active)
+        emitted /= scale
         beta = np.zeros((0, k), np.float32)
         for t in range(len(active) - 1, -1, -1):
             m, done = active[t], len(beta)
+            now = slice(ends[t] - m, ends[t])
             if m > done:  # windows that end here
-                ends = back[done:m]
-                beta = np.concatenate([beta, ends / np.maximum((alphas[t][done:m] * ends).sum(1, keepdims=True), 1e-30)])
-            gammas[t] = alphas[t] * beta
-            step = emitted[t]
+                tail = back[done:m]
+                beta = np.concatenate([beta, tail / np.maximum((alpha[now][done:] * tail).sum(1, keepdims=True), 1e-30)])
+            step = emitted[now]
             step *= beta
-            step /= scales[t]
             if t:
-                moves += self.move * (alphas[t - 1][:m].T @ step)
-                beta = step @ self.move.T
+                moves += self.move * (alpha[ends[t - 1] - active[t - 1] :][:m].T @ step)
+                beta, seen = step @ self.move.T, beta
             else:
                 inner = place > 0
                 moves += self.move * (before[inner].T @ step[inner])
-        every, weight = np.concatenate(symbols), np.concatenate(gammas)
-        emits = np.stack([np.bincount(every, w, len(self.emit)) for w in np.ascontiguousarray(weight.T)], 1)
-        return np.concatenate([gammas[0][place == 0].sum(0), moves.ravel(), emits.ravel(), [likelihood]])
+                seen = beta
+            alpha[now] *= seen  # what a step adds to the counts
+        emits = np.stack([np.bincount(symbols, w, len(self.emit)) for w in np.ascontiguousarray(alpha.T)], 1)
+        return np.concatenate([alpha[: active[0]][place == 0].sum(0), moves.ravel(), emits.ravel(), [likelihood]])
 
 
 def _windows(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,9 +210,14 @@ def word_directions(size: int) -> np.ndarray:
 def places(flat: np.ndarray, sizes: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """For each symbol, the sum over its occurrences of the places of their documents, and their number."""
     ends = np.cumsum(sizes)
-    mean = np.add.reduceat(directions[flat], ends - sizes, axis=0) / sizes[:, None]
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    return np.stack([np.bincount(flat, w, len(directions)) for w in (*mean[doc].T, np.ones(len(flat)))], 1)
+    mean = (np.add.reduceat(directions[flat], ends - sizes, axis=0) / sizes[:, None]).astype(np.float32)
+    order = np.argsort(flat.astype(np.uint16), kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    doc = np.repeat(np.arange(len(sizes)), sizes)[order]
+    out = np.zeros((len(directions), AXES + 1))
+    out[flat[order[first]], :AXES] = np.add.reduceat(mean[doc], first, axis=0)
+    out[:, AXES] = np.bincount(flat, minlength=len(directions))
+    return out
 
 
 def first_model(sums: np.ndarray, k: int, steps: int = 50) -> Hmm:
@@ -250,18 +263,37 @@ def _token_batches(column: Iterator[pa.Array]) -> Iterator[tuple[np.ndarray, np.
 
 
 def _sum_of(sequences: DataFrame, work, size: int) -> np.ndarray:
-    """The sum over all sequences (column symbols) of the vectors that `work` makes of batches of them; added up in the workers and then by Spark."""
+    """The sum over all sequences (column symbols) of the vectors that `work` makes of batches of them: each task sends its own in pieces, which are added up in
+    many tasks first and then piece by piece."""
+    spark, schema = sequences.sparkSession, "task int, piece int, sums binary"
+
+    def rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        from pyspark import TaskContext
+
+        task = np.full(len(sums), TaskContext.get().partitionId(), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(task), pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["task", "piece", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for flat, sizes in _token_batches(b.column(0) for b in batches):
             total += work(flat, sizes)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+        yield rows({i: x for i, x in enumerate(np.split(total, range(PIECE, size, PIECE))) if x.any()})
 
-    found = sequences.select("symbols").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, raw in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(raw)
+                sums[piece] = sums[piece] + x if piece in sums else x
+        yield rows(sums)
+
+    found = sequences.select("symbols").mapInArrow(run, schema)
+    for by in ("task", "piece"):
+        found = found.repartition(partitions(spark), by).mapInArrow(add, schema)
     out = np.zeros(size)
-    out[found["at"].to_numpy(int)] = found["n"].to_numpy(float)
+    for r in found.collect():  # as many as the vector has pieces
+        x = np.frombuffer(r.sums)
+        out[r.piece * PIECE : r.piece * PIECE + len(x)] = x
     return out
 
 
@@ -406,7 +438,7 @@ def hmm_scores(docs: DataFrame, train: Column | None = None, id_col: str = "doc_
     c = F.coalesce(F.col("c"), F.lit(0))
     each = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("tf"))
     in_class = F.element_at(F.lit(room.tolist()), (F.crc32(ending) % CLASSES + 1).cast("int"))
-    tail = each.join(known, "word", "left").groupBy("row").agg(
+    tail = each.join(known.hint("shuffle_hash"), "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("tail_known"), F.sum(F.col("tf") * F.log10((c + 0.1) / below)).alias("tail_base"),
         F.sum(F.col("tf") * F.log10((c + 0.1) / in_class)).alias("tail_score"))
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
