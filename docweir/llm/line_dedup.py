@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 
 from docweir.session import spread
 
-from .common import pick, stored, text_slices
+from .common import partitions, pick, stored, text_slices
 
-#: Bits of each of the two filters and of the blocks it is cut into; bits set per hash.
-FILTER_BITS, BLOCK_BITS, SET = 1 << 27, 1 << 16, 2
+#: Bits of each of the two filters: so many for each line, between these bounds; blocks that they are cut into; bits set per hash.
+LINE_BITS, LEAST_BITS, MOST_BITS, BLOCKS, SET = 8, 1 << 20, 1 << 30, 256, 2
+#: Hashes that a task gathers before it sends them to their blocks.
+GATHERED = 1 << 20
 #: Keys to drop that every worker may get, as 16-byte digests; more are joined by a shuffle.
 SENT = 200_000
+#: Tasks that a common line is dealt to where lines are joined.
+SALTS = 16
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -37,93 +41,96 @@ def _digest(key: str) -> bytes:
     return hashlib.blake2b(key.encode(), digest_size=16).digest()
 
 
-def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block of each hash and its SET places there."""
-    block = (hashes >> np.uint64(40)) % np.uint64(bits // BLOCK_BITS)
-    places = np.stack([(hashes >> np.uint64(16 * i)) % np.uint64(BLOCK_BITS) for i in range(SET)], 1)
-    return block.astype(np.int64), places.astype(np.int64)
+def places_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The byte and the mask of each of the SET bits of each hash in a filter."""
+    bit = np.stack([(hashes >> np.uint64(24 * i)) & np.uint64(bits - 1) for i in range(SET)], 1)
+    return (bit >> np.uint64(3)).astype(np.int64), (1 << (bit & np.uint64(7))).astype(np.uint8)
 
 
 class TwoFilters:
-    """Hashes seen once, and hashes seen (perhaps) twice."""
+    """Hashes seen once, and hashes seen (perhaps) twice: Bloom filters of `bits` bits, a power of two."""
 
-    def __init__(self, bits: int, twice: np.ndarray | None = None) -> None:
+    def __init__(self, bits: int) -> None:
         self.bits = bits
-        self.once = np.zeros(bits // 8, np.uint8) if twice is None else twice
-        self.twice = np.zeros(bits // 8, np.uint8) if twice is None else twice
-
-    def _at(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        block, places = _bits(hashes, self.bits)
-        bit = block[:, None] * BLOCK_BITS + places
-        return bit >> 3, (1 << (bit & 7)).astype(np.uint8)
-
-    def has_twice(self, hashes: np.ndarray) -> np.ndarray:
-        byte, mask = self._at(hashes)
-        return ((self.twice[byte] & mask) != 0).all(1)
-
-    def add(self, hashes: np.ndarray) -> None:
-        hashes, n = np.unique(hashes, return_counts=True)
-        byte, mask = self._at(hashes)
-        again = ((self.once[byte] & mask) != 0).all(1) | (n > 1)
-        np.bitwise_or.at(self.twice, byte[again], mask[again])
+        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+
+    def add(self, hashes: np.ndarray, again: np.ndarray) -> None:
+        """Hashes that differ; `again` tells which have been seen more than once."""
+        byte, mask = places_of(hashes, self.bits)
+        seen = ((self.once[byte] & mask) != 0).all(1) | again
+        np.bitwise_or.at(self.twice, byte[seen], mask[seen])
         np.bitwise_or.at(self.once, byte, mask)
 
 
+def block_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(56)).astype(np.int64)
+
+
 def _keys_of(text: str | None, least: int) -> list[str]:
     """The different keys of a text that are long enough."""
     return [k for k in dict.fromkeys(map(line_key, (text or "").split("\n"))) if len(k) >= least]
 
 
+def filter_bits_for(rows: DataFrame) -> int:
+    """Bits of a filter over the lines of all rows (text)."""
+    lines = rows.agg(F.sum(F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))), F.lit(0)) + 1)).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (LINE_BITS * lines - 1).bit_length()))
+
+
 def suspected_repeats(rows: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The twice-seen filter over the keys of all rows (text), each counted once per row.
+    """The twice-seen filters of all blocks over the keys of all rows (text), each counted once per row.
 
-    Every task fills two filters and sends their blocks that hold anything; merging adds to `twice` what both sides have seen once,
-    so no repeat is missed. The filters are of a fixed size, 16 MB each: with more lines than bits more keys become suspects, which
-    costs shuffling, not exactness.
+    Tasks gather hashes, tell those met more than once, and send each with that mark to the task of its block, 8 bytes a hash; there it goes through that block's
+    two filters. No repeat is missed. With more lines than the filters are made for, more keys become suspects, which costs shuffling, not exactness.
     """
+    part = bits // BLOCKS
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            cuts = np.searchsorted(block_of(hashes), np.arange(BLOCKS + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([hashes[cuts[i] : cuts[i + 1]].tobytes() for i in full], pa.binary()),
+                                              pa.array([np.packbits(n[cuts[i] : cuts[i + 1]] > 1).tobytes() for i in full], pa.binary())], ["block", "hashes", "again"])
 
-        filters = TwoFilters(bits)
         for (texts,) in text_slices(batches, 0):
-            filters.add(_hashes([k for t in texts for k in _keys_of(t, least)]))
-        once, twice = (x.reshape(-1, BLOCK_BITS // 8) for x in (filters.once, filters.twice))
-        used = np.nonzero(once.any(1))[0]
-        for lo in range(0, len(used), 256):
-            at = used[lo : lo + 256]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([zlib.compress(once[i], 1) for i in at], pa.binary()),
-                                              pa.array([zlib.compress(twice[i], 1) for i in at], pa.binary())], ["block", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        now, once, twice = None, None, None
-        done: list[tuple[int, bytes]] = []
+            held.append(_hashes([k for t in texts for k in _keys_of(t, least)]))
+            if sum(map(len, held)) > GATHERED:
+                yield from flush()
+        yield from flush()
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, filters = None, None
         for b in batches:
-            for block, o, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
+            for block, hashes, again in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if block != now:
-                    if now is not None:
-                        done.append((now, twice.tobytes()))
-                    now, once, twice = block, o.copy(), t.copy()
-                else:
-                    twice |= t | (once & o)
-                    once |= o
-        if now is not None:
-            done.append((now, twice.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.int32()), pa.array([x for _, x in done], pa.binary())], ["block", "twice"])
-
-    parts = rows.select("text").mapInArrow(fill, "block int, once binary, twice binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, twice binary")
-    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for r in merged.toLocalIterator():
+                    if filters is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([filters.twice.tobytes()], pa.binary())], ["block", "twice"])
+                    now, filters = block, TwoFilters(part)
+                found = np.frombuffer(hashes, np.uint64)
+                filters.add(found, np.unpackbits(np.frombuffer(again, np.uint8), count=len(found)).astype(bool))
+        if filters is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([filters.twice.tobytes()], pa.binary())], ["block", "twice"])
+
+    sent = rows.select("text").mapInArrow(send, "block int, hashes binary, again binary")
+    filled = sent.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block").mapInArrow(fill, "block int, twice binary")
+    out = np.zeros((BLOCKS, part // 8), np.uint8)
+    for r in filled.toLocalIterator():
         out[r.block] = np.frombuffer(r.twice, np.uint8)
-    return out.ravel()
+    return out
+
+
+def suspicious(filters: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the filter of its block has met each hash twice."""
+    byte, mask = places_of(hashes, filters.shape[1] * 8)
+    return ((filters[block_of(hashes)[:, None], byte] & mask) != 0).all(1)
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, id_col: str = "doc_id",
-                   text_col: str = "text", keep: bool = False, sent: int = SENT, filter_bits: int = FILTER_BITS) -> DataFrame:
+                   text_col: str = "text", keep: bool = False, sent: int = SENT, filter_bits: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text (the lines that stay, joined by line feeds).
 
     A line's key is the line without white space at its ends and with A-Z lower-cased. A key of at least `min_chars` code points in
@@ -138,12 +145,12 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_
     """
     spark = docs.sparkSession
     rows = pick(docs, **{id_col: "bigint", text_col: "string"}).toDF("doc_id", "text")
-    filters = spark.sparkContext.broadcast(suspected_repeats(rows, min_chars, filter_bits))
+    # At most MOST_BITS / 8 bytes, 128 MB, whatever the input.
+    filters = spark.sparkContext.broadcast(suspected_repeats(rows, min_chars, filter_bits or filter_bits_for(rows)))
 
     def suspects(texts: list[str | None]) -> list[list[str]]:
         keys = [_keys_of(t, min_chars) for t in texts]
-        flags = TwoFilters(filter_bits, filters.value)
-        hit = flags.has_twice(_hashes([k for ks in keys for k in ks])).tolist() if any(keys) else []
+        hit = suspicious(filters.value, _hashes([k for ks in keys for k in ks])).tolist() if any(keys) else []
         out, at = [], 0
         for ks in keys:
             out.append([k for k, h in zip(ks, hit[at : at + len(ks)], strict=True) if h])
@@ -241,7 +248,10 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 1, keep_
             each = [(r, k) for r, keys in zip(of, suspects(texts), strict=True) for k in keys]
             yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in each], pa.int64()), pa.array([k for _, k in each], pa.string())], ["_row", "key"])
 
-    hits = keyed.select("_row", "_text").mapInArrow(pairs, "_row bigint, key string").join(repeats, "key").groupBy("_row").agg(
+    # A line that very many documents have meets its row in several tasks.
+    salted = repeats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = keyed.select("_row", "_text").mapInArrow(pairs, "_row bigint, key string").withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int"))
+    hits = met.join(salted, ["key", "_salt"]).groupBy("_row").agg(
         F.collect_list(F.struct("key", "first")).alias("_hits"))
     joined = keyed.join(hits, "_row", "left").select(*[f.name for f in given], "_id", "_text", "_hits")
 

@@ -694,7 +694,23 @@ def test_lines(docs, rows, none, clashing, least, first, sent):
 
 def test_full_filters_miss_nothing(docs, rows):
     """Filters far too small make more keys suspects; the result stays exact."""
-    assert ordered(line_dedup.repeated_lines(docs, 2, keep_first=False, filter_bits=1 << 16)) == plain_lines(rows, 2, False)
+    assert ordered(line_dedup.repeated_lines(docs, 2, keep_first=False, filter_bits=1 << 12)) == plain_lines(rows, 2, False)
+
+
+def test_filters_grow_with_the_lines(spark):
+    few = spark.createDataFrame([("a\nb",), (None,), ("",)], "text string")
+    assert line_dedup.filter_bits_for(few) == line_dedup.LEAST_BITS and line_dedup.filter_bits_for(few.where("false")) == line_dedup.LEAST_BITS
+    many = spark.range(1).selectExpr("repeat('x\n', 3000000) as text")
+    assert line_dedup.filter_bits_for(many) == 1 << 25
+
+
+def test_twice_seen_filter(spark):
+    """Whatever two rows have is suspected; of what only one has, nearly nothing."""
+    table = spark.range(200).selectExpr("concat_ws('\n', transform(sequence(0, 99), k -> concat('own ', id, ' ', k)), concat('pair ', id % 100)) as text").repartition(5)
+    filters = line_dedup.suspected_repeats(table, 1, line_dedup.filter_bits_for(table))
+    pairs = line_dedup._hashes([f"pair {i}" for i in range(100)])
+    own = line_dedup._hashes([f"own {i} {k}" for i in range(200) for k in range(100)])
+    assert line_dedup.suspicious(filters, pairs).all() and line_dedup.suspicious(filters, own).mean() < 0.01
 
 
 # -- quality ----------------------------------------------------------------------------------------------------------------------
