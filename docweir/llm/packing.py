@@ -16,24 +16,50 @@ from .common import pick, stored, text_slices
 from .words import library_encoder, tokenizer_path
 
 
-def length_patterns(lengths: np.ndarray, limit: int) -> list[np.ndarray]:
-    """All pairs and triples (as rows, padded with 0) of the given lengths that fill `limit` exactly."""
-    there = np.zeros(limit + 1, bool)
-    there[lengths] = True
-    a = lengths[lengths * 2 <= limit]
-    pairs = a[there[limit - a]]
-    i, j = np.meshgrid(lengths, lengths, indexing="ij")
-    k = limit - i - j
-    good = (i <= j) & (j <= k) & there[np.clip(k, 0, limit)]
-    two = np.stack([pairs, limit - pairs, np.zeros_like(pairs)], 1)
-    return np.concatenate([two, np.stack([i[good], j[good], k[good]], 1)])
+#: Pieces of a pattern at most; tokens that patterns may leave empty where none fills a sequence.
+PIECES, SLACK = 64, 32
+
+
+def length_patterns(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns that fill a sequence: up to three lengths each (rows, padded with 0), and how many pieces of each.
+
+    All pairs and triples of the given lengths, and for short pieces two lengths repeated, up to PIECES in all, that fill `limit` exactly; or if there are
+    none, that fill as much as any do, down to SLACK less.
+    """
+    for full in range(limit, max(1, limit - SLACK) - 1, -1):
+        patterns, times = _filling(lengths[lengths < full], full)
+        if len(patterns):
+            break
+    return patterns, times
 
 
-def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, work: int = 40_000_000) -> np.ndarray:
+def _filling(lengths: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray]:
+    there = np.zeros(full + 1, bool)
+    there[lengths] = True
+    a = lengths[lengths * 2 <= full]
+    pairs = a[there[full - a]]
+    i, j = np.meshgrid(lengths, lengths, indexing="ij")
+    k = full - i - j
+    good = (i <= j) & (j <= k) & there[np.clip(k, 0, full)]
+    found = [np.stack([pairs, full - pairs, np.zeros_like(pairs)], 1), np.stack([i[good], j[good], k[good]], 1)]
+    times = [np.ones_like(found[0]), np.ones_like(found[1])]
+    for a in lengths[lengths * 3 < full].tolist():
+        n = np.arange(1, min(PIECES, full // a) + 1)
+        rest = full - n * a
+        for m in range(1, PIECES):
+            other = rest // m
+            ok = (rest == other * m) & (other > a) & there[np.maximum(other, 0)] & (n + m > 3) & (n + m <= PIECES)
+            if ok.any():
+                found.append(np.stack([np.full(ok.sum(), a), other[ok], np.zeros(ok.sum(), int)], 1))
+                times.append(np.stack([n[ok], np.full(ok.sum(), m), np.zeros(ok.sum(), int)], 1))
+    return np.concatenate(found), np.concatenate(times)
+
+
+def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, times: np.ndarray, gain: float = 3e-3, most: int = 5000) -> np.ndarray:
     """Non-negative least squares: repeat counts x >= 0 that bring the pieces used closest to the histogram.
 
     Accelerated projected gradient steps on the sparse pattern matrix, with lengths weighted so that long pieces, which are
-    hardest to place, are met first; about `work` pattern updates in all.
+    hardest to place, are met first; until 50 steps lower the residual by less than a share of `gain`, `most` steps at most.
     """
     if not len(patterns):
         return np.zeros(0)
@@ -41,17 +67,23 @@ def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, work: int = 40_000_
     weight = np.sqrt(np.arange(n) / (n - 1))
     scale = max(1.0, histogram.max())
     target = weight * histogram / scale
-    used = lambda x: weight * sum(np.bincount(patterns[:, c], x, n) for c in range(3))
-    back = lambda r: sum((weight * r)[patterns[:, c]] for c in range(3))  # noqa: E731  weight[0] is 0: padding counts for nothing
+    used = lambda x: weight * sum(np.bincount(patterns[:, c], x * times[:, c], n) for c in range(3))
+    back = lambda r: sum((weight * r)[patterns[:, c]] * times[:, c] for c in range(3))
     v = np.ones(len(patterns))
     for _ in range(12):
         v = back(used(v))
         norm = np.linalg.norm(v)
         v /= norm
     x = y = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(min(5000, max(400, work // len(patterns)))):
-        new = np.maximum(0, y - back(used(y) - target) / (norm * 1.05))
+    t, last = 1.0, np.inf
+    for step in range(most):
+        off = used(y) - target
+        if step % 50 == 0:
+            now = float(np.linalg.norm(off))
+            if now > last * (1 - gain):
+                break
+            last = now
+        new = np.maximum(0, y - back(off) / (norm * 1.05))
         t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t_new * (new - x)
         x, t = new, t_new
@@ -71,8 +103,8 @@ def plan_sequences(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, .
         plan.append(((limit,), int(left[limit])))
         left[limit] = 0
     lengths = np.nonzero(left)[0]
-    patterns = length_patterns(lengths, limit)
-    x = fit_repeats(left.astype(float), patterns)
+    patterns, times = length_patterns(lengths, limit)
+    x = fit_repeats(left.astype(float), patterns, times)
 
     def take(p: tuple[int, ...], most: int | None = None) -> None:
         sizes, counts = np.unique([v for v in p if v], return_counts=True)
@@ -85,7 +117,7 @@ def plan_sequences(histogram: np.ndarray, limit: int) -> list[tuple[tuple[int, .
     for i in np.argsort(-x, kind="stable"):
         if x[i] < 1:
             break
-        take(tuple(patterns[i]), int(x[i]))
+        take(tuple(np.repeat(patterns[i], times[i])), int(x[i]))
     while left.any():
         spare = left.copy()
         p: list[int] = []

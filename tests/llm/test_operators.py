@@ -388,6 +388,43 @@ def test_plan_uses_the_histogram_up(lengths):
     assert sum(n for _, n in plan) <= 1.05 * max(longer, sum(lengths) / 1024) + 1
 
 
+@pytest.mark.parametrize("lengths", [range(20, 300), [300, 17], range(20, 900, 10), [5, 7, 700], [341], []])
+def test_patterns_fill_sequences(lengths):
+    lengths = np.array(lengths, int)
+    patterns, times = packing.length_patterns(lengths, 1024)
+    totals = (patterns * times).sum(1)
+    assert len(set(totals.tolist())) <= 1 and (totals <= 1024).all() and (totals >= 1024 - packing.SLACK).all()
+    assert set(patterns[patterns > 0].tolist()) <= set(lengths.tolist()) and (times[patterns > 0] > 0).all() and times.sum(1).max(initial=0) <= packing.PIECES
+
+
+def test_short_documents_are_fitted_by_patterns():
+    """Where no three pieces fill a sequence, repeated pieces do, and least squares uses most of the histogram."""
+    h = np.bincount(np.random.default_rng(0).integers(20, 300, 20_000), minlength=1025)
+    lengths = np.nonzero(h)[0]
+    patterns, times = packing.length_patterns(lengths, 1024)
+    x = packing.fit_repeats(h.astype(float), patterns, times)
+    used = sum(np.bincount(patterns[:, c], x * times[:, c], len(h)) for c in range(3))
+    assert (x >= 0).all() and abs(used - h)[1:].sum() < 0.05 * h.sum()
+    assert sum(n for _, n in packing.plan_sequences(h, 1024)) <= 1.002 * (h * np.arange(1025)).sum() / 1024 + 1
+
+
+def test_least_squares_against_a_plain_solver():
+    """Repeat counts of a small problem against projected gradient steps on the dense matrix."""
+    h = np.zeros(17)
+    h[[2, 3, 4, 5, 7, 9, 12]] = [9, 4, 7, 5, 3, 2, 6]
+    patterns, times = packing.length_patterns(np.nonzero(h)[0], 16)
+    a = np.zeros((17, len(patterns)))
+    for c in range(3):
+        np.add.at(a, (patterns[:, c], np.arange(len(patterns))), times[:, c])
+    a[0] = 0
+    a *= np.sqrt(np.arange(17) / 16)[:, None]
+    b, x = np.sqrt(np.arange(17) / 16) * h, np.zeros(len(patterns))
+    for _ in range(20_000):
+        x = np.maximum(0, x - a.T @ (a @ x - b) / np.linalg.norm(a, 2) ** 2)
+    got = packing.fit_repeats(h, patterns, times, gain=1e-9)
+    assert abs(np.linalg.norm(a @ got - b) - np.linalg.norm(a @ x - b)) < 1e-3 * np.linalg.norm(b)
+
+
 # -- languages --------------------------------------------------------------------------------------------------------------------
 
 def test_language(docs, rows, none, clashing):
