@@ -266,9 +266,13 @@ def _orders_from(cells: DataFrame) -> DataFrame:
 _ORDERS = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
 
 
+def read_orders(books: DataFrame) -> DataFrame:
+    return _orders_from(exploded.workbook_cells(books))
+
+
 @query(_ORDERS)
 def xlsx_roundtrip(spark, sf_dir):
-    return _orders_from(exploded.workbook_cells(order_workbooks(spark, sf_dir)))
+    return read_orders(order_workbooks(spark, sf_dir))
 
 
 @query(_ORDERS)
@@ -308,6 +312,14 @@ def zip_directory(spark, sf_dir):
     return exploded.zip_entries(d).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("size").alias("unpacked"))
 
 
+def docx_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, "documents").select(F.col("doc_id"), F.lit("x.docx").alias("name"), _binary_udf(_docx_of)("text").alias("content"))
+
+
+def read_docx(files: DataFrame) -> DataFrame:
+    return convert(files).select("doc_id", F.md5("markdown").alias("digest"))
+
+
 def _docx_of(text: str) -> bytes:
     from docweir.sources.docx import write_docx
 
@@ -318,8 +330,7 @@ def _docx_of(text: str) -> bytes:
 f AS (SELECT doc_id, i, trim(regexp_replace(line, '[\s\x{A0}]+', ' ', 'g')) AS x FROM l)
 SELECT doc_id, md5(coalesce(string_agg(x, chr(10) || chr(10) ORDER BY i) FILTER (WHERE x <> ''), '')) AS digest FROM f GROUP BY doc_id""")
 def docx_roundtrip(spark, sf_dir):
-    d = _dealt(spark, sf_dir, "documents").select(F.col("doc_id"), F.lit("x.docx").alias("name"), _binary_udf(_docx_of)("text").alias("content"))
-    return convert(d).select("doc_id", F.md5("markdown").alias("digest"))
+    return read_docx(docx_files(spark, sf_dir))
 
 
 def _pdf_of(text: str) -> bytes:
@@ -333,8 +344,15 @@ def _pdf_of(text: str) -> bytes:
 f AS (SELECT doc_id, i, rtrim(regexp_replace(line, ' {2,}', ' ', 'g')) AS x FROM l)
 SELECT doc_id, CAST(floor(i / 40) + 1 AS INT) AS page, md5(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE x <> '')) AS digest, count(*) FILTER (WHERE x <> '') AS n FROM f GROUP BY 1, 2 HAVING count(*) FILTER (WHERE x <> '') > 0""")
 def pdf_roundtrip(spark, sf_dir):
-    d = _dealt(spark, sf_dir, "documents").select("doc_id", _binary_udf(_pdf_of)("text").alias("content"))
-    lines = layout.text_lines(exploded.pdf_text_runs(d)).where("text <> ''")
+    return read_pdf(pdf_files(spark, sf_dir))
+
+
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, "documents").select("doc_id", _binary_udf(_pdf_of)("text").alias("content"))
+
+
+def read_pdf(files: DataFrame) -> DataFrame:
+    lines = layout.text_lines(exploded.pdf_text_runs(files)).where("text <> ''")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r.text), "\n")
     return lines.groupBy("doc_id", "page").agg(F.md5(joined).alias("digest"), F.count("*").alias("n"))
 

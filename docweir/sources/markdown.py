@@ -16,6 +16,7 @@ SILENT = frozenset("script style noscript head template svg canvas object iframe
 BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 p ul ol li dl dt dd blockquote table pre hr div section article header footer main aside figure figcaption address nav".split())
 WRAP = {"strong": "**", "b": "**", "em": "*", "i": "*", "s": "~~", "del": "~~", "strike": "~~"}
+# Targets that are dropped, and a text that is one image.
 _BAD_SCHEME = re.compile(rf"[{PY_WS}]*(javascript|vbscript|data):", re.IGNORECASE)
 _IMAGE = re.compile(rf"[{PY_WS}]*!\[[^\]]*\]\([^)]*\)[{PY_WS}]*\Z")
 _INTEGER = re.compile(rf"[{PY_WS}]*([+-]?\d+)", re.ASCII)
