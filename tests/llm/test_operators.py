@@ -1054,6 +1054,54 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     assert sorted(kept) == sorted([rows[12][1], "apart", rest, ""])
 
 
+# -- registered queries -----------------------------------------------------------------------------------------------------------
+
+def test_queries_of_whole_tables(spark, rows, library, tmp_path):
+    """Each registered query with its own parameters over a folder of tables, its columns, types and rows, against plain versions."""
+    from docweir.llm.queries import queries
+
+    r = random.Random(8)
+    run_on = "".join(r.choice("abcdeehinorst") for _ in range(50_000))  # one very long word
+    table = [x for x in rows if len(x[1] or "") < 10_000] + [(500, run_on, "en", "s", 1), (501, "before " + run_on + " after", "en", "s", 1)]
+    spark.createDataFrame(table, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = np.random.default_rng(1).standard_normal((40, 16)).astype(np.float32)
+    vectors[20:30] = vectors[:10] * 3
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = {n: queries()[n](spark, str(tmp_path)) for n in queries() if n[:3] not in ("op3", "op7", "op9")}
+    got = {n: sorted(map(tuple, df.collect()), key=repr) for n, df in out.items()}
+    kinds = {n: dict(df.dtypes) for n, df in out.items()}
+
+    texts = [(i, t or "") for i, t, *_ in table]
+    prints = [plain_simhash(t, 3) for _, t in texts]
+    assert list(kinds["op1_simhash_near_dedup"])[:3] == ["doc_id", "fingerprint", "component_id"]
+    assert sorted(x[:2] for x in got["op1_simhash_near_dedup"] if x[0] is not None) == sorted((i, f"{p:016x}") for (i, _), p in zip(texts, prints) if i is not None)
+
+    ids = [library.encode(t, add_special_tokens=False).ids for _, t in texts]
+    raw = lambda x: np.array(x, "<u4").tobytes()
+    assert list(kinds["op2_token_codes"].items())[:4] == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
+    assert sorted((x[0], x[2], x[3]) for x in got["op2_token_codes"] if x[0] is not None) == sorted((i, len(x) + 1, zlib.crc32(raw([*x, 0]))) for (i, _), x in zip(texts, ids) if i is not None)
+    by_start = sorted(got["op2_token_codes"], key=lambda x: x[1])
+    assert [x[1] for x in by_start] == np.cumsum([0, *(x[2] for x in by_start)])[:-1].tolist() and [x[0] for x in by_start if x[0] is not None] == sorted(i for i, _ in texts if i is not None)
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert list(kinds["op4_bpe"].items())[:4] == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    assert got["op4_bpe"] == sorted(((i, len(x), sha(raw(x)), sha(t.encode())) for (i, t), x in zip(texts, ids)), key=repr)
+
+    folded = [SPACE.sub(" ", t) for _, t in texts]
+    sizes = Counter(folded)
+    assert list(kinds["op5_exact_dedup"])[:5] == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(x[2::2] for x in got["op5_exact_dedup"]) == sorted((sizes[t], sha(t.encode())) for t in folded)
+
+    assert list(kinds["op6_embedding_near_dedup"].items())[:4] == [("vec_id", "bigint"), ("n_links", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert got["op6_embedding_near_dedup"] == sorted(((i, int(i < 10 or 20 <= i < 30), i - 20 if 20 <= i < 30 else i, not 20 <= i < 30) for i in range(40)), key=repr)
+
+    assert list(kinds["op8_line_dedup"].items())[:4] == [("doc_id", "bigint"), ("n_lines", "bigint"), ("n_dropped", "bigint"), ("kept_sha256", "string")]
+    assert got["op8_line_dedup"] == sorted(((i, n, k, sha(t.encode())) for i, n, k, t in plain_lines(table, 10, False)), key=repr)
+
+    assert list(kinds["op10_packing"])[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    check_packed(out["op10_packing"].collect(), table, ids, 1024)
+
+
 # -- shared parts -----------------------------------------------------------------------------------------------------------------
 
 def test_connected_components(spark):
