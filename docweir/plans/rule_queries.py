@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from docweir.functions import numbers, text
+from docweir.functions import numbers, sniffing, text
 from docweir.operators import export, history, layout
 from docweir.plans.catalog import dealt, query, read
 from docweir.plans.convert import convert
@@ -29,6 +29,47 @@ def _html(template: str) -> Column:
     return F.concat(*parts)
 
 
+# -- types and small rules, over contents made of the tables ------------------------------------------------------------------------
+
+@query(r"""SELECT p_partkey, CASE p_size % 10 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'image' WHEN 3 THEN 'image' WHEN 4 THEN 'docx' WHEN 5 THEN 'xlsx' WHEN 6 THEN 'zip' WHEN 7 THEN 'unknown' WHEN 8 THEN 'text' ELSE 'text' END AS type,
+CASE p_size % 10 WHEN 1 THEN 'png' WHEN 2 THEN 'jpeg' WHEN 3 THEN 'tiff' WHEN 7 THEN 'binary' END AS detail FROM part""")
+def sniff_made(spark, sf_dir):
+    """Types of contents: a signature, and after it the words of the table; words that only look like one are text."""
+    k = F.col("p_size") % 10
+    words = F.encode(F.concat_ws(" ", "p_name", "p_type"), "UTF-8")
+    start = lambda b: F.concat(F.lit(bytearray(b)), words)
+    content = (F.when(k == 0, F.concat(start(b"%PDF-1.7\n"), F.lit(bytearray(b"\n1 0 obj\n<<>>\nendobj\n%%EOF")))).when(k == 1, start(bytes.fromhex("89504E470D0A1A0A"))).when(k == 2, start(bytes.fromhex("FFD8FFE0")))
+               .when(k == 3, start(b"MM\x00*")).when(k == 4, F.concat(F.lit(bytearray(b"PK\x03\x04")), words, F.lit(bytearray(b" word/document.xml")))).when(k == 5, F.concat(F.lit(bytearray(b"PK\x03\x04")), words, F.lit(bytearray(b" xl/workbook.xml"))))
+               .when(k == 6, start(b"PK\x03\x04")).when(k == 7, F.concat(words, F.lit(bytearray(b"\x00\x01\x02\x03" * 30)))).when(k == 8, start("中文 %PDF-1.7 ".encode())).otherwise(words))
+    return read(spark, sf_dir, "part").select("p_partkey", sniffing.sniff(content).alias("s")).select("p_partkey", "s.type", "s.detail")
+
+
+@query(r"""SELECT p_partkey, '第' || p_size || '章 ' || p_name || ' 中文，' || p_brand || '很好' || chr(10) || ' 下行' || p_size || ' ' || p_partkey AS collapsed FROM part""")
+def cjk_made(spark, sf_dir):
+    """Spaces between CJK characters, their punctuation and digits go; those at Latin words, between digits and across lines stay."""
+    return read(spark, sf_dir, "part").select("p_partkey", text.collapse_cjk_spaces(_html("第 {p_size}　章 {p_name} 中 文 ，{p_brand} 很\t好\n 下行 {p_size} {p_partkey}")).alias("collapsed"))
+
+
+@query(r"""SELECT p_partkey, p_size <> 0 AND (p_size BETWEEN 14 AND 22 OR p_size BETWEEN 27 AND 36 OR p_size BETWEEN 45 AND 47 OR p_size BETWEEN 50 AND 58
+OR regexp_matches(regexp_replace(CASE p_partkey % 3 WHEN 0 THEN '[' || p_name || ']0.0' WHEN 1 THEN '0' || p_name ELSE '#,##0[open ' || p_name END, '\[[^\]]*(\]|$)', '', 'g'), '(?i)[ymdhs]')) AS is_date FROM part""")
+def date_codes(spark, sf_dir):
+    """Number formats that show dates: by number, or by a letter outside brackets."""
+    k = F.col("p_partkey") % 3
+    code = F.when(k == 0, _html("[{p_name}]0.0")).when(k == 1, _html("0{p_name}")).otherwise(_html("#,##0[open {p_name}"))
+    return read(spark, sf_dir, "part").select("p_partkey", numbers.is_date_format(F.col("p_size"), code).alias("is_date"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 1 THEN 'schema' WHEN p_size % 5 IN (2, 3) OR p_partkey % 7 = 0 THEN 'corrupt' END AS error, CASE WHEN p_size % 5 IN (0, 4) AND p_partkey % 7 <> 0 THEN 2 ELSE 0 END AS n FROM part""")
+def history_texts(spark, sf_dir):
+    """States of a history as texts: of another version, damaged, with one record twice, or with one that is not valid."""
+    one = lambda ident, kind: F.concat(F.lit('{"id":"'), ident, F.lit('","name":"'), F.col("p_name"), F.lit('","uri":"u","bytes":'), F.col("p_size").cast("string"), F.lit(',"kind":"'), kind, F.lit('","createdAt":1}'))
+    k = F.col("p_size") % 5
+    second = one(F.when(k == 2, F.lit("a")).otherwise(F.lit("b")), F.when(F.col("p_partkey") % 7 == 0, F.lit("pdf")).otherwise(F.lit("zip")))
+    state = F.concat(F.lit('{"schemaVersion":'), F.when(k == 1, "2").otherwise("1"), F.lit(',"keepHistory":true,"records":['), one(F.lit("a"), F.lit("md")), F.lit(","), second, F.when(k == 3, "]").otherwise("]}"))
+    out = history.parse_state(read(spark, sf_dir, "part").select("p_partkey", state.alias("state")))
+    return out.select("p_partkey", "error", F.coalesce(F.size("records"), F.lit(0)).alias("n"))
+
+
 # -- HTML -------------------------------------------------------------------------------------------------------------------------
 
 @query("""SELECT p_partkey, 'a **' || p_name || '** *' || p_type || '* ~~' || p_brand || '~~ `' || p_size || '` [' || p_name || '](https://x/' || p_partkey || ') ![' || p_brand || '](p' || p_size || '.png) z' AS md FROM part""")
