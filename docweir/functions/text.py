@@ -19,6 +19,11 @@ _OCR_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF
 _OCR_PUNCT = r"，。、；：！？（）《》「」『』【】〈〉·—…～\(\)\[\]\{\}%+"
 
 
+_GAP = r"[ \t\x{3000}]+"
+CJK_GAPS = (rf"(?<=[{_OCR_CJK}]){_GAP}(?=[{_OCR_CJK}{_OCR_PUNCT}0-9])|(?<=[{_OCR_PUNCT}]){_GAP}(?=[{_OCR_CJK}{_OCR_PUNCT}])"
+            rf"|(?<=[0-9]){_GAP}(?=[{_OCR_CJK}])")
+
+
 def normalize_text(c: Column) -> Column:
     """Line ends to line feeds, three or more of those to two, trimmed."""
     return trimmed(F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"\n{3,}", "\n\n"))
@@ -32,12 +37,7 @@ def normalize_external(c: Column) -> Column:
 def collapse_cjk_spaces(c: Column) -> Column:
     """Without the spaces, tabs and ideographic spaces that OCR puts between CJK characters, their punctuation and digits; never
     across lines, and not between CJK and Latin or between digits."""
-    gap = r"[ \t\x{3000}]+"
-    rules = (
-        rf"(?<=[{_OCR_CJK}]){gap}(?=[{_OCR_CJK}{_OCR_PUNCT}0-9])|(?<=[{_OCR_PUNCT}]){gap}(?=[{_OCR_CJK}{_OCR_PUNCT}])"
-        rf"|(?<=[0-9]){gap}(?=[{_OCR_CJK}])"
-    )
-    return F.regexp_replace(c, rules, "")
+    return F.regexp_replace(c, CJK_GAPS, "")
 
 
 def good_chars(c: Column) -> Column:

@@ -59,9 +59,10 @@ def _docx(name: str | None, content: bytes) -> dict:
 
 
 def _pdf(name: str | None, content: bytes, recognise: Recogniser | None = None) -> dict:
+    from docweir.sources.ocr import recognised
     from docweir.sources.pdf import document_markdown
 
-    md, warnings, n_ocr = document_markdown(content, recognise and (lambda page: recognise(content, page)[0]))
+    md, warnings, n_ocr = document_markdown(content, recognise and (lambda page: recognised(recognise(content, page)[0])))
     return {"markdown": md, "warnings": warnings, "backend": "pdf+ocr" if n_ocr else "pdf"}
 
 

@@ -302,6 +302,66 @@ def sheet_extent(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", wide.alias("s")).select("p_partkey", F.when(F.col("p_partkey") % 16384 == 0, 1).otherwise(at_least).alias("n_cols"), F.col("s.n_rows").alias("n_rows"))
 
 
+def _many_sheets(key: int, name: str, lenient: bool) -> bytes:
+    """Seven sheets; or one with single quotes, prefixes, a declared area that is too small and no cell formats, which only the lenient reader takes."""
+    from html import escape
+
+    from docweir.sources.archive import pack_files
+    from docweir.sources.workbook import write_workbook
+
+    if not lenient:
+        return write_workbook([(name, [["a|b", str(key)], ["x"]]), *((f"s{i}", [[str(i)]]) for i in range(2, 8))])
+    sheet = (f"<x:worksheet xmlns:x='u'><x:dimension ref='A1:B1'/><x:sheetData><x:row><x:c r='A1' t='str'><x:v>{escape(name)}</x:v></x:c><x:c r='B1'><x:v>{key}</x:v></x:c><x:c r='C1'><x:v>9</x:v></x:c></x:row>"
+             "<x:row><x:c r='A2'><x:v>8</x:v></x:c></x:row></x:sheetData></x:worksheet>")
+    return pack_files([("xl/workbook.xml", b"<x:workbook xmlns:x='u' xmlns:q='r'><x:sheets><x:sheet name='only' q:id='r1'/></x:sheets></x:workbook>"),
+                       ("xl/_rels/workbook.xml.rels", b"<Relationships><Relationship Id='r1' Target='worksheets/s.xml'/></Relationships>"),
+                       ("xl/styles.xml", b"<styleSheet/>"), ("xl/worksheets/s.xml", sheet.encode())])
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '<!-- truncated: first 5 sheets, 6 rows (at most 1000 a sheet, 2 sheets not read) -->' || chr(10) || chr(10) || '### Sheet: ' || p_name || chr(10) || chr(10) || '| a\|b | ' || p_partkey || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| x |  |'
+|| chr(10) || chr(10) || (SELECT string_agg('### Sheet: s' || i || chr(10) || chr(10) || '| ' || i || ' |' || chr(10) || '| --- |', chr(10) || chr(10) ORDER BY i) FROM range(2, 6) t(i)) || chr(10) || chr(10) || '> 2 more sheets not read (at most 5)'
+ELSE '### Sheet: only' || chr(10) || chr(10) || '| ' || p_name || ' | ' || p_partkey || ' |' || chr(10) || '| --- | --- |' END AS md,
+CASE WHEN p_partkey % 2 = 0 THEN 'xlsx-stream' ELSE 'xlsx-lenient' END AS backend, CASE WHEN p_partkey % 2 = 1 THEN 'DATE_STYLE_RISK,AREA_LOSS: only: 1 columns, 1 rows' END AS risks FROM part""")
+def xlsx_markdown(spark, sf_dir):
+    """Whole workbooks as Markdown: sheets in order, the note on those that are not read, the line on truncation, and what the lenient reader warns of."""
+    make = F.udf(_many_sheets, BinaryType(), useArrow=True)
+    files = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("b.xlsx").alias("name"), make("p_partkey", "p_name", (F.col("p_partkey") % 2 == 1).alias("l")).alias("content"))
+    risks = F.array_join(F.filter("warnings", lambda w: ~w.startswith("TRUNCATED")), ",")
+    return convert(files).select(F.col("doc_id").alias("p_partkey"), F.col("markdown").alias("md"), "backend", F.nullif(risks, F.lit("")).alias("risks"))
+
+
+def _members(text_: str, key: int) -> bytes:
+    """Members stored and deflated, and a directory that names one beyond the end."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("stored.txt", text_, zipfile.ZIP_STORED)
+        z.writestr("deflated.txt", text_[::-1], zipfile.ZIP_DEFLATED)
+        z.writestr("far.txt", str(key), zipfile.ZIP_STORED)
+    data = out.getvalue()
+    at = data.rfind(b"PK\x01\x02")
+    return data[: at + 42] + (0x7FFFFFF0).to_bytes(4, "little") + data[at + 46 :]
+
+
+@query("""SELECT doc_id, md5(text) AS stored, md5(reverse(text)) AS deflated, true AS far_is_missing, true AS other_is_missing FROM documents""")
+def zip_members(spark, sf_dir):
+    """Members by name, stored and deflated; one whose place is out of range, and one that is not there, are missing."""
+    from pyspark.sql.types import BooleanType, StructField, StructType
+
+    from docweir.sources.archive import Archive
+
+    def read_all(data: bytes) -> dict:
+        a = Archive(bytes(data))
+        return {"stored": a.text("stored.txt"), "deflated": a.text("deflated.txt"), "far": a.read("far.txt") is None, "other": a.read("Stored.txt") is None}
+
+    kind = StructType([StructField("stored", StringType()), StructField("deflated", StringType()), StructField("far", BooleanType()), StructField("other", BooleanType())])
+    made = dealt(spark, sf_dir, "documents").select("doc_id", F.udf(_members, BinaryType(), useArrow=True)("text", "doc_id").alias("content"))
+    got = made.select("doc_id", F.udf(read_all, kind, useArrow=True)("content").alias("m"))
+    return got.select("doc_id", F.md5("m.stored").alias("stored"), F.md5("m.deflated").alias("deflated"), F.col("m.far").alias("far_is_missing"), F.col("m.other").alias("other_is_missing"))
+
+
 # -- lines of runs ----------------------------------------------------------------------------------------------------------------
 
 @query("""WITH r AS (SELECT p_partkey, p_name AS a, p_brand AS b, CASE p_size % 4 WHEN 0 THEN ' ' WHEN 1 THEN '' WHEN 2 THEN ' ' ELSE '' END AS gap, p_size % 4 = 3 AS twice FROM part)
@@ -327,6 +387,44 @@ def page_assembly(spark, sf_dir):
     return layout.assemble_pages(pages, counts).select(F.col("doc_id").alias("conv_id"), F.md5("markdown").alias("digest"), F.array_join("warnings", ",").alias("warnings"))
 
 
+@query("""SELECT p_partkey, CAST(line_no AS BIGINT) AS line_no, line, code FROM part, LATERAL (VALUES (1, p_name || ' ' || p_brand, false), (2, p_name, true), (3, 'x ' || p_name, false)) v(line_no, line, code)""")
+def code_lines(spark, sf_dir):
+    """Lines of runs and fonts: a line is code if all of its ASCII is from fonts whose glyphs have one width over the whole document."""
+    run = lambda seq, s, x, y, font, width, n: F.struct(F.lit(seq).alias("seq"), s.alias("str"), F.lit(x).alias("x"), F.lit(y).alias("sy"), F.lit(30.0).alias("w"), F.lit(10.0).alias("font_size"), F.lit(font).alias("font_id"),
+                                                        F.array(*(F.lit(v) for v in width)).alias("glyph_widths"), F.lit(n).alias("ascii"), F.lit(n).alias("letters"))
+    name, brand = F.col("p_name"), F.col("p_brand")
+    runs = F.array(run(1, name, 0.0, 700.0, "serif", (500.0, 620.0), 4), run(2, brand, 90.0, 701.0, "serif", (400.0,), 4), run(3, name, 0.0, 650.0, "mono", (600.0, 600.0), 4),
+                   run(4, F.lit("x"), 0.0, 600.0, "serif", (500.0,), 1), run(5, name, 60.0, 600.0, "mono", (600.0,), 4))
+    flat = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("page"), F.explode(runs).alias("r")).select("doc_id", "page", "r.*")
+    return layout.text_lines(flat).select(F.col("doc_id").alias("p_partkey"), "line_no", F.col("text").alias("line"), F.col("is_code").alias("code"))
+
+
+@query("""SELECT p_partkey, '<!-- page 1/2 -->' || chr(10) || chr(10) || p_name || ' and ' || p_type || chr(10) || p_brand || chr(10) || chr(10) || '<!-- page 2/2 -->' || chr(10) || chr(10) || 'page two of ' || p_partkey AS md, 'pdf' AS backend FROM part""")
+def pdf_pages(spark, sf_dir):
+    """Documents of two pages as Markdown: lines of each page under a comment."""
+    from docweir.sources.pdf import write_pdf
+
+    make = F.udf(lambda a, b, c, k: write_pdf([[(72, 700, f"{a} and {b}"), (72, 670, c)], [(72, 700, f"page two of {k}")]]), BinaryType(), useArrow=True)
+    files = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("a.pdf").alias("name"), make("p_name", "p_type", "p_brand", "p_partkey").alias("content"))
+    return convert(files).select(F.col("doc_id").alias("p_partkey"), F.col("markdown").alias("md"), "backend")
+
+
+def _recognise(content: bytes, page_or_attempt: int) -> tuple[str, int | None]:
+    """Stands for a recogniser: the words after the header; at the first attempt, every second image gives Latin letters only, and little trust in them."""
+    words = content[8:].decode()
+    return ("abc", 10) if page_or_attempt == 0 and len(words) % 2 else (words, 90)
+
+
+@query("""SELECT p_partkey, '图片' || p_partkey || '号 ' || p_name AS md, 'ocr' AS backend, '' AS warnings, 'OCR_UNAVAILABLE' AS without FROM part""")
+def image_recognition(spark, sf_dir):
+    """Images through a recogniser that is passed in, with a second attempt where the first is poor; and what becomes of them without one."""
+    files = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("i.png").alias("name"),
+                                                F.concat(F.lit(bytearray.fromhex("89504E470D0A1A0A")), F.encode(_html(" 图 片 {p_partkey} 号 {p_name}\n"), "UTF-8")).alias("content"))
+    with_one = convert(files, recognise=_recognise).select(F.col("doc_id").alias("p_partkey"), F.col("markdown").alias("md"), "backend", F.array_join("warnings", ",").alias("warnings"))
+    without = convert(files).select(F.col("doc_id").alias("p_partkey"), F.col("error").alias("without"))
+    return with_one.join(without, "p_partkey")
+
+
 # -- single functions -------------------------------------------------------------------------------------------------------------
 
 @query(r"""WITH t AS (SELECT doc_id, replace(text, ' ', CASE doc_id % 3 WHEN 0 THEN chr(13) WHEN 1 THEN chr(13) || chr(10) ELSE ' [x] `' END) AS x FROM documents)
@@ -375,6 +473,34 @@ def notices(spark, sf_dir):
                                                   F.array_join(text.ocr_warnings(seen, F.col("doc_id") % 100), ",").alias("ocr"), text.is_markdown_name(name).alias("markdown_name"))
 
 
+@query("""WITH n AS (SELECT doc_id, n_chars * CAST(power(10, doc_id % 6) AS BIGINT) AS n, text FROM documents)
+SELECT doc_id, CASE WHEN n >= 1048576 THEN printf('%.1f', round(n / 1048576.0, 1)) || ' MB' WHEN n >= 1024 THEN CAST(floor(n / 1024.0 + 0.5) AS BIGINT) || ' KB' ELSE n || ' chars' END AS label,
+md5(substring(text, 1, 50)) AS head, length(text) > 50 AS cut, md5(repeat('😀', 25)) AS wide FROM n""")
+def source_cuts(spark, sf_dir):
+    """Sizes in characters, and sources cut at a number of UTF-16 units, between characters."""
+    from pyspark.sql.types import BooleanType, StructField, StructType
+
+    from docweir.operators.preview import cut_source
+
+    kind = StructType([StructField("text", StringType()), StructField("cut", BooleanType())])
+    cut = F.udf(lambda t: cut_source(t, 50), kind, useArrow=True)
+    wide = F.udf(lambda t: cut_source("😀" * 40, 51), kind, useArrow=True)
+    n = (F.col("n_chars") * F.pow(F.lit(10.0), F.col("doc_id") % 6).cast("bigint")).cast("bigint")
+    rows = dealt(spark, sf_dir, "documents").select("doc_id", numbers.chars_label(n).alias("label"), cut("text").alias("c"), wide("text").alias("w"))
+    return rows.select("doc_id", "label", F.md5("c.text").alias("head"), "c.cut", F.md5("w.text").alias("wide"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'd' || p_partkey || '.md' ELSE 'd' || p_partkey || '.zip' END AS name, CASE p_size % 3 WHEN 1 THEN '1 not saved: assets/b.png' WHEN 2 THEN '2 not saved: assets/a.png, assets/b.png' END AS report FROM part""")
+def package_reports(spark, sf_dir):
+    """Assets that cannot be read are named in the report."""
+    asset = lambda name, there, size: F.struct(F.lit(f"assets/{name}.png").alias("name"), F.when(there, F.encode("p_name", "UTF-8")).alias("content"), F.lit(size).cast("bigint").alias("size"), F.lit("image/png").alias("type"))
+    k = F.col("p_size") % 3
+    assets = F.array(asset("a", k != 2, 30_000_000), asset("b", k == 0, 5))
+    few = F.array(asset("a", k == 0, 5))
+    docs = dealt(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _html("d{p_partkey}.pdf").alias("name"), F.col("p_type").alias("markdown"), F.when(k == 0, few).otherwise(assets).alias("assets"))
+    return export.package(docs).select(F.col("doc_id").alias("p_partkey"), "name", "report")
+
+
 # -- preview ----------------------------------------------------------------------------------------------------------------------
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
