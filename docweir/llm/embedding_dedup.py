@@ -15,7 +15,7 @@ from .simhash import _roots
 
 #: Vectors that a task holds; cells are made for about so many, and one with more is cut into several tasks. Vectors on either side of a matrix of distances, axes
 #: that it looks at first, pairs that are compared further at a time.
-CELL, TILE, LEAD, PAIRS = 1 << 17, (1024, 8192), 10, 100_000
+CELL, TILE, LEAD, PAIRS = 1 << 17, (256, 2048), 10, 100_000
 _SLACK = 1e-5
 
 
@@ -85,16 +85,13 @@ class Space:
         """
         s = self.spans[block]
         lead = slice(s.start, min(s.stop, s.start + LEAD))
-        x, y = (r[:, lead].astype(np.float32) for r in (ra, rb))
-        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        # Each squared distance is one product: of (-2 x, |x|^2, 1) and (y, 1, |y|^2).
+        x, y = ra[:, lead], rb[:, lead]
+        x, y = np.column_stack([-2 * x, (x * x).sum(1), np.ones(len(x))]).astype(np.float32), np.column_stack([y, np.ones(len(y)), (y * y).sum(1)]).astype(np.float32)
         norm = lambda v: np.sqrt((v * v).sum(1))
         for lo in range(0, len(x), TILE[0]):
-            for to in range(lo if same else 0, len(y), TILE[1]):
-                part = slice(lo, lo + TILE[0]), slice(to, to + TILE[1])
-                away = x[part[0]] @ y[part[1]].T
-                away *= -2
-                away += xx[part[0], None]
-                away += yy[part[1]]
+            for to in range(lo // TILE[1] * TILE[1] if same else 0, len(y), TILE[1]):
+                away = x[lo : lo + TILE[0]] @ y[to : to + TILE[1]].T
                 i, j = np.divmod(np.flatnonzero(away <= self.budgets[block] + _SLACK), away.shape[1])
                 i, j = i + lo, j + to
                 if same:
