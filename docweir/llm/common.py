@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -45,13 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub("^file:/(?!/)", "file:///", uri)
 
 
-_MADE: list[tuple[SparkSession, str]] = []  # folders of this driver, removed when it ends
+_MADE: list[tuple[SparkSession, str, int]] = []  # folders of this driver, removed when it ends, and the threads that made them
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, which is kept until the driver ends: results that are still to be computed may read it."""
     top = f"{shared_dir(spark)}/docweir-{uuid.uuid4().hex}"
-    _MADE.append((spark, top))
+    _MADE.append((spark, top, threading.get_ident()))
     return f"{top}/{name}"
 
 
@@ -62,7 +63,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _MADE:
+    for spark, path, _ in _MADE:
         with contextlib.suppress(Exception):  # the session may have ended before
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
@@ -83,18 +84,18 @@ def drop_table(df: DataFrame) -> None:
 
 
 class Scratch:
-    """The tables made while it is open; `finish` stores a result and removes all others, which nothing needs then."""
+    """The tables that this thread makes while it is open; `finish` stores a result and removes all others, which nothing needs then."""
 
     def __enter__(self) -> Scratch:
-        self.seen = {path for _, path in _MADE}
+        self.seen = {path for _, path, _ in _MADE}
         return self
 
     def finish(self, df: DataFrame, name: str) -> DataFrame:
         out = stored(df, name)
-        mine = [x for x in _MADE if x[1] not in self.seen][:-1]
-        for spark, path in mine:
-            _delete(spark, path)
-            _MADE.remove((spark, path))
+        mine = [x for x in _MADE if x[1] not in self.seen and x[2] == threading.get_ident()]
+        for made in mine[:-1]:  # the last one is the result
+            _delete(made[0], made[1])
+            _MADE.remove(made)
         return out
 
     def __exit__(self, *_) -> None:

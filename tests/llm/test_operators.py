@@ -1124,6 +1124,28 @@ def test_common_fingerprints_are_joined_apart(docs, monkeypatch):
     assert ordered(simhash.simhash_groups(docs, 3)) == want
 
 
+def test_scratch_tables_go(spark):
+    from docweir.llm import common
+
+    before = common.stored(spark.range(2), "before")
+    with common.Scratch() as scratch:
+        inner = common.stored(spark.range(3), "inner")
+        out = scratch.finish(inner.selectExpr("id + 1 as id"), "out")
+    assert before.count() == 2 and out.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        spark.read.schema("id bigint").parquet(inner.inputFiles()[0] if inner.inputFiles() else f"{common.shared_dir(spark)}/gone").count()
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from docweir.llm import common
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(applicationId="other", master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster)
+
+
 def test_shared_folder_is_the_sessions(spark, monkeypatch):
     from docweir.llm.common import drop_table, shared_dir, stored
 
