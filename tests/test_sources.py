@@ -288,3 +288,22 @@ def test_joined_workbook_shows_what_the_reader_shows(spark):
     assert joined == read and read[1, 0] == "2023-07-16" and read[2, 0] == "2027-07-17" and read[1, 1] == "34.2" and read[1, 2] == "a&b"
     assert [r.text for r in parts.where("doc_id = 1 and what = 'string'").orderBy("num").collect()] == ["zero", "one"]  # none after the last one named
     assert parts.where("what = 'cell' and part like '%unused%'").count() == 0
+
+
+def test_pages_in_one_pass_and_by_tables_agree(spark):
+    """The line rules as one pass over a document and as windows over a table of runs, on runs at random places."""
+    import random
+
+    from docweir.plans.convert import convert, convert_pdf_tables
+    from docweir.sources.pdf import write_pdf
+
+    r = random.Random(6)
+    words = ["alpha", "beta ", " gamma", "x", "12", "(a)", "naïve", "end."]
+    books = []
+    for k in range(40):
+        pages = [[(72 + r.choice([0, 0.2, 20, 31, 60, 140]) * r.randrange(1, 4), 700 - 7 * r.randrange(12), r.choice(words)) for _ in range(r.randrange(1, 25))] for _ in range(r.randrange(1, 4))]
+        books.append((k, "a.pdf", bytearray(write_pdf(pages, r.choice(["Helvetica", "Courier"])))))
+    files = spark.createDataFrame(books, "doc_id int, name string, content binary")
+    one = {x.doc_id: (x.markdown, x.warnings) for x in convert(files).collect()}
+    by_tables = {x.doc_id: (x.markdown, x.warnings) for x in convert_pdf_tables(files).collect()}
+    assert one == by_tables
