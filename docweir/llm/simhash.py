@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ HOT, SENT = 10_000, 100_000
 WORDS, LANES, LANE, LANE_BUDGET = 4, 20, 32, 2
 #: Entries up to which a task compares all pairs at once; texts, and characters of texts, of one candidate group that are compared in a task.
 FLAT, TEXTS, CHARS = 512, 2000, 16_000_000
+#: Rounds of leaders in a task at most; tasks that meet the leader of a large group.
+LEADERS, SALTS = 64, 64
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), [(np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)), (np.uint64(31), np.uint64(1))]
 _COUNT = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 _TOP = 1 << 63
@@ -122,25 +125,26 @@ class GrayIndex:
         left, right = zip(*self.pair_chunks(budget, chunk), strict=True)
         return np.concatenate(left), np.concatenate(right)
 
-    def pair_chunks(self, budget: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The same for `chunk` values of i at a time."""
+    def pair_chunks(self, budget: int, chunk: int, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for `chunk` values of i at a time; or with `asked`, for these positions i and all j but i itself."""
         n = len(self.sorted)
-        for lo in range(0, n, chunk):
-            q = np.arange(lo, min(n, lo + chunk))
+        every = np.arange(n) if asked is None else asked
+        for lo in range(0, len(every), chunk):
+            q = every[lo : lo + chunk]
             node, spent = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
             for depth, (mask, pattern) in enumerate(self.levels):
                 if depth:  # to the children that reach beyond the query itself
                     q, spent = np.repeat(q, FAN), np.repeat(spent, FAN)
                     node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                 span = LEAF * FAN ** (len(self.levels) - 1 - depth)
-                keep = (node < len(mask)) & ((node + 1) * span > q + 1)
+                keep = (node < len(mask)) & ((node + 1) * span > q + 1 if asked is None else True)
                 q, spent, node = q[keep], spent[keep], node[keep]
                 spent = spent + differing((self.sorted[q] & mask[node]) ^ pattern[node])
                 keep = spent <= budget
                 q, spent, node = q[keep], spent[keep], node[keep]
             j = (node[:, None] * LEAF + np.arange(LEAF)).ravel()
             q, spent, rest = np.repeat(q, LEAF), np.repeat(spent, LEAF), np.repeat(self.rest[node], LEAF)
-            keep = (j < n) & (j > q)
+            keep = (j < n) & (j > q if asked is None else j != q)
             q, spent, rest, j = q[keep], spent[keep], rest[keep], j[keep]
             keep = spent + differing((self.sorted[q] ^ self.sorted[j]) & rest) <= budget
             yield q[keep], j[keep]
@@ -309,20 +313,34 @@ def _away(similarity: float, n: int) -> int:
     return int(np.ceil(n * p + 3 * (n * p * (1 - p)) ** 0.5))
 
 
-def _sketch_links(lanes: np.ndarray, sketch: np.ndarray, budget: int, away: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of links that join all pairs whose lanes differ in at most `budget` bits and whose sketches differ in at most `away`.
+def _sketch_links(lanes: np.ndarray, sketch: np.ndarray, budget: int, away: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of links that join all pairs whose lanes differ in at most `budget` bits and whose sketches differ in at most `away`; with `asked` (flags), all such
+    pairs of which one is asked for.
 
-    Few are compared all at once, many through the Gray index; pairs are merged as they are found, so a dense group holds no memory for all of them.
+    Few are compared all at once, many through the Gray index. There, rows near a leader are joined to it first, round by round while that settles many: of
+    rows that are joined no pair is needed, so only the others are searched for. Pairs are merged as they are found, so a dense group holds no memory for all of them.
     """
     n = len(lanes)
+    root = np.arange(n)
     if n <= FLAT:
         order = np.arange(n)
-        found = iter([np.nonzero(np.triu(differing(lanes[:, None] ^ lanes) <= budget, 1))])
+        found = iter([np.nonzero(np.triu(differing(lanes[:, None] ^ lanes) <= budget, 1) & (True if asked is None else asked[:, None] | asked))])
     else:
         index = GrayIndex(lanes)
-        order, found = index.order, index.pair_chunks(budget, min(4096, max(16, 2_000_000 // n)))
+        order = index.order
+        query = np.ones(n, bool) if asked is None else asked[order]
+        for _ in range(LEADERS if asked is None else 0):
+            left = np.flatnonzero(query)
+            if not len(left):
+                break
+            near = np.flatnonzero((differing(index.sorted ^ index.sorted[left[0]]) <= budget) & (differing(sketch[order] ^ sketch[order[left[0]]]).astype(np.int64).sum(1) <= away))
+            root = _roots(n, np.concatenate([np.arange(n), near]), np.concatenate([root, np.full(len(near), left[0])]))
+            settled = query[near].sum()
+            query[near] = False  # the leader's own pairs are all found as well
+            if settled < n // 50:
+                break
+        found = index.pair_chunks(budget, min(4096, max(16, 2_000_000 // n)), np.flatnonzero(query))
     mine = sketch[order]
-    root = np.arange(n)
     for a, b in found:
         new = root[a] != root[b]
         a, b = a[new], b[new]
@@ -336,28 +354,46 @@ def _sketch_links(lanes: np.ndarray, sketch: np.ndarray, budget: int, away: int)
     return order[far], order[root[far]]
 
 
-def similar_sets(items: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], similarity: float, away: int) -> list[tuple[int, int]]:
-    """Links between items that join all pairs whose sketches differ in at most `away` bits and whose sets have the Jaccard similarity or more. Pairs that are joined
-    already are not compared again."""
-    items, first = np.unique(items, return_index=True)
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; of two empty ones 1."""
+    every = len(np.union1d(a, b))
+    return (len(a) + len(b) - every) / every if every else 1.0
+
+
+def similar_sets(items: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], similarity: float, away: int, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between items that join all pairs whose sketches differ in at most `away` bits and whose sets have the Jaccard similarity or more; with `asked` (flags),
+    all such pairs of which one is asked for. Pairs that are joined already are not compared again."""
+    query = np.ones(len(items), bool) if asked is None else asked
+    items, first, of = np.unique(items, return_index=True, return_inverse=True)
+    query = np.bincount(of, query, len(items)) > 0
     sizes = np.array([len(sets[i]) for i in first], np.int64)
     by = np.argsort(sizes, kind="stable")
-    items, sketch, sizes, sets = items[by], sketch[first][by], sizes[by], [sets[i] for i in first[by]]
+    items, sketch, sizes, query, sets = items[by], sketch[first][by], sizes[by], query[by], [sets[i] for i in first[by]]
     root, out = np.arange(len(items)), []
-    for i in range(1, len(items)):
-        least = np.searchsorted(sizes[:i], similarity * sizes[i] - 1e-6)
-        at = least + np.nonzero(root[least:i] != root[i])[0]
+    for i in np.flatnonzero(query).tolist():
+        low = int(np.searchsorted(sizes, similarity * sizes[i] - 1e-6))
+        high = int(np.searchsorted(sizes, sizes[i] / similarity + 1e-6, "right"))
+        at = low + np.flatnonzero(root[low:high] != root[i])
         apart = differing(sketch[at] ^ sketch[i]).astype(np.int64).sum(1)
         good = apart <= away
         for j in at[good][np.argsort(apart[good], kind="stable")].tolist():  # the nearest first
-            if root[j] != root[i]:
-                both = sizes[i] + sizes[j] - len(np.union1d(sets[i], sets[j])) if sizes[i] else 0
-                if not sizes[i] or both / (sizes[i] + sizes[j] - both) >= similarity:
-                    out.append((int(items[i]), int(items[j])))
-                    root[root == root[j]] = root[i]
+            if root[j] != root[i] and (j > i or not query[j]) and jaccard(sets[i], sets[j]) >= similarity:
+                out.append((int(items[i]), int(items[j])))
+                root[root == root[j]] = root[i]
     return out
 
 
+def _against(rows: DataFrame, group: list[str], settled: str, most: int) -> DataFrame:
+    """Rows of large groups dealt so that each row that is not settled meets all rows of its group: (key, asked, the columns). Pieces of about `most` of the former
+    meet pieces of about `most` of all rows; a group without any of the former is left out."""
+    counts = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.count_if(~F.col(settled)).alias("_u")).where("_u > 0")
+    counted = rows.join(counts, group).withColumns({"_parts": F.ceil(F.col("_n") / most).cast("int"), "_asks": F.ceil(F.col("_u") / most).cast("int")})
+    lot = lambda n: F.pmod(F.xxhash64("item", F.lit(7)), F.col(n)).cast("int")
+    one = counted.withColumns({"_p": lot("_parts"), "_a": F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)), "asked": F.lit(False)})
+    two = counted.where(~F.col(settled)).withColumns({"_p": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)), "_a": lot("_asks"), "asked": F.lit(True)})
+    return one.unionByName(two).select(F.xxhash64(*group, F.lit("of"), "_p", "_a").alias("key"), "asked", *rows.columns)
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per group of near-duplicates (columns doc_id, text): group, own (struct of none, doc_id, key: the row that stays, which is that of the smallest
     id and then of the smallest MD5 of its text), n (rows that repeat it).
@@ -366,8 +402,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     from SimHash: each different text has a sketch of WORDS * 64 bits, and LANES choices of LANE of its bits. Texts whose lanes differ in at most LANE_BUDGET
     bits, found in a Gray-order index as in `near_links`, are candidates if their whole sketches differ in no more bits than similar ones do. Of a pair at the
     limit of 0.8, nine of ten are found so, and nearly all of those that are more alike. What candidates join is brought together with the shingle sets, once each,
-    and compared in full. A candidate group of more than TEXTS texts or CHARS characters is cut into pieces, and each pair of pieces
-    is a task of its own.
+    and compared in full. Where very many texts meet (TASK of one value of a block; TEXTS texts or CHARS characters of one candidate group), all are first compared with one
+    of them; those that are like it are joined by that, and only the others go on to be compared with all, piece by piece. So a group of copies with
+    small changes, however large, costs time in proportion to its size.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id="bigint", text="string").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
@@ -391,53 +428,92 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         for b in batches:
             raw = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
             every = np.unpackbits(raw, axis=1, bitorder="little")
-            item = b.column(0)
+            item, words = b.column(0), [pa.array(w) for w in raw.view("<i8").T]
             for k, chosen in enumerate(bits):
                 lane = np.zeros((len(raw), 8), np.uint8)
                 lane[:, : LANE // 8] = np.packbits(every[:, chosen], axis=1, bitorder="little")
                 lane = lane.view("<i8")[:, 0]
                 for j, (shift, wide) in enumerate(blocks):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(raw), k * len(blocks) + j, np.int32)), pa.array(lane >> shift & ((1 << wide) - 1)),
-                                                      pa.array(lane), item, b.column(1)], ["block", "value", "lane", "item", "sketch"])
+                                                      pa.array(lane), item, *words], ["block", "value", "lane", "item", *(f"s{i}" for i in range(WORDS))])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _Links()
-        for lane, item, sketch in _groups_of(batches):
+        for asked, lane, item, *sketch in _groups_of(batches):
             if len(lane) > 1:
-                a, b = _sketch_links(lane.view(np.uint64), np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, WORDS), LANE_BUDGET, away)
+                some = asked.astype(bool)
+                if some.any():  # a row may be there in both parts
+                    item, first, of = np.unique(item, return_index=True, return_inverse=True)
+                    some, lane, sketch = np.bincount(of, some, len(item)) > 0, lane[first], [x[first] for x in sketch]
+                a, b = _sketch_links(lane.view(np.uint64), np.stack(sketch, 1).view(np.uint64), LANE_BUDGET, away, some if some.any() else None)
                 if len(a):
                     yield from links.add(item[a], item[b])
         yield links.flush()
 
-    spread_out = texts.select("item", "sketch").mapInArrow(entries, "block int, value bigint, lane bigint, item bigint, sketch binary")
-    near = connected_components(_dealt(spread_out, "lane", "item", "sketch").mapInArrow(search, "a bigint, b bigint")).withColumnRenamed("id", "item")
+    kinds = "lane bigint, item bigint, " + ", ".join(f"s{i} bigint" for i in range(WORDS))
+    words_of = [f"s{i}" for i in range(WORDS)]
+    every = texts.select("item", "sketch").mapInArrow(entries, f"block int, value bigint, {kinds}")
+    # Block values that very many texts have: few. Those near the first of them are linked to it at once, and only the others are searched for among all.
+    first = F.min(F.struct("item", "lane", *words_of))
+    large = stored(every.groupBy("block", "value").agg(F.count("*").alias("n"), first.alias("lead")).where(F.col("n") > TASK).drop("n"), "large")
+    far = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    columns = ["lane", "item", *words_of]
+    small = every.join(large, ["block", "value"], "left_anti").select(F.xxhash64("block", "value").alias("key"), F.lit(False).alias("asked"), *columns)
+    links = []
+    if large.count():
+        led = every.join(large, ["block", "value"])
+        near_lead = (far(F.col("lane"), F.col("lead.lane")) <= LANE_BUDGET) & (sum(far(F.col(w), F.col(f"lead.{w}")) for w in words_of) <= away)
+        led = stored(led.select("block", "value", *columns, F.col("lead.item").alias("leader"), near_lead.alias("settled")), "led")
+        links.append(led.where("settled and item <> leader").select(F.col("item").alias("a"), F.col("leader").alias("b")))
+        small = small.unionByName(_against(led.drop("leader"), ["block", "value"], "settled", TASK // 2).select("key", "asked", *columns))
+    in_order = lambda rows: rows.repartition(partitions(spark), "key").sortWithinPartitions("key")
+    links.append(in_order(small).select("key", F.col("asked").cast("int").alias("asked"), *columns).mapInArrow(search, "a bigint, b bigint"))
+    near = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("id", "item")
     members = texts.join(near, "item").select("item", "sketch", "chars", "key", F.col("best.own.doc_id").alias("low"), "component")
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("item").alias("leader"))
     pieces = F.ceil(F.greatest(F.col("n") / TEXTS, F.col("chars") / CHARS, F.lit(1))).cast("int").alias("pieces")
-    members = stored(members.drop("chars").join(sizes.select("component", pieces), "component"), "members")
+    members = stored(members.drop("chars").join(sizes.select("component", "leader", pieces), "component"), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, *rest in text_slices(batches, 0):
-            columns = [pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], ["item", "sketch", "component", "pieces", "set"])
+            columns = [pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([shingle_set(t, shingle).tobytes() for t in texts], pa.binary())], ["item", "sketch", "component", "leader", "set"])
 
-    full = rows.join(members.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("low")))
-    full = full.select("text", "item", "sketch", "component", "pieces").mapInArrow(sets, "item bigint, sketch binary, component bigint, pieces int, set binary")
-    mine = F.pmod(F.xxhash64("item", F.lit(7)), F.col("pieces")).cast("int")
-    full = full.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    full = full.select(F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "item", "sketch", "set")
+    def with_sets(some: DataFrame) -> DataFrame:
+        full = rows.join(some.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("low")))
+        return full.select("text", "item", "sketch", "component", "leader").mapInArrow(sets, "item bigint, sketch binary, component bigint, leader bigint, set binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links = _Links()
-        for items, sketch, found in _groups_of(batches):
+        for asked, items, sketch, found in _groups_of(batches):
             if len(items) > 1:
-                made = similar_sets(items, np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, WORDS), [np.frombuffer(x, "<u8") for x in found], similarity, away)
+                some = asked.astype(bool)
+                made = similar_sets(items, np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, WORDS), [np.frombuffer(x, "<u8") for x in found], similarity, away,
+                                    some if some.any() else None)
                 if made:
                     yield from links.add(*(np.array(x, np.int64) for x in zip(*made, strict=True)))
         yield links.flush()
 
-    dealt = full.repartition(partitions(spark), "key").sortWithinPartitions("key")
-    groups = connected_components(dealt.mapInArrow(compare, "a bigint, b bigint")).withColumnRenamed("id", "item")
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, other = (b.column(i).to_pylist() for i in (4, 5))
+            near = [jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= similarity for x, y in zip(own, other, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(near, pa.bool_())], ["item", "sketch", "component", "leader", "set", "settled"])
+
+    columns = ["item", "sketch", "set"]
+    alone = with_sets(members.where("pieces = 1")).select(F.xxhash64("component").alias("key"), F.lit(False).alias("asked"), *columns)
+    links = []
+    if members.where("pieces > 1").limit(1).count():
+        # A large group in the same way: its texts against the first of them, and those that are not similar to it against all.
+        group = stored(with_sets(members.where("pieces > 1")), "sets")
+        leaders = group.where("item = leader").dropDuplicates(["component"]).select("component", F.col("set").alias("lead"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        met = group.withColumn("salt", F.pmod("item", F.lit(SALTS)).cast("int")).join(leaders, ["component", "salt"])
+        met = met.select("item", "sketch", "component", "leader", "set", "lead").mapInArrow(lead, "item bigint, sketch binary, component bigint, leader bigint, set binary, settled boolean")
+        met = stored(met, "met")
+        links.append(met.where("settled and item <> leader").select(F.col("item").alias("a"), F.col("leader").alias("b")))
+        alone = alone.unionByName(_against(met, ["component"], "settled", TEXTS).select("key", "asked", *columns))
+    links.append(in_order(alone).select("key", F.col("asked").cast("int").alias("asked"), *columns).mapInArrow(compare, "a bigint, b bigint"))
+    groups = connected_components(reduce(DataFrame.unionByName, links)).withColumnRenamed("id", "item")
     named = texts.join(groups, "item", "left").select(F.coalesce("component", "item").alias("group"), "best")
     return named.groupBy("group").agg(F.min_by("best", "best.own").alias("b")).select("group", F.col("b.own").alias("own"), F.col("b.n").alias("n"))
 
