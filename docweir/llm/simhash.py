@@ -404,7 +404,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     limit of 0.8, nine of ten are found so, and nearly all of those that are more alike. What candidates join is brought together with the shingle sets, once each,
     and compared in full. Where very many texts meet (TASK of one value of a block; TEXTS texts or CHARS characters of one candidate group), all are first compared with one
     of them; those that are like it are joined by that, and only the others go on to be compared with all, piece by piece. So a group of copies with
-    small changes, however large, costs time in proportion to its size.
+    small changes, however large, costs time in proportion to its size if most are like the first; what is unlike it meets the whole group.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id="bigint", text="string").withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
