@@ -311,6 +311,21 @@ def test_places_without_keys(spark):
     assert [got[x.id] for x in want] == list(range(1, 501))
 
 
+def test_places_of_more_rows_than_the_sample_of_their_ranges(spark):
+    rows = spark.range(0, 40_000, 1, 4).select(F.col("id").cast("string").alias("id"), (F.xxhash64("id") % 5000).alias("created_at"), F.col("id").alias("ins_seq"), F.lit("x" * 50).alias("name"))
+    want = [r.id for r in sorted(rows.collect(), key=lambda x: (-x.created_at, -x.ins_seq))]
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(merged)
+    spark.conf.set(merged, "false")  # so few rows would be one range
+    try:
+        placed = history.listing(rows)
+        assert [r.id for r in sorted(placed.collect(), key=lambda x: x.place)] == want
+        assert sorted(r.place for r in placed.select("place").collect()) == list(range(1, 40_001))
+        assert history.listing(rows.where("id < 0")).collect() == [] and [r.place for r in history.listing(rows.where("id = '7'")).collect()] == [1]
+    finally:
+        spark.conf.set(merged, before)
+
+
 def test_chosen(spark):
     docs = spark.createDataFrame([(1, None, True), (2, "E", True), (3, None, False), (4, None, None)], "doc_id int, error string, sel boolean")
     assert [r.doc_id for r in export.chosen(docs, F.col("sel")).collect()] == [1] and export.chosen(docs).count() == 3
