@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweir.functions.text import name_matches
+from docweir.session import fixed
 
 LIMIT, KINDS, VERSION = 200, ("md", "zip"), 1
 RECORD = "struct<id:string,name:string,uri:string,bytes:double,mime:string,kind:string,createdAt:double>"
@@ -16,20 +17,12 @@ def newest_first() -> list[Column]:
     return [F.desc("created_at"), F.desc("ins_seq")]
 
 
-def _fixed(rows: DataFrame) -> DataFrame:
-    """The rows in the partitions they are in now, whatever is made of them: all that is built on it reads one and the same shuffle, of which no columns are left out and
-    no partitions are merged later. What comes before is run when this is called."""
-    spark = rows.sparkSession
-    frame = rows._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(frame.queryExecution().toRdd(), frame.schema(), False), spark)
-
-
 def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
     """The rows with their place in a total order, from 1. Ranges of the order are numbered apart and take up where the ranges before them end, so no task sees all rows.
 
     Spark draws the ranges from a sample, another one each time the plan is run; sizes and places have to be of the same ranges.
     """
-    ranged = _fixed(rows.repartitionByRange(*order))
+    ranged = fixed(rows.repartitionByRange(*order))
     sizes = ranged.groupBy(F.spark_partition_id().alias("_range")).agg(F.count("*").alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_range", before.alias("_before"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweir.functions.numbers import NUMERIC, column_index, iso_date, serial_to_date, shortened
 from docweir.functions.tables import gfm_table
+from docweir.session import fixed
 
 
 def resolved_cells(parts: DataFrame, max_sheets: int = 5) -> DataFrame:
@@ -14,8 +15,10 @@ def resolved_cells(parts: DataFrame, max_sheets: int = 5) -> DataFrame:
 
     Sheets find their parts by relation; cells find shared strings and styles by number, and a number that is not there gives an empty
     text. Dates count from 1904 where the workbook says so, and numbers of more than 15 digits are cut as they are shown. A cell without a place stands after the
-    one before it; of cells at one place the last counts.
+    one before it; of cells at one place the last counts. Workbooks are read once, for all the joins. How much they unpack to is not known from their size: the joins go by
+    what was read, or each table of all workbooks would pass for small and be sent through the driver.
     """
+    parts = fixed(parts.repartition("doc_id"))
     of = lambda kind: parts.where(F.col("what") == kind)
     sheets = of("sheet").where(F.col("num") < max_sheets).select("doc_id", F.col("num").alias("sheet_pos"), "key", F.col("text").alias("sheet"))
     targets = of("relation").select("doc_id", "key", F.col("text").alias("part"))

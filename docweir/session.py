@@ -26,3 +26,10 @@ def spread(df: DataFrame) -> DataFrame:
     """A table that is read in fewer splits than there are cores, dealt to all of them before costly work; any other as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """The rows in the partitions they are in now, whatever is made of them: all that is built on it reads one and the same shuffle, of which no columns are left out and
+    no partitions are merged later. What comes before that shuffle is run once, when this is called; nothing is told of its size, so joins do not take it for small."""
+    spark, frame = df.sparkSession, df._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(frame.queryExecution().toRdd(), frame.schema(), False), spark)

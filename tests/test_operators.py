@@ -100,6 +100,21 @@ def test_workbook_parts_agree_with_reader(spark):
     assert got == {(i, s.name): sheet_table(s.rows) for i, b in books for s in read_workbook(bytes(b)).sheets}
 
 
+def test_workbook_parts_are_read_once_and_their_size_is_not_guessed(spark):
+    book, made = write_workbook([("s", [["a", "1"], ["b", "2"]]), ("t", [["c"]])]), spark.sparkContext.accumulator(0)
+
+    def make(_):
+        made.add(1)
+        return book
+
+    docs = spark.range(0, 300, 1, 3).select(F.col("id").alias("doc_id"), F.udf(make, "binary")("id").alias("content"))
+    cells = resolved_cells(tables.workbook_parts(docs))
+    assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()  # before it runs: by guess
+    got = sorted((r.doc_id, r.sheet, r.row_idx, r.col_idx, r.value) for r in cells.collect())
+    assert got == [(i, *x) for i in range(300) for x in (("s", 0, 0, "a"), ("s", 0, 1, "1"), ("s", 1, 0, "b"), ("s", 1, 1, "2"), ("t", 0, 0, "c"))]
+    assert made.value == 300
+
+
 def test_convert(spark):
     html = "<html><body><p>x<b>y</b></p>"
     files = {"a.txt": b"a\r\nb\n\n\n\nc", "b.html": html.encode(), "c.bin": html.encode("utf-16"), "d.txt": "汉字编码".encode("gbk"), "e.docx": write_docx(["p"]), "f.xlsx": write_workbook([("s", [[str(i)] for i in range(1500)])]),
